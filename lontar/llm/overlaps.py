@@ -8,9 +8,10 @@ Almost: prompts and completions must each agree in at least nine of ten words of
 in the same order (longest common subsequence). Two texts that do so share at least that many of
 their words as bags, so in any common order of words each has one of the other's among its first
 n - ceil(0.9 n) + 1 words. The order puts rare words first. A record is keyed by every pair of one
-such word of its prompt and one of its completion; equal keys across the splits are candidates,
-which the exact measure then confirms. No pair is lost, and the order only decides how few
-candidates there are: it comes from the counts of words over all rows, of which the most frequent
+such word of its prompt and one of its completion; equal keys across the splits are candidates.
+Those whose words can't agree in number are dropped by a bitmap of the words of either text: every
+bit in which two bitmaps differ takes a word that only one text has. The exact measure confirms
+the rest. No pair is lost, and the order only decides how few candidates there are: it comes from the counts of words over all rows, of which the most frequent
 `ranked_words` are told apart, all others coming first by their hash.
 
 A completion that is empty by problem 3 makes no case. Null prompts count as texts without words;
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lontar.llm.emptiness import is_empty
 from lontar.runtime import materialize
@@ -112,24 +113,32 @@ class Signer:
         for w in tokens:
             place = get(w)
             if place is None:
-                if len(self.places) > 300_000:
-                    self.places.clear()
                 place = self.places[w] = _word_order(w, self.ranks.get(w.partition(" ")[0], 0))
             places.append(place)
         places.sort()
         mask = (1 << 64) - 1
         return [x & mask for x in places[:take]]
 
-    def sign(self, prompt: str | None, completion: str | None) -> tuple[int, int, int, int, list[int]]:
+    def bitmap(self, listed: list[str]) -> int:
+        """32 bits, set by the hashes of the words."""
+        bits = 0
+        for w in set(listed):
+            bits |= 1 << (self.places[w] >> 17 & 31)
+        return bits
+
+    def sign(self, prompt: str | None, completion: str | None) -> tuple[int, int, int, int, int, list[int]]:
         p, c = words(prompt) or [""], words(completion) or [""]
         digest = xxhash.xxh128_intdigest("\n".join((" ".join(p), " ".join(c))).encode("utf-8", "surrogatepass"))
         mask, half = (1 << 64) - 1, 1 << 63
+        if len(self.places) > 300_000:
+            self.places.clear()
         keys = [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & mask) - half for a in self.leading(p) for b in self.leading(c)]
-        return (digest >> 64) - half, (digest & mask) - half, len(p), len(c), keys
+        bits = self.bitmap(p) << 32 | self.bitmap(c)
+        return (digest >> 64) - half, (digest & mask) - half, len(p), len(c), bits - (bits >> 63 << 64), keys
 
 
 def signed(rows: DataFrame, share: tuple[int, int], ranked_words: int) -> DataFrame:
-    """(id, side, h1, h2, np, nc, keys); completions that are empty are left out."""
+    """(id, side, h1, h2, np, nc, bits, keys); completions that are empty are left out."""
     picked = rows.select("id", "prompt", "completion", F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "test"), 1).alias("side")).where("side is not null")
     kind = picked.schema["id"].dataType.simpleString()
     ranks = rows.sparkSession.sparkContext.broadcast(word_ranks(picked, ranked_words))
@@ -137,12 +146,12 @@ def signed(rows: DataFrame, share: tuple[int, int], ranked_words: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(ranks.value, share)
         for batch in batches:
-            out, flat, offsets = ([], [], [], [], [], []), array.array("q"), array.array("i", [0])
+            out, flat, offsets = tuple([] for _ in range(7)), array.array("q"), array.array("i", [0])
             for i, p, c, side in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if is_empty(c):
                     continue
-                h1, h2, np_, nc, keys = signer.sign(p, c)
-                for column, cell in zip(out, (i, side, h1, h2, np_, nc)):
+                *cells, keys = signer.sign(p, c)
+                for column, cell in zip(out, (i, side, *cells)):
                     column.append(cell)
                 flat.extend(keys)
                 offsets.append(len(flat))
@@ -150,41 +159,52 @@ def signed(rows: DataFrame, share: tuple[int, int], ranked_words: int) -> DataFr
                 pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)]),
                 pa.Array.from_buffers(pa.int64(), len(flat), [None, pa.py_buffer(flat)]),
             )
-            types = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(out, types)], lists], names=["id", "side", "h1", "h2", "np", "nc", "keys"])
+            types = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(out, types)], lists], names=["id", "side", "h1", "h2", "np", "nc", "bits", "keys"])
+
+    return picked.mapInArrow(run, f"id {kind}, side int, h1 long, h2 long, np int, nc int, bits long, keys array<long>")
+
 
-    return picked.mapInArrow(run, f"id {kind}, side int, h1 long, h2 long, np int, nc int, keys array<long>")
+def _may_agree(share: tuple[int, int]) -> Column:
+    """Whether the texts of two keyed classes can have enough words in common."""
+    x, y = share
+    differ = F.col("bits").bitwiseXOR(F.col("mbits"))
+    result = F.lit(True)
+    for n, m, bits in (("np", "mp", F.shiftrightunsigned(differ, 32)), ("nc", "mc", differ.bitwiseAND(F.lit((1 << 32) - 1)))):
+        longer = F.greatest(n, m)
+        least = F.floor((longer * x + (y - 1)) / y)
+        result &= (F.least(n, m) >= least) & (F.bit_count(bits) <= F.col(n) + F.col(m) - 2 * least)
+    return result
 
 
 def overlaps(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 20_000) -> DataFrame:
     """(id_a, id_b), the smaller id first, of every overlap between train and evaluation."""
     members, _ = materialize(signed(rows, share, ranked_words))
-    # one row per class and side; its smallest id stands for the text
-    classes = members.groupBy("h1", "h2", "side").agg(F.min(F.struct("id", "np", "nc", "keys")).alias("r")).select("h1", "h2", "side", F.col("r.id").alias("rep"), "r.np", "r.nc", "r.keys")
-    classes, _ = materialize(classes)
-    own = classes.select("h1", "h2", "side", "rep", "np", "nc", F.explode("keys").alias("key"))
-    a = own.where("side = 0").select("key", "h1", "h2", F.col("rep").alias("ra"), "np", "nc").alias("a")
-    b = own.where("side = 1").select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("rep").alias("rb"), F.col("np").alias("mp"), F.col("nc").alias("mc")).alias("b")
-    x, y = share
-    near = (
-        (F.least("np", "mp") * y >= F.greatest("np", "mp") * x)
-        & (F.least("nc", "mc") * y >= F.greatest("nc", "mc") * x)
-        & ~((F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    )
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select("ra", "rb").distinct()
+
+    def keyed(side: int, names: list[str]) -> DataFrame:
+        # one row per class and key: repeated texts are collapsed before they are keyed
+        once = members.where(F.col("side") == side).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("np", "nc", "bits", "keys")])
+        return once.select(F.explode("keys").alias("key"), "h1", "h2", "np", "nc", "bits").toDF("key", *names)
+
+    a = keyed(0, ["h1", "h2", "np", "nc", "bits"])
+    b = keyed(1, ["g1", "g2", "mp", "mc", "mbits"])
+    other_text = ~((F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    pairs = a.join(b, (a.key == b.key) & other_text & _may_agree(share)).select("h1", "h2", "g1", "g2").distinct()
+    pairs, _ = materialize(pairs)
+    train = members.where("side = 0").select("h1", "h2", F.col("id").alias("ta"))
+    other = members.where("side = 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("tb"))
+    # a class is compared by the text of its smallest row
+    first = pairs.join(train, ["h1", "h2"]).groupBy("h1", "h2", "g1", "g2").agg(F.min("ta").alias("ta"))
+    both = first.join(other, ["g1", "g2"]).groupBy("h1", "h2", "g1", "g2", "ta").agg(F.min("tb").alias("tb"))
     texts = rows.select("id", "prompt", "completion")
-    compared = pairs.join(texts.toDF("ra", "pa", "ca"), "ra").join(texts.toDF("rb", "pb", "cb"), "rb")
+    compared = both.join(texts.toDF("ta", "pa", "ca"), "ta").join(texts.toDF("tb", "pb", "cb"), "tb")
 
     @F.pandas_udf("boolean")
     def confirmed(p: pd.Series, c: pd.Series, q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([almost_same(words(e), words(g), share) and almost_same(words(f), words(h), share) for e, f, g, h in zip(p, c, q, d)], dtype="bool")
 
-    close = compared.where(confirmed("pa", "ca", "pb", "cb")).select("ra", "rb")
-    same = classes.groupBy("h1", "h2").agg(F.min(F.when(F.col("side") == 0, F.col("rep"))).alias("ra"), F.min(F.when(F.col("side") == 1, F.col("rep"))).alias("rb")).where("ra is not null and rb is not null").select("ra", "rb")
-    links = close.unionByName(same)
-    # back from the classes to their rows
-    standing = members.join(classes.select("h1", "h2", "side", "rep"), ["h1", "h2", "side"]).select("id", "side", "rep")
-    train = standing.where("side = 0").select(F.col("id").alias("ta"), F.col("rep").alias("ra"))
-    other = standing.where("side = 1").select(F.col("id").alias("tb"), F.col("rep").alias("rb"))
-    expanded = links.join(train, "ra").join(other, "rb")
-    return expanded.select(F.least("ta", "tb").alias("id_a"), F.greatest("ta", "tb").alias("id_b")).distinct()
+    close = compared.where(confirmed("pa", "ca", "pb", "cb")).select("h1", "h2", "g1", "g2")
+    # back from the classes to their rows; equal hashes are overlaps of themselves
+    near = close.join(train, ["h1", "h2"]).join(other, ["g1", "g2"]).select("ta", "tb")
+    same = train.join(other.withColumnsRenamed({"g1": "h1", "g2": "h2"}), ["h1", "h2"]).select("ta", "tb")
+    return near.unionByName(same).select(F.least("ta", "tb").alias("id_a"), F.greatest("ta", "tb").alias("id_b")).distinct()
