@@ -18,7 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lontar.llm.lookalikes import plain_rewriter
 
@@ -62,14 +62,18 @@ def records(distinct: DataFrame) -> DataFrame:
     return distinct.groupBy(*[f"canonical_{f}" for f in FIELDS]).agg(F.min("first_id").alias("keep_id"), F.sum("rows").alias("copies"))
 
 
+def _digest(columns: list[str]) -> Column:
+    """SHA-256 over whole texts; nulls are told from empty ones, and lengths keep fields apart."""
+    return F.unhex(F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns]), 256))
+
+
 def copies(entries: DataFrame) -> DataFrame:
     """(entry_id, keep_id) of every entry that is a copy of one with a smaller id."""
     from lontar.runtime import materialize
 
-    distinct, _ = materialize(survivors(entries))
-    kept = distinct.join(records(distinct), [f"canonical_{f}" for f in FIELDS]).select(*FIELDS, "keep_id")
-    a, b = entries.alias("a"), kept.alias("b")
-    same = F.lit(True)
-    for f in FIELDS:
-        same &= F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
-    return a.join(b, same).where("a.entry_id <> b.keep_id").select("a.entry_id", "b.keep_id").distinct()
+    # the texts themselves are shuffled once, when raw rows are collapsed; membership goes by digest
+    canonical_fields = [f"canonical_{f}" for f in FIELDS]
+    distinct, _ = materialize(survivors(entries).select(_digest(list(FIELDS)).alias("raw"), _digest(canonical_fields).alias("form"), "first_id"))
+    kept = distinct.join(distinct.groupBy("form").agg(F.min("first_id").alias("keep_id")), "form").select("raw", "keep_id")
+    members = entries.select("entry_id", _digest(list(FIELDS)).alias("raw"))
+    return members.join(kept, "raw").where("entry_id <> keep_id").select("entry_id", "keep_id").distinct()
