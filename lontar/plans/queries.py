@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lontar.functions import ids, text, tokens
 from lontar.functions.keys import key
-from lontar.operators import bad_rows, heavy_keys
-from lontar.runtime import table
+from lontar.operators import bad_rows, compare, curate, enrich, heavy_keys, retrieve, review, select
+from lontar.runtime import materialize, table
 
 
 def _frequencies(spark: SparkSession, root: str, name: str, value: str) -> DataFrame:
@@ -39,17 +40,17 @@ def p1_answers(spark: SparkSession, root: str) -> DataFrame:
     return heavy_keys.key_totals(compressed).withColumnRenamed("key", "regulation_key")
 
 
-def _cells(spark: SparkSession, root: str) -> DataFrame:
+def _parsed_cells(spark: SparkSession, root: str) -> DataFrame:
     return bad_rows.parse_cells(table(spark, root, "glossary_raw"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return bad_rows.failures(_cells(spark, root)).withColumnRenamed("row", "line_no")
+    return bad_rows.failures(_parsed_cells(spark, root)).withColumnRenamed("row", "line_no")
 
 
 def p5_loaded(spark: SparkSession, root: str) -> DataFrame:
     """The rows that can be loaded."""
-    return bad_rows.load_valid(_cells(spark, root)).withColumnRenamed("row", "line_no")
+    return bad_rows.load_valid(_parsed_cells(spark, root)).withColumnRenamed("row", "line_no")
 
 
 def p5_reasons(spark: SparkSession, root: str) -> DataFrame:
@@ -57,4 +58,391 @@ def p5_reasons(spark: SparkSession, root: str) -> DataFrame:
     return p5_found(spark, root).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_keys, p1_answers, p5_found, p5_loaded, p5_reasons)}
+# --- the glossary ---
+
+SEED = "lontar"
+QUOTAS = {"multi_sense": 10, "alias": 15, "numeric": 15, "typical_fill": 10}
+CAP = 3
+
+
+def _normalised(spark: SparkSession, root: str) -> DataFrame:
+    return curate.normalised(table(spark, root, "glossary"))
+
+
+def _senses(spark: SparkSession, root: str) -> DataFrame:
+    return curate.senses(curate.unique_rows(_normalised(spark, root)))
+
+
+def _terms(spark: SparkSession, root: str) -> DataFrame:
+    return curate.terms(curate.curated(_senses(spark, root)))
+
+
+def normalize_text(spark: SparkSession, root: str) -> DataFrame:
+    return _normalised(spark, root).select(F.col("row").alias("entry_id"), "d_istilah", "k_istilah", "d_pengertian", "k_pengertian")
+
+
+def stable_ids(spark: SparkSession, root: str) -> DataFrame:
+    rows = _normalised(spark, root)
+    return rows.select(
+        F.col("row").alias("entry_id"),
+        ids.stable_id("term", F.col("k_istilah")).alias("term_id"),
+        ids.stable_id("source", *[F.col(f"k_{c}") for c in ("undang_undang", "uu", "url")]).alias("source_id"),
+        ids.rank(SEED, "bucket", F.col("k_istilah")).alias("rank"),
+        ids.priority(SEED, "bucket", F.col("k_istilah")).alias("priority"),
+    )
+
+
+def url_hosts(spark: SparkSession, root: str) -> DataFrame:
+    rows = _normalised(spark, root)
+    return rows.groupBy(text.host(F.col("d_url")).alias("host")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(text.official(F.col("d_url"), ("kamus.example.invalid",))).alias("official")
+    )
+
+
+def regulation_labels(spark: SparkSession, root: str) -> DataFrame:
+    labels = _normalised(spark, root).select(F.col("d_undang_undang").alias("label")).distinct()
+    r = text.regulation(F.col("label"))
+    parsed = labels.select("label", r["type"].alias("type"), r["number"].alias("number"), r["year"].alias("year"))
+    return parsed.select("*", text.kind_key(F.lower("type")).alias("kind_key"), text.number_key(F.col("number")).alias("number_key"))
+
+
+def strip_prefixes(spark: SparkSession, root: str) -> DataFrame:
+    s = text.strip_prefix(F.col("d_istilah"), F.col("d_pengertian"))
+    return _normalised(spark, root).select(F.col("row").alias("entry_id"), s["text"].alias("retrieval_text"), s["removed"].alias("removed"))
+
+
+def dedupe_exact(spark: SparkSession, root: str) -> DataFrame:
+    return curate.exact_groups(_normalised(spark, root)).select(F.col("row").alias("entry_id"), "duplicate_count")
+
+
+def duplicate_lineage(spark: SparkSession, root: str) -> DataFrame:
+    return curate.lineage(_normalised(spark, root))
+
+
+def quarantine_split(spark: SparkSession, root: str) -> DataFrame:
+    return _senses(spark, root).select(F.col("raw_row_number").alias("entry_id"), "sense_id", "quarantine_reason")
+
+
+def quarantine_counts(spark: SparkSession, root: str) -> DataFrame:
+    return curate.frequencies(curate.quarantined(_senses(spark, root)), "quarantine_reason")
+
+
+def multi_sense(spark: SparkSession, root: str) -> DataFrame:
+    return curate.several_senses(_senses(spark, root))
+
+
+def missing_profile(spark: SparkSession, root: str) -> DataFrame:
+    return curate.missing_profile(_normalised(spark, root))
+
+
+def coverage_profile(spark: SparkSession, root: str) -> DataFrame:
+    rates = curate.fill_rates(table(spark, root, "corpus"), ["regulation_key", "title", "chapter", "article", "content", "year", "domain"])
+    return rates.select("column", F.round("rate", 4).alias("rate"))
+
+
+def length_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    lengths = table(spark, root, "corpus").select(key("regulation_type").alias("kind"), F.length("content").alias("length"))
+    return curate.nearest_rank(lengths, ["kind"], "length", {"median": 0.5, "p90": 0.9})
+
+
+def frequency_tables(spark: SparkSession, root: str) -> DataFrame:
+    corpus = table(spark, root, "corpus")
+    parts = [curate.frequencies(corpus, c).select(F.lit(c).alias("column"), F.col(c).alias("value"), "rows") for c in ("domain", "source_dataset", "source_revision")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def aggregate_terms(spark: SparkSession, root: str) -> DataFrame:
+    return _terms(spark, root).select(
+        "term_id", "canonical_term", "sense_count", F.array_join("sense_ids", "|").alias("sense_ids"), "primary_label",
+        F.array_join("source_labels", "|").alias("source_labels"), "definition_length", "longest_definition", "has_alias", "has_digits", "warned",
+    )
+
+
+# --- selection ---
+
+
+def near_neighbors(spark: SparkSession, root: str) -> DataFrame:
+    return select.near_neighbours(_terms(spark, root).where("not warned"), 0.5, SEED).select("left_id", "right_id", "shared", "rank")
+
+
+def _selected(terms: DataFrame) -> DataFrame:
+    where = {"multi_sense": F.col("sense_count") > 1, "alias": F.col("has_alias"), "numeric": F.col("has_digits"), "typical_fill": F.lit(True)}
+    return select.select_by_quota(terms.where("not warned"), [select.Bucket(b, n, where[b]) for b, n in QUOTAS.items()], CAP, SEED)
+
+
+def quota_select(spark: SparkSession, root: str) -> DataFrame:
+    return _selected(_terms(spark, root)).select("term_id", "source", "bucket", "place")
+
+
+def pair_select(spark: SparkSession, root: str) -> DataFrame:
+    """Disjoint near neighbours, taken greedily under the cap, with what relates to what."""
+    terms, _ = materialize(_terms(spark, root).where("not warned"))
+    pairs = select.disjoint_pairs(select.near_neighbours(terms, 0.5, SEED), terms, 10, CAP)
+    return select.related(spark.createDataFrame(pairs, "left_id string, right_id string"), terms)
+
+
+# --- evidence ---
+
+
+def _pilot(spark: SparkSession, root: str) -> DataFrame:
+    terms, _ = materialize(_terms(spark, root))
+    return terms.join(F.broadcast(_selected(terms).select("term_id")), "term_id", "left_semi")
+
+
+def _evidence(spark: SparkSession, root: str, titles: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pilot, _ = materialize(_pilot(spark, root))
+    features, _ = materialize(enrich.evidence(pilot, enrich.identities(table(spark, root, "corpus")), titles))
+    return pilot, features, enrich.best(features)
+
+
+def evidence_rank(spark: SparkSession, root: str) -> DataFrame:
+    return _evidence(spark, root, False)[2].select("term_id", "candidate_rank", "global_id", "term_present", "exact_definition", "coverage", "title_similarity", "metadata_warnings")
+
+
+def evidence_titles(spark: SparkSession, root: str) -> DataFrame:
+    """The same with the similarity of titles."""
+    return _evidence(spark, root, True)[2].drop("article")
+
+
+def match_status(spark: SparkSession, root: str) -> DataFrame:
+    return enrich.match_status(*_evidence(spark, root, False))
+
+
+# --- review ---
+
+
+def _reviews(spark: SparkSession, root: str) -> DataFrame:
+    pilot, features, ranked = _evidence(spark, root, False)
+    statuses = enrich.match_status(pilot, features, ranked)
+    labelled = pilot.withColumn("label_key", text.key("primary_label"))
+    registry = labelled.groupBy("label_key").agg(F.lit("status_not_reviewed").alias("signal")).withColumn("source_id", ids.stable_id("registry", F.col("label_key")))
+    return review.review_rows(labelled, statuses.select("term_id", "match_status"), registry)
+
+
+def review_queue(spark: SparkSession, root: str) -> DataFrame:
+    return _reviews(spark, root)
+
+
+def gold_slots(spark: SparkSession, root: str) -> DataFrame:
+    rows, _ = materialize(_reviews(spark, root))
+    return review.slots(rows, 5, review.locked(rows, 20, SEED))
+
+
+def locked_split(spark: SparkSession, root: str) -> DataFrame:
+    return review.locked(_pilot(spark, root), 20, SEED)
+
+
+def validate_rules(spark: SparkSession, root: str) -> DataFrame:
+    corpus, qa = table(spark, root, "corpus"), table(spark, root, "qa_sft")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    a = review.violations(
+        corpus,
+        "corpus",
+        "global_id",
+        [
+            review.Rule("content_missing", blank("content")),
+            review.Rule("key_missing", key("regulation_key").isNull()),
+            review.Rule("year_invalid", ~F.coalesce(F.col("year"), F.lit("")).rlike(r"^(19|20)\d{2}\z")),
+            review.Rule("chunk_out_of_range", F.col("chunk_index") >= F.col("chunk_count")),
+            review.Rule("hash_invalid", ~F.coalesce(F.col("content_hash"), F.lit("")).rlike(r"^[0-9a-f]{32}\z")),
+        ],
+    )
+    b = review.violations(qa, "qa_sft", "id", [review.Rule("prompt_missing", blank("prompt")), review.Rule("completion_missing", blank("completion")), review.Rule("split_unknown", ~F.col("split").isin("train", "validation", "test"))])
+    keyed = qa.select("id", key("regulation_key").alias("k")).where("k is not null and not startswith(k, 'answer:')")
+    c = review.orphans(keyed, "qa_sft", "id", "k", corpus.select(key("regulation_key").alias("k")).where("k is not null"), "regulation_not_in_corpus")
+    d = review.repeated(corpus.select("global_id", "content_hash"), "corpus", "global_id", "content_hash", "content_repeated")
+    return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def set_ops(spark: SparkSession, root: str) -> DataFrame:
+    """Keys that only one of the tables has."""
+    a, b = (table(spark, root, t).select(key("regulation_key").alias("k")).where("k is not null") for t in ("qa_sft", "corpus"))
+    return review.set_difference(a, b, "k").select(F.col("k").alias("regulation_key"), "side")
+
+
+def union_queue(spark: SparkSession, root: str) -> DataFrame:
+    """One queue of what needs a look: quarantined records and terms with several senses."""
+    senses, _ = materialize(_senses(spark, root))
+    a = curate.quarantined(senses).select("term_id", F.col("quarantine_reason").alias("queue_reason"))
+    return a.unionByName(curate.several_senses(senses).select("term_id", F.lit("several_senses").alias("queue_reason"))).distinct()
+
+
+# --- cases and retrieval ---
+
+LIMITS = {True: 100, False: 25}
+
+
+def _available(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    chunks = retrieve.corpus_pairs(table(spark, root, "corpus"))
+    asked = retrieve.asked_pairs(table(spark, root, "qa_sft").where("split = 'test'"))
+    return retrieve.with_availability(asked, chunks), chunks
+
+
+def covered_missing(spark: SparkSession, root: str) -> DataFrame:
+    return _available(spark, root)[0].groupBy("available").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    cases, chunks = _available(spark, root)
+    kept, _ = materialize(retrieve.priority_sample(cases, LIMITS, SEED))
+    return kept, chunks
+
+
+def priority_sample(spark: SparkSession, root: str) -> DataFrame:
+    return _cases(spark, root)[0].select("case_id", "id", "pair_key", "pair_article", "available", "priority")
+
+
+def unique_sample(spark: SparkSession, root: str) -> DataFrame:
+    return retrieve.unique_sample(table(spark, root, "qa_sft"), F.coalesce(key("answer_hash"), F.lit("")), 200, SEED)
+
+
+def retrieve_topk(spark: SparkSession, root: str) -> DataFrame:
+    return retrieve.retrieve(*_cases(spark, root)).select("case_id", "place", "id", "overlap", "candidates")
+
+
+def context_pack(spark: SparkSession, root: str) -> DataFrame:
+    return retrieve.pack(retrieve.retrieve(*_cases(spark, root)), 600, 200)
+
+
+def context_render(spark: SparkSession, root: str) -> DataFrame:
+    return retrieve.render(retrieve.retrieve(*_cases(spark, root)))
+
+
+def title_collisions(spark: SparkSession, root: str) -> DataFrame:
+    found = retrieve.title_collisions(retrieve.corpus_pairs(table(spark, root, "corpus")))
+    return found.select("pair_key", "pair_article", "titles", "chunks", F.array_join("examples", "|").alias("examples"))
+
+
+def _words(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    cases = table(spark, root, "eval_cases").select(F.col("case_id").alias("query_id"), tokens.content_words(text.key("prompt")).alias("words"))
+    return cases, table(spark, root, "corpus").select(F.col("global_id").alias("doc_id"), tokens.content_words(text.key("content")).alias("words"))
+
+
+def _bm25(spark: SparkSession, root: str, top: int = 5) -> DataFrame:
+    cases, chunks = _words(spark, root)
+    chunks, _ = materialize(chunks)
+    return retrieve.bm25(cases, chunks, top)
+
+
+def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
+    return _bm25(spark, root).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def vector_topk(spark: SparkSession, root: str) -> DataFrame:
+    return retrieve.nearest_vectors(table(spark, root, "embeddings")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _gold(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of the regulation and article that each in-scope case expects."""
+    cases = table(spark, root, "eval_cases").where("not out_of_scope")
+    wanted = cases.select(F.col("case_id").alias("query_id"), F.concat_ws("|", F.lower("expected_regulation_type"), "expected_regulation_number", F.col("expected_year").cast("string")).alias("k"), text.article_number(text.key("expected_article")).alias("a"))
+    chunks = table(spark, root, "corpus").select(F.col("global_id").alias("doc_id"), key("regulation_key").alias("k"), text.article_number(text.key("article")).alias("a"))
+    return chunks.join(F.broadcast(wanted), ["k", "a"]).select("query_id", "doc_id")
+
+
+def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
+    """Exact identity and lexical order, fused by rank."""
+    lexical, _ = materialize(_bm25(spark, root, 20).select("query_id", "doc_id", "place"))
+    exact = retrieve.best(_gold(spark, root).withColumn("score", F.lit(1.0)), "query_id", "doc_id", "score", 20)
+    return retrieve.fuse(lexical, exact).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
+
+
+def ranking_quality(spark: SparkSession, root: str) -> DataFrame:
+    found = retrieve.ranking_quality(_bm25(spark, root), _gold(spark, root))
+    return found.select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+def fuzzy_terms(spark: SparkSession, root: str) -> DataFrame:
+    """Near neighbours of which one is at most three edits from the other."""
+    terms, _ = materialize(_terms(spark, root).where("not warned"))
+    pairs = select.near_neighbours(terms, 0.5, SEED).select("left_id", "right_id")
+    a, b = terms.select(F.col("term_id").alias("left_id"), F.col("normalized_term").alias("a")), terms.select(F.col("term_id").alias("right_id"), F.col("normalized_term").alias("b"))
+    edits = F.levenshtein("a", "b", 3)
+    return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", edits.alias("edits")).where("edits >= 0")
+
+
+# --- answers ---
+
+
+def answer_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """The completion scored against its prompt, for every pair."""
+    rows = table(spark, root, "qa_sft").select("id", "prompt", "completion")
+    m = compare.scored(rows, "completion", "prompt", "prompt")
+    r6 = lambda c: F.round(f"metrics.{c}", 6).alias(c)
+    return m.select("id", r6("precision"), r6("recall"), r6("f1"), r6("marker_recall"), r6("grounded"), r6("repeated"), "metrics.abstains", "metrics.cites")
+
+
+def anchor_hits(spark: SparkSession, root: str) -> DataFrame:
+    cases = table(spark, root, "eval_cases").withColumn("place", F.sequence(F.lit(0), F.greatest(F.size("anchors") - 1, F.lit(0))))
+    each = table(spark, root, "eval_cases").select("case_id", F.explode("anchors").alias("a")).select("case_id", text.key("a").alias("a")).groupBy("case_id").agg(F.collect_list("a").alias("anchors"))
+    joined = cases.select("case_id", text.key("reference_answer").alias("answer")).join(each, "case_id", "left")
+    return joined.select("case_id", F.round(tokens.anchor_recall(F.col("answer"), F.coalesce("anchors", F.array().cast("array<string>"))), 6).alias("anchor_recall"))
+
+
+def case_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Screening and grounding scores of the reference answers as answers."""
+    m = compare.scored(table(spark, root, "eval_cases"), "reference_answer", "prompt", "prompt").join(anchor_hits(spark, root), "case_id")
+    f1, hit = F.col("metrics.f1"), ~F.col("out_of_scope")
+    return m.select(
+        "case_id",
+        tokens.screening_score(f1, F.coalesce("anchor_recall", F.lit(0.0)), F.col("metrics.abstains"), F.col("out_of_scope")).alias("screening"),
+        tokens.grounding_score(F.col("metrics.grounded"), hit, F.col("metrics.cites"), F.col("metrics.abstains"), F.col("out_of_scope")).alias("grounding"),
+    )
+
+
+def asked_identities(spark: SparkSession, root: str) -> DataFrame:
+    """The regulation and article that each prompt names."""
+    p = F.col("prompt")
+    r = text.asked_regulation(p)
+    return table(spark, root, "qa_sft").select("id", r["kind"].alias("kind"), r["number"].alias("number"), r["year"].alias("year"), text.asked_article(p).alias("article"))
+
+
+def clean_answers(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "qa_sft")
+    return rows.select("id", text.clean_answer(F.col("completion")).alias("answer"), text.mark_count(F.col("completion")).alias("marks"))
+
+
+def chat_messages(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "qa_sft").select("id", F.posexplode(text.messages(F.col("prompt"), F.col("completion"))).alias("place", "m"))
+    return rows.select("id", "place", "m.role", "m.content")
+
+
+def _conditions(spark: SparkSession, root: str) -> DataFrame:
+    """Each case answered without and with retrieval: by its prompt, and by the best chunk."""
+    cases, chunks = _cases(spark, root)
+    hits = retrieve.retrieve(cases, chunks, 1).select("case_id", "content")
+    with_hits = cases.select("case_id", "prompt", "reference", "available").join(hits, "case_id", "left")
+    both = [with_hits.select("case_id", "reference", "available", F.lit(n).alias("label"), F.coalesce(c, F.lit("")).alias("answer")) for n, c in (("without", "prompt"), ("with", "content"))]
+    scored = compare.scored(both[0].unionByName(both[1]), "answer", "reference")
+    return materialize(scored)[0]
+
+
+def condition_summary(spark: SparkSession, root: str) -> DataFrame:
+    s = compare.summary(_conditions(spark, root), "label")
+    return s.select("label", "cases", "errors", *[F.round(c, 6).alias(c) for c in ("mean_f1", "median_f1", "mean_marker_recall", "mean_repeated", "abstention_rate")], "repetitive")
+
+
+def paired_delta(spark: SparkSession, root: str) -> DataFrame:
+    rows = _conditions(spark, root).where("available").select("case_id", "label", "metrics.f1")
+    p = compare.paired(rows.where("label = 'without'"), rows.where("label = 'with'"), "case_id", "f1")
+    return p.select("pairs", "wins", "losses", "ties", *[F.round(c, 6).alias(c) for c in ("win_rate", "mean_delta", "median_delta")])
+
+
+def split_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows, keys and answers per split."""
+    return table(spark, root, "qa_sft").groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(key("regulation_key").isNull()).alias("without_key"), F.countDistinct(key("answer_hash")).alias("answers")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_keys, p1_answers, p5_found, p5_loaded, p5_reasons, normalize_text, stable_ids, url_hosts, regulation_labels, strip_prefixes,
+        dedupe_exact, duplicate_lineage, quarantine_split, quarantine_counts, multi_sense, missing_profile, coverage_profile, length_percentiles,
+        frequency_tables, aggregate_terms, near_neighbors, quota_select, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
+        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, priority_sample, unique_sample, retrieve_topk, context_pack,
+        context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, answer_metrics, anchor_hits, case_scores,
+        asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts,
+    )
+}
