@@ -44,8 +44,13 @@ def words(normalised: Column) -> Column:
     return _all(normalised, r"[\p{L}\p{N}]+")
 
 
+def content_of(listed: Column) -> Column:
+    """The words that carry content."""
+    return F.filter(listed, lambda t: ~t.isin(*CONTENT_STOPWORDS) & (F.length(t) > 1))
+
+
 def content_words(normalised: Column) -> Column:
-    return F.filter(words(normalised), lambda t: ~t.isin(*CONTENT_STOPWORDS) & (F.length(t) > 1))
+    return content_of(words(normalised))
 
 
 def coverage(wanted: Column, given: Column) -> Column:
@@ -58,18 +63,19 @@ def jaccard(shared: Column, left: Column, right: Column) -> Column:
     return F.try_divide(shared, left + right - shared)
 
 
-def shared_words(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two short arrays."""
-    both = F.array_intersect(a, b)
+def numbered(ordered: Column) -> Column:
+    """The tokens of a sorted array, each with its number among its equals. Pass a plain column: an
+    expression would be evaluated again for every token."""
+    return F.transform(ordered, lambda w, i: F.concat(w, F.lit("\x1f"), (i - F.array_position(ordered, w)).cast("string")))
 
-    def times(x: Column, w: Column) -> Column:
-        return F.size(F.filter(x, lambda y: y == w))
 
-    return F.aggregate(both, F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
+def shared_words(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two sorted arrays, given as plain columns."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def token_f1(reference: Column, prediction: Column) -> Column:
-    """struct(precision, recall, f1) of two word arrays; zeros if either is empty."""
+    """struct(precision, recall, f1) of two sorted word arrays; zeros if either is empty."""
     n = shared_words(reference, prediction)
     none = (F.size(reference) == 0) | (F.size(prediction) == 0)
     p, r = n / F.size(prediction), n / F.size(reference)

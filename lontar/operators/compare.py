@@ -14,22 +14,23 @@ def scored(rows: DataFrame, answer: str, reference: str, context: str | None = N
     meaning are null.
     """
     keyed = rows.withColumn("__a", text.key(answer)).withColumn("__r", text.key(reference))
+    lists = {"__aw": tokens.words(F.col("__a")), "__rw": tokens.words(F.col("__r")), "__am": tokens.legal_markers(F.col("__a")), "__rm": tokens.legal_markers(F.col("__r"))}
     if context:
         keyed = keyed.withColumn("__c", text.key(context))
-    a, r = F.col("__a"), F.col("__r")
-    f1 = tokens.token_f1(tokens.words(r), tokens.words(a))
-    grounded = tokens.grounded_precision(tokens.content_words(a), F.array_distinct(tokens.words(F.col("__c")))) if context else F.lit(None).cast("double")
+        lists["__cw"] = F.array_distinct(tokens.words(F.col("__c")))
+    keyed = keyed.withColumns(lists).withColumns({"__as": F.sort_array("__aw"), "__rs": F.sort_array("__rw"), "__ac": tokens.content_of(F.col("__aw"))})
+    f1 = tokens.token_f1(F.col("__rs"), F.col("__as"))
     metrics = F.struct(
         f1["precision"].alias("precision"),
         f1["recall"].alias("recall"),
         f1["f1"].alias("f1"),
-        tokens.marker_recall(tokens.legal_markers(r), tokens.legal_markers(a)).alias("marker_recall"),
-        grounded.alias("grounded"),
-        tokens.repeated_ngrams(tokens.words(a)).alias("repeated"),
-        tokens.abstains(a).alias("abstains"),
+        tokens.marker_recall(F.col("__rm"), F.col("__am")).alias("marker_recall"),
+        (tokens.grounded_precision(F.col("__ac"), F.col("__cw")) if context else F.lit(None).cast("double")).alias("grounded"),
+        tokens.repeated_ngrams(F.col("__aw")).alias("repeated"),
+        tokens.abstains(F.col("__a")).alias("abstains"),
         tokens.cites(text.plain(answer), "c").alias("cites"),
     )
-    return keyed.withColumn("metrics", metrics).drop("__a", "__r", "__c")
+    return keyed.withColumn("metrics", metrics).drop("__a", "__r", "__c", "__aw", "__rw", "__cw", "__am", "__rm", "__as", "__rs", "__ac")
 
 
 def guarded(metrics: Column, error: Column) -> Column:

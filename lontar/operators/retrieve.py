@@ -131,7 +131,8 @@ def bm25(queries: DataFrame, documents: DataFrame, top: int = 5, k1: float = 1.2
 
 
 def best(scored: DataFrame, query: str, doc: str, score: str, top: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), doc))
+    # sums of the same terms may differ in their last bits with the order of summing
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round(score, 9)), doc))
     return scored.withColumn("place", place).where(F.col("place") <= top)
 
 

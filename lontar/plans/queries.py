@@ -234,7 +234,7 @@ def locked_split(spark: SparkSession, root: str) -> DataFrame:
 
 def validate_rules(spark: SparkSession, root: str) -> DataFrame:
     corpus, qa = table(spark, root, "corpus"), table(spark, root, "qa_sft")
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    blank = lambda c: key(c).isNull()
     a = review.violations(
         corpus,
         "corpus",

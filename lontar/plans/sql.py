@@ -1,5 +1,7 @@
 """Reference SQL of the core queries."""
 
+from lontar.plans.sql_core import SQL as CORE
+
 _KEY = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 
 
@@ -46,7 +48,7 @@ judged AS (
 )
 """
 
-SQL = {
+SQL = CORE | {
     "p1_found": f"{_heavy('qa_sft')} UNION ALL {_heavy('corpus')}",
     "p1_answers": f"WITH {_totals(_KEY.format('answer_hash'))} SELECT * FROM b",
     "p1_keys": f"""WITH {_totals('token_count')},
