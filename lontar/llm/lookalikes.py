@@ -23,6 +23,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Letters of other scripts that look like a Latin letter, with that letter.
@@ -163,14 +164,17 @@ class Rewriter:
         text = text.translate(self.table)
         if self.ascii_only_representatives and self.marks.isdisjoint(text):
             return text.translate(self.single)
-        out, at = [], 0
-        for end, (length, to) in self.automaton.iter_long(text):
-            start = end - length + 1
-            out.append(text[at:start])
-            out.append(to)
-            at = end + 1
-        out.append(text[at:])
-        return "".join(out)
+        while True:
+            out, at = [], 0
+            for end, (length, to) in self.automaton.iter_long(text):
+                out.append(text[at : end - length + 1])
+                out.append(to)
+                at = end + 1
+            if not out:
+                return text
+            # a representative may stand before a mark that now belongs to it
+            out.append(text[at:])
+            text = "".join(out)
 
 
 @functools.lru_cache(4)
@@ -192,12 +196,13 @@ def member_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     marks = {x[1:] for x in watched if len(x) == 2 and unicodedata.combining(x[1])}
     spelt = {x for x in watched if len(x) > 1 and x.isascii()}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
             for column in batch.columns:
-                for text in batch[column]:
-                    if not isinstance(text, str):
+                for cell in column:
+                    text = cell.as_py()
+                    if not text:
                         continue
                     found = Counter(text)
                     for ch in found.keys() & singles:
@@ -209,9 +214,9 @@ def member_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
                         for a, b in zip(text, text[1:]):
                             if b in marks and a + b in watched:
                                 seen[a + b] += 1
-        yield pd.DataFrame({"member": list(seen), "n": list(seen.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["member", "n"])
 
-    rows = df.select(*columns).mapInPandas(count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(*columns).mapInArrow(count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n")).collect()
     return {r.member: r.n for r in rows}
 
 

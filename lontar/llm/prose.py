@@ -49,6 +49,7 @@ _LINES = re.compile(r"[\r\n\v\f\x85  ]+")
 _MARK = re.compile(r"^\s*(?:[-*•▪◦·–—+>#✓✔o]\s+|\[.?\]\s*|\(?\w{1,4}[.)\]:]\s+|\d+(?:\.\d+)*[.)]?\s+)+")
 _GAP = re.compile(r"(?<=\S)(?:\t+| {2,})(?=\S)")
 _RULE = re.compile(r"^[\s|+\-=_:─-╿]{4,}$")
+_CELL = re.compile(r"^[\w\s.,:%()'’/+\-–—*]*$")
 _CELL_TAG = re.compile(r"(?i)</?(?:table|tr|td|th|thead|tbody)\b|\\\\\s*$|\\hline")
 _MIXED = re.compile(r"[^\W\d_][^\s\w'’\-/.,&]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]|[^\W\d_]{3,}\d{2,}|\d{2,}[^\W\d_]{2,}|\w[@#%^~|¬_]+\w")
 _MOJIBAKE = re.compile(r"[ÂÃÐÑâ�][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]?|ï¿½|�|[\u0080-\u009f]")
@@ -67,7 +68,7 @@ def _cells(line: str) -> list[str] | None:
         if text.count(mark) >= (1 if mark == "\t" else 2):
             cells = [c.strip() for c in text.strip(mark).split(mark)]
             filled = [c for c in cells if c]
-            if len(cells) >= 2 and filled and sum(len(c.split()) for c in filled) <= most * len(filled) / (1 if mark == "|" else 1.2):
+            if len(cells) >= 2 and filled and sum(map(bool, map(_CELL.match, filled))) >= 0.7 * len(filled) and sum(len(c.split()) for c in filled) <= most * len(filled) / (1 if mark == "|" else 1.2):
                 return cells
     gaps = _GAP.split(text)
     if len(gaps) >= 3:
