@@ -46,6 +46,7 @@ SMALLEST = np.array([0.3, 0.4, 0.02, 0.02, 0.1, 0.05, 0.05, 0.03, 0.05, 0.08, 0.
 
 _WORD = re.compile(r"[^\W_]+")
 _LINES = re.compile(r"[\r\n\v\f\x85  ]+")
+_SENTENCES = re.compile(r"[.!?;\r\n]+")
 _MARK = re.compile(r"^\s*(?:[-*•▪◦·–—+>#✓✔o]\s+|\[.?\]\s*|\(?\w{1,4}[.)\]:]\s+|\d+(?:\.\d+)*[.)]?\s+)+")
 _GAP = re.compile(r"(?<=\S)(?:\t+| {2,})(?=\S)")
 _RULE = re.compile(r"^[\s|+\-=_:─-╿]{4,}$")
@@ -110,6 +111,24 @@ def _noisy(line: str, listed: list[str]) -> bool:
     return False
 
 
+def _repetition(listed: list[str], low: str) -> float:
+    """Share of three-word sequences that stand before within the same 300 words, or of sentences
+    that occur four times, whichever is more: neither grows with the length of natural prose."""
+    if len(listed) < 12:
+        return 0.0
+    again = 0
+    for i in range(0, len(listed) - 2, 300):
+        part = listed[i : i + 302]
+        again += len(part) - 2 - len(set(zip(part, part[1:], part[2:])))
+    share = again / (len(listed) - 2)
+    if len(listed) >= 40 and share > 0.2:
+        sentences = Counter(x for x in map(str.strip, _SENTENCES.split(low)) if len(x) >= 12)
+        whole = sum(len(x) * n for x, n in sentences.items())
+        if whole:
+            share = max(share, sum(len(x) * n for x, n in sentences.items() if n >= 4) / whole)
+    return share
+
+
 def measure(text: str | None, lang: str | None = None) -> tuple[str, tuple[float, ...]] | None:
     """(language, statistics in the order of STATISTICS) of a text."""
     if not text or text.isspace():
@@ -161,7 +180,7 @@ def measure(text: str | None, lang: str | None = None) -> tuple[str, tuple[float
     digits = len(_DIGIT.findall(low))
     solid_all = max(1, solid_all)
     alphabetic = letters - digits
-    repeat = 1 - len(set(zip(listed, listed[1:], listed[2:]))) / (words - 2) if words >= 12 else 0.0
+    repeat = _repetition(listed, low)
     if repeat > 0.8 or words <= 3 and len(low) >= 60 and len(set(low)) <= 6:
         n_noise, n_rows, n_items, repeated = solid_all, 0, 0, solid_all
     return own, (

@@ -96,6 +96,8 @@ KINDS = {
     "<table>\n" + "\n".join(f"<tr><td>izin</td><td>{i * 37}</td></tr>" for i in range(30)) + "\n</table>": "table",
     " ".join(LONG.replace(" ", "")): "junk",
     "Beranda | Cari\n" * 60: "junk",
+    PROSE * 30: "junk",
+    prose_of(2000, 7): None,
     "ha" * 200: "junk",
     "$%>>-$-)?==!.#=](>$(=(|],^)&$}$}}#={&" * 10: "junk",
     "Ã¢â‚¬Ð¾ÑÃ¢â‚¬Ã¢â‚¬ï¿½ï¿½Ã¼ï¿½Ð¾ÑÐ¾Ñ " * 20: "junk",
