@@ -11,8 +11,8 @@ n - ceil(0.9 n) + 1 words. The order puts rare words first. A record is keyed by
 such word of its prompt and one of its completion; equal keys across the splits are candidates.
 Those whose words can't agree in number are dropped by a bitmap of the words of either text: every
 bit in which two bitmaps differ takes a word that only one text has. The exact measure confirms
-the rest. No pair is lost, and the order only decides how few candidates there are: it comes from the counts of words over all rows, of which the most frequent
-`ranked_words` are told apart, all others coming first by their hash.
+the rest. No pair is lost, and the order only decides how few candidates there are: it comes from the counts of words over all rows, of which those that make up
+at least 1 / `ranked_words` of them are told apart, all others coming first by their hash.
 
 A completion that is empty by problem 3 makes no case. Null prompts count as texts without words;
 two texts without words are the same. Rows delivered twice are rows of their own: every pair of
@@ -77,7 +77,8 @@ def _word_order(w: str, rank: int) -> int:
 
 
 def word_ranks(rows: DataFrame, keep: int) -> dict[str, int]:
-    """The `keep` most frequent words, ranked from the rarest of them; counted over all rows."""
+    """The words that make up at least 1 / `keep` of all words, ranked from the rarest; counted over
+    all rows. There are at most `keep` of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -89,8 +90,10 @@ def word_ranks(rows: DataFrame, keep: int) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     counted = rows.select("prompt", "completion").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(keep).collect()
-    return {r.word: i for i, r in enumerate(reversed(top), 1)}
+    counted, _ = materialize(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.where(F.col("n") * keep >= total).collect()
+    return {r.word: i for i, r in enumerate(sorted(top, key=lambda r: (r.n, r.word)), 1)}
 
 
 class Signer:
@@ -177,7 +180,7 @@ def _may_agree(share: tuple[int, int]) -> Column:
     return result
 
 
-def overlaps(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 20_000) -> DataFrame:
+def overlaps(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 100_000) -> DataFrame:
     """(id_a, id_b), the smaller id first, of every overlap between train and evaluation."""
     members, _ = materialize(signed(rows, share, ranked_words))
 
