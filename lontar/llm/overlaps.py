@@ -11,8 +11,9 @@ n - ceil(0.9 n) + 1 words. The order puts rare words first. A record is keyed by
 such word of its prompt and one of its completion; equal keys across the splits are candidates.
 Those whose words can't agree in number are dropped by a bitmap of the words of either text: every
 bit in which two bitmaps differ takes a word that only one text has. The exact measure confirms
-the rest. No pair is lost, and the order only decides how few candidates there are: it comes from the counts of words over all rows, of which those that make up
-at least 1 / `ranked_words` of them are told apart, all others coming first by their hash.
+the rest. No pair is lost, and the order only decides how few candidates there are: it comes from
+the counts of words over all rows, of which those that make up at least 1 / `ranked_words` of all
+words are told apart, the others coming first by their hash.
 
 A completion that is empty by problem 3 makes no case. Null prompts count as texts without words;
 two texts without words are the same. Rows delivered twice are rows of their own: every pair of
