@@ -181,8 +181,9 @@ def _may_agree(share: tuple[int, int]) -> Column:
     return result
 
 
-def overlaps(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 100_000) -> DataFrame:
-    """(id_a, id_b), the smaller id first, of every overlap between train and evaluation."""
+def class_links(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The rows with their class (id, side, h1, h2), and the links (h1, h2, g1, g2) between a class
+    that stands in train and one that stands in evaluation; a class on both sides links to itself."""
     members, _ = materialize(signed(rows, share, ranked_words))
 
     def keyed(side: int, names: list[str]) -> DataFrame:
@@ -195,20 +196,37 @@ def overlaps(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int
     other_text = ~((F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     pairs = a.join(b, (a.key == b.key) & other_text & _may_agree(share)).select("h1", "h2", "g1", "g2").distinct()
     pairs, _ = materialize(pairs)
-    train = members.where("side = 0").select("h1", "h2", F.col("id").alias("ta"))
-    other = members.where("side = 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("tb"))
     # a class is compared by the text of its smallest row
-    first = pairs.join(train, ["h1", "h2"]).groupBy("h1", "h2", "g1", "g2").agg(F.min("ta").alias("ta"))
-    both = first.join(other, ["g1", "g2"]).groupBy("h1", "h2", "g1", "g2", "ta").agg(F.min("tb").alias("tb"))
+    train = members.where("side = 0").groupBy("h1", "h2").agg(F.min("id").alias("ta"))
+    other = members.where("side = 1").groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("id").alias("tb"))
     texts = rows.select("id", "prompt", "completion")
+    both = pairs.join(train, ["h1", "h2"]).join(other, ["g1", "g2"])
     compared = both.join(texts.toDF("ta", "pa", "ca"), "ta").join(texts.toDF("tb", "pb", "cb"), "tb")
 
     @F.pandas_udf("boolean")
     def confirmed(p: pd.Series, c: pd.Series, q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([almost_same(words(e), words(g), share) and almost_same(words(f), words(h), share) for e, f, g, h in zip(p, c, q, d)], dtype="bool")
 
-    close = compared.where(confirmed("pa", "ca", "pb", "cb")).select("h1", "h2", "g1", "g2")
-    # back from the classes to their rows; equal hashes are overlaps of themselves
-    near = close.join(train, ["h1", "h2"]).join(other, ["g1", "g2"]).select("ta", "tb")
-    same = train.join(other.withColumnsRenamed({"g1": "h1", "g2": "h2"}), ["h1", "h2"]).select("ta", "tb")
-    return near.unionByName(same).select(F.least("ta", "tb").alias("id_a"), F.greatest("ta", "tb").alias("id_b")).distinct()
+    close = compared.where(confirmed("pa", "ca", "pb", "cb")).select("h1", "h2", "g1", "g2").distinct()
+    sides = members.groupBy("h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low <> high")
+    links, _ = materialize(close.unionByName(sides.select("h1", "h2", F.col("h1").alias("g1"), F.col("h2").alias("g2"))))
+    return members.select("id", "side", "h1", "h2"), links
+
+
+def overlaps(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 100_000) -> DataFrame:
+    """(id_a, id_b), the smaller id first, of every overlap between train and evaluation."""
+    members, links = class_links(rows, share, ranked_words)
+    train = members.where("side = 0").select("h1", "h2", F.col("id").alias("ta"))
+    other = members.where("side = 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("tb"))
+    found = links.join(train, ["h1", "h2"]).join(other, ["g1", "g2"])
+    return found.select(F.least("ta", "tb").alias("id_a"), F.greatest("ta", "tb").alias("id_b")).distinct()
+
+
+def overlap_counts(rows: DataFrame, share: tuple[int, int] = SHARE, ranked_words: int = 100_000) -> DataFrame:
+    """(id, class_id, links) of every evaluation row that overlaps train: `links` counts the train
+    rows, without listing pairs, so that repeated texts cost one row each."""
+    members, links = class_links(rows, share, ranked_words)
+    sizes = members.where("side = 0").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    per_class = links.join(sizes, ["h1", "h2"]).groupBy("g1", "g2").agg(F.sum("n").alias("links"))
+    standing = members.where("side = 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "id")
+    return standing.join(per_class, ["g1", "g2"]).select("id", F.format_string("%016x%016x", "g1", "g2").alias("class_id"), "links")

@@ -35,13 +35,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return overlaps.overlaps(table(spark, root, "qa_sft"))
 
 
+def p4_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Each evaluation row that overlaps train, with its class and the number of train rows."""
+    return overlaps.overlap_counts(table(spark, root, "qa_sft"))
+
+
 def p4_report(spark: SparkSession, root: str) -> DataFrame:
     """Evaluation rows that also stand in train, and pairs, per split and source."""
-    rows = table(spark, root, "qa_sft")
-    pairs = overlaps.overlaps(rows)
-    ends = pairs.select("id_a", "id_b", F.explode(F.array("id_a", "id_b")).alias("id"))
-    evaluation = rows.where("split in ('validation', 'test')").select("id", "split", "source_dataset")
-    return ends.join(evaluation, "id").groupBy("split", "source_dataset").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("id").alias("rows"))
+    evaluation = table(spark, root, "qa_sft").where("split in ('validation', 'test')").select("id", "split", "source_dataset")
+    return p4_rows(spark, root).join(evaluation, "id").groupBy("split", "source_dataset").agg(F.sum("links").alias("pairs"), F.countDistinct("id").alias("rows"))
 
 
 def _looks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, dict[str, int], dict[str, int]]:
@@ -124,7 +126,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_records, p3_found, p3_report, p4_found, p4_report, p6_found, p6_texts, p7_found, p7_rows, p7_shares, p8_ids, p9_found,
+        p2_found, p2_records, p3_found, p3_report, p4_found, p4_rows, p4_report, p6_found, p6_texts, p7_found, p7_rows, p7_shares, p8_ids, p9_found,
         p9_passages, p9_cases, p10_found, p10_statistics,
     )
 }

@@ -117,3 +117,13 @@ def test_defects_edges(spark):
     assert rows_of(broken_pairs.defects(spark.createDataFrame([], schema))) == []
     df = spark.createDataFrame([("a", None, "Pasal 3 berlaku.", "", 0.0), ("b", None, None, "", 0.0), ("b", None, None, "", 0.0), ("c", "p", "kata " * 50_000 + ".", "", 0.0)], schema)
     assert [r for r in rows_of(broken_pairs.defects(df)) if r[1] == "empty"] == [("b", "empty"), ("b", "empty")]
+
+
+def test_counts_equal_the_pairs(spark):
+    qa = table(spark, "/root/testdata/sf0.01", "qa_sft")
+    splits = {r.id: r.split for r in qa.select("id", "split").collect()}
+    wanted = {}
+    for a, b in rows_of(overlaps.overlaps(qa)):
+        e = b if splits[a] == "train" else a
+        wanted[e] = wanted.get(e, 0) + 1
+    assert {r.id: r.links for r in overlaps.overlap_counts(qa).collect()} == wanted
