@@ -136,26 +136,55 @@ def best(scored: DataFrame, query: str, doc: str, score: str, top: int) -> DataF
     return scored.withColumn("place", place).where(F.col("place") <= top)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-    return F.try_divide(dot, norm(a) * norm(b))
-
-
-def nearest_vectors(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, every: int = 50, top: int = 5, block: int = 4096) -> DataFrame:
     """(query_id, doc_id, score, place): queries are the rows whose id is divisible by `every`, against all rows.
 
-    The query vectors are sent to all rows in blocks; each block keeps only its best before the last ranking.
+    The queries go in blocks of at most `block` vectors; each block is sent to all partitions, which
+    multiply it with their rows and pass on only their own best. Null or zero vectors match nothing.
     """
-    block = 64
-    q = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    q = q.groupBy((F.col("query_id") / every % block).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    rows = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("block"))
-    pairs = rows.join(q, "block").select("doc_id", "dv", F.explode("qs").alias("q")).where(F.col("q.query_id") != F.col("doc_id"))
-    return best(pairs.select("q.query_id", "doc_id", cosine(F.col("q.qv"), F.col("dv")).alias("score")), "query_id", "doc_id", "score", top)
+    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    step = every * block
+    asked = rows.where(F.col("vec_id") % every == 0)
+    blocks = [r[0] for r in asked.select(F.floor(F.col("vec_id") / step).alias("b")).distinct().orderBy("b").toLocalIterator()]
+    parts = []
+    for b in blocks:
+        own = asked.where((F.col("vec_id") >= b * step) & (F.col("vec_id") < (b + 1) * step)).collect()
+        sent = rows.sparkSession.sparkContext.broadcast(([r.vec_id for r in own], [list(r.embedding) for r in own]))
+        parts.append(rows.mapInArrow(_best_of_block(sent, top), "query_id long, doc_id long, score double"))
+    if not parts:
+        return rows.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return best(scored, "query_id", "doc_id", "score", top)
+
+
+def _best_of_block(sent, top: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(x):
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+        ids, listed = sent.value
+        queries, query_ids = unit(np.array(listed, dtype=np.float64)), np.array(ids)
+        for batch in batches:
+            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            matrix = unit(np.array(batch.column(1).to_pylist(), dtype=np.float64))
+            scores = queries @ matrix.T
+            scores[query_ids[:, None] == docs[None, :]] = -2.0
+            scores[:, ~matrix.any(axis=1)] = -2.0
+            rounded = np.round(scores, 9)
+            # ties go to the lower id, so it is part of the order
+            order = np.lexsort((np.broadcast_to(docs, scores.shape), -rounded), axis=1)[:, :top]
+            picked = np.take_along_axis(scores, order, axis=1)
+            keep = (picked > -2.0) & queries.any(axis=1)[:, None]
+            q = np.broadcast_to(query_ids[:, None], order.shape)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(docs[order][keep], pa.int64()), pa.array(picked[keep], pa.float64())], names=["query_id", "doc_id", "score"])
+
+    return run
 
 
 def fuse(a: DataFrame, b: DataFrame, top: int = 5, k: int = 60) -> DataFrame:

@@ -129,3 +129,23 @@ def test_same_result_under_any_partitioning(spark):
         return rows_of(retrieve.priority_sample(pool, {True: 5, False: 5}, "s").select("case_id", "id"))
 
     assert sample(1) == sample(7)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = np.round(rng.normal(size=(60, 4)), 2)
+    m[7], m[8] = m[10], 0
+    rows = [(i, [float(x) for x in m[i]]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    wanted = []
+    for q in range(0, 60, 5):
+        sims = []
+        for d in range(60):
+            if d != q and m[d].any():
+                sims.append((-round(float(m[q] @ m[d] / np.linalg.norm(m[q]) / np.linalg.norm(m[d])), 9), d))
+        wanted += [(q, d) for _, d in sorted(sims)[:3]]
+    for block in (2, 100):
+        assert rows_of(retrieve.nearest_vectors(df, 5, 3, block).select("query_id", "doc_id")) == sorted(wanted, key=repr)
+    assert rows_of(retrieve.nearest_vectors(df.limit(0))) == []
