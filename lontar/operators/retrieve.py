@@ -102,6 +102,13 @@ def render(hits: DataFrame) -> DataFrame:
     return listed.select("case_id", F.array_join(F.transform("h", lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def instruction(question: Column, context: Column) -> Column:
+    """What a model is told: to answer from the context only, or with care where there is none."""
+    bare = F.concat(F.lit("Jawab dengan hati-hati; nyatakan bila tidak yakin.\n\nPertanyaan:\n"), text.plain(question))
+    given = F.concat(F.lit("Jawab hanya berdasarkan konteks; bila tidak memuat jawabannya, katakan demikian.\n\nKonteks:\n"), context, F.lit("\n\nPertanyaan:\n"), text.plain(question))
+    return F.when(F.coalesce(context, F.lit("")) == "", bare).otherwise(given)
+
+
 def title_collisions(chunks: DataFrame, shown: int = 10) -> DataFrame:
     """(pair_key, pair_article, titles, chunks, examples) of pairs under several titles."""
     titled = chunks.select("pair_key", "pair_article", F.trim("title").alias("title"), text.key("title").alias("title_key"), "global_id").where("title_key <> ''")

@@ -181,6 +181,28 @@ def pair_select(spark: SparkSession, root: str) -> DataFrame:
     return select.related(spark.createDataFrame(pairs, "left_id string, right_id string"), terms)
 
 
+def selection_tags(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen terms in bucket order with all that applies to them."""
+    terms, _ = materialize(_terms(spark, root))
+    long = curate.nearest_rank(terms.where("not warned").select(F.lit(1).alias("all"), "longest_definition"), ["all"], "longest_definition", {"p90": 0.9})
+    tags = F.concat_ws(
+        "|",
+        F.when(F.col("sense_count") > 1, "multi_sense"),
+        F.when(F.col("has_alias"), "alias"),
+        F.when(F.col("has_digits"), "numeric"),
+        F.when(F.col("longest_definition") >= long.select("p90").scalar(), "long_definition"),
+    )
+    chosen = terms.join(F.broadcast(_selected(terms).select("term_id", "bucket")), "term_id")
+    order = [F.array_position(F.array(*[F.lit(b) for b in QUOTAS]), F.col("bucket")), F.col("normalized_term"), F.col("term_id")]
+    return curate.dense_index(chosen.select("term_id", "bucket", "normalized_term", tags.alias("tags")), order, "pilot_index").select("pilot_index", "term_id", "bucket", "tags")
+
+
+def cap_monitor(spark: SparkSession, root: str) -> DataFrame:
+    """How near the selection comes to its cap."""
+    counts = _selected(_terms(spark, root)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.sum("n").alias("selected"), F.max("n").alias("most_of_a_source"), F.count(F.lit(1)).alias("sources"))
+
+
 # --- evidence ---
 
 
@@ -288,6 +310,14 @@ def _cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return kept, chunks
 
 
+def scan_counters(spark: SparkSession, root: str) -> DataFrame:
+    """What each gate leaves of the test questions, in one scan."""
+    qa = table(spark, root, "qa_sft").where("split = 'test'").select("prompt", "completion", text.key("regulation_key").alias("k"), text.article_number(text.key("prompt")).alias("a"))
+    keyed = text.regulation_key(F.col("k")).isNotNull()
+    kept = keyed & F.col("a").isNotNull() & (F.length(F.trim("completion")) >= 20)
+    return qa.agg(F.count(F.lit(1)).alias("rows"), F.count_if(keyed).alias("with_key"), F.count_if(F.col("a").isNotNull()).alias("with_article"), F.count_if(kept).alias("kept"))
+
+
 def priority_sample(spark: SparkSession, root: str) -> DataFrame:
     return _cases(spark, root)[0].select("case_id", "id", "pair_key", "pair_article", "available", "priority")
 
@@ -300,6 +330,18 @@ def retrieve_topk(spark: SparkSession, root: str) -> DataFrame:
     return retrieve.retrieve(*_cases(spark, root)).select("case_id", "place", "id", "overlap", "candidates")
 
 
+def retrieval_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """The share of each case's chunks that were retrieved."""
+    hits = retrieve.retrieve(*_cases(spark, root)).groupBy("case_id").agg(F.count(F.lit(1)).alias("hits"), F.max("candidates").alias("candidates"))
+    return hits.select("case_id", "hits", "candidates", F.round(F.col("hits") / F.col("candidates"), 6).alias("coverage"))
+
+
+def case_prompts(spark: SparkSession, root: str) -> DataFrame:
+    """The instruction that a model gets for each case, with its context."""
+    cases = table(spark, root, "eval_cases")
+    return cases.select("case_id", retrieve.instruction(F.col("prompt"), F.col("expected_source_id")).alias("instruction"))
+
+
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
     return retrieve.pack(retrieve.retrieve(*_cases(spark, root)), 600, 200)
 
@@ -428,6 +470,11 @@ def paired_delta(spark: SparkSession, root: str) -> DataFrame:
     return p.select("pairs", "wins", "losses", "ties", *[F.round(c, 6).alias(c) for c in ("win_rate", "mean_delta", "median_delta")])
 
 
+def uniqueness(spark: SparkSession, root: str) -> DataFrame:
+    """Values that should be unique and aren't."""
+    return curate.repeated_keys(table(spark, root, "corpus"), "content_hash").select("content_hash", "rows")
+
+
 def split_counts(spark: SparkSession, root: str) -> DataFrame:
     """Rows, keys and answers per split."""
     return table(spark, root, "qa_sft").groupBy("split").agg(
@@ -440,9 +487,10 @@ QUERIES = {
     for f in (
         p1_found, p1_keys, p1_answers, p5_found, p5_loaded, p5_reasons, normalize_text, stable_ids, url_hosts, regulation_labels, strip_prefixes,
         dedupe_exact, duplicate_lineage, quarantine_split, quarantine_counts, multi_sense, missing_profile, coverage_profile, length_percentiles,
-        frequency_tables, aggregate_terms, near_neighbors, quota_select, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
-        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, priority_sample, unique_sample, retrieve_topk, context_pack,
+        frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
+        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage,
+        case_prompts, context_pack,
         context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, answer_metrics, anchor_hits, case_scores,
-        asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts,
+        asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts, uniqueness,
     )
 }

@@ -304,5 +304,21 @@ SQL = {
     "paired_delta": f"""WITH {_CONDITIONS}, d AS (SELECT b.f1 - a.f1 AS d FROM judged a JOIN judged b USING (case_id) WHERE a.label = 'without' AND b.label = 'with' AND a.available)
         SELECT count(*) AS pairs, count(*) FILTER (d > 1e-9) AS wins, count(*) FILTER (d < -1e-9) AS losses, count(*) FILTER (abs(d) <= 1e-9) AS ties,
         round(count(*) FILTER (d > 1e-9) / count(*), 6) AS win_rate, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta FROM d""",
+    "selection_tags": f"""WITH {SELECTED}, l AS (SELECT list(longest_definition ORDER BY longest_definition) AS v, count(*) AS n FROM t WHERE NOT warned),
+        p90 AS (SELECT v[CAST(round_even((n - 1) * 0.9, 0) AS INT) + 1] AS x FROM l)
+        SELECT row_number() OVER (ORDER BY list_position({list(QUOTAS)}, bucket), normalized_term, term_id) AS pilot_index, term_id, bucket,
+        concat_ws('|', CASE WHEN sense_count > 1 THEN 'multi_sense' END, CASE WHEN has_alias THEN 'alias' END, CASE WHEN has_digits THEN 'numeric' END,
+            CASE WHEN longest_definition >= (SELECT x FROM p90) THEN 'long_definition' END) AS tags FROM t JOIN chosen USING (term_id)""",
+    "cap_monitor": f"""WITH {SELECTED}, per_source AS (SELECT source, count(*) AS n FROM chosen GROUP BY source)
+        SELECT CAST(sum(n) AS BIGINT) AS selected, max(n) AS most_of_a_source, count(*) AS sources FROM per_source""",
+    "scan_counters": f"""WITH q AS (SELECT completion, {key('regulation_key')} AS k, {_ARTICLE.format(key('prompt'))} AS a FROM qa_sft WHERE split = 'test'),
+        g AS (SELECT *, regexp_matches(k, '^[^|]+\\|[^|]+\\|\\d{{4}}$') AND NOT starts_with(k, 'answer:') AS keyed FROM q)
+        SELECT count(*) AS "rows", count(*) FILTER (keyed) AS with_key, count(*) FILTER (a IS NOT NULL) AS with_article,
+        count(*) FILTER (keyed AND a IS NOT NULL AND length(trim(completion)) >= 20) AS kept FROM g""",
+    "retrieval_coverage": f"""WITH {HITS} SELECT case_id, count(*) AS hits, max(candidates) AS candidates, round(count(*) / max(candidates), 6) AS coverage FROM hits WHERE place <= 4 GROUP BY case_id""",
+    "case_prompts": """SELECT case_id, CASE WHEN coalesce(expected_source_id, '') = '' THEN 'Jawab dengan hati-hati; nyatakan bila tidak yakin.' || chr(10) || chr(10) || 'Pertanyaan:' || chr(10) || coalesce(prompt, '')
+        ELSE 'Jawab hanya berdasarkan konteks; bila tidak memuat jawabannya, katakan demikian.' || chr(10) || chr(10) || 'Konteks:' || chr(10) || expected_source_id || chr(10) || chr(10)
+        || 'Pertanyaan:' || chr(10) || coalesce(prompt, '') END AS instruction FROM eval_cases""",
+    "uniqueness": """SELECT content_hash, count(*) AS "rows" FROM corpus GROUP BY content_hash HAVING count(*) > 1 OR content_hash IS NULL OR content_hash = ''""",
     "split_counts": f"""SELECT split, count(*) AS "rows", count(*) FILTER ({bare('regulation_key')} IS NULL) AS without_key, count(DISTINCT {bare('answer_hash')}) AS answers FROM qa_sft GROUP BY split""",
 }

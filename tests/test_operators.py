@@ -149,3 +149,32 @@ def test_nearest_vectors_in_blocks(spark):
     for block in (2, 100):
         assert rows_of(retrieve.nearest_vectors(df, 5, 3, block).select("query_id", "doc_id")) == sorted(wanted, key=repr)
     assert rows_of(retrieve.nearest_vectors(df.limit(0))) == []
+
+
+def test_fusion_quality_and_comparison(spark):
+    from lontar.operators import compare
+
+    a = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "query_id string, doc_id int, place int")
+    b = spark.createDataFrame([("q", 2, 1), ("q", 3, 2)], "query_id string, doc_id int, place int")
+    fused = retrieve.fuse(a, b, 3)
+    assert [r.doc_id for r in fused.orderBy("place").collect()] == [2, 1, 3]
+    gold = spark.createDataFrame([("q", 1), ("z", 9)], "query_id string, doc_id int")
+    assert tuple(retrieve.ranking_quality(fused, gold).first()) == (2, 0.5, 0.25)
+    rows = spark.createDataFrame([("c1", "izin pajak", "izin pajak"), ("c2", "izin", "dana"), ("c3", None, "dana")], "case_id string, answer string, reference string")
+    scored = compare.scored(rows, "answer", "reference").withColumn("label", F.lit("x"))
+    assert [round(r.f1, 3) for r in scored.select("metrics.f1").collect()] == [1.0, 0.0, 0.0]
+    s = compare.summary(scored, "label").first()
+    assert (s.cases, s.errors, s.median_f1, s.mean_marker_recall) == (3, 0, 0.0, None)
+    base = scored.select("case_id", F.lit(0.5).alias("f1"))
+    p = compare.paired(base, scored.select("case_id", "metrics.f1"), "case_id", "f1").first()
+    assert (p["pairs"], p["wins"], p["losses"], p["ties"], p["median_delta"]) == (3, 1, 2, 0, -0.5)
+    wide = compare.wide(rows.select("case_id"), {"m": base}, "case_id")
+    assert wide.columns == ["case_id", "m_f1"]
+
+
+def test_scores(spark):
+    from lontar.functions import tokens
+
+    df = spark.createDataFrame([(0.5, 1.0, None, False), (None, 0.0, True, True), (None, 0.0, False, True)], "f1 double, anchors double, abstained boolean, out boolean")
+    got = df.select(tokens.screening_score(F.col("f1"), F.col("anchors"), F.col("abstained"), F.col("out")), tokens.grounding_score(F.col("f1"), ~F.col("out"), F.lit(True), F.col("abstained"), F.col("out")))
+    assert [tuple(r) for r in got.collect()] == [(82.5, 77.5), (100.0, 100.0), (0.0, 0.0)]
