@@ -246,7 +246,7 @@ def same_look(rows: DataFrame, columns: list[str], counts: dict[str, int] | None
         full = full.where(F.col(c).isNotNull() & (F.col(c) != ""))
     spelling = F.sha2(F.concat_ws("\x1f", *[F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in columns]), 256)
     stored = full.select("id", spelling.alias("spelling"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    # only rows that share a look with another spelling go on; the look is a hash of the whole text
+    # only rows that share a look with another spelling go on; look and spelling are hashes of whole texts
     looks = [consistent(f"c{i}", counts) for i in range(len(columns))]
     seen = stored.select("id", "spelling", *[x.alias(f"l{i}") for i, x in enumerate(looks)])
     look = F.sha2(F.concat_ws("\x1f", *[F.concat(F.length(f"l{i}").cast("string"), F.lit(":"), F.col(f"l{i}")) for i in range(len(columns))]), 256)
@@ -255,10 +255,10 @@ def same_look(rows: DataFrame, columns: list[str], counts: dict[str, int] | None
 
     seen, _ = materialize(seen)
     mixed = seen.groupBy("look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("look")
-    members = seen.join(mixed, "look")
-    a, b = members.alias("a"), members.alias("b")
-    return (
-        a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.spelling") != F.col("b.spelling")) & (F.col("a.id") < F.col("b.id")))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
+    members = seen.join(mixed, "look", "left_semi")
+    forms = members.select("look", "spelling").distinct()
+    a, b = forms.toDF("look", "sa"), forms.toDF("look", "sb")
+    variants = a.join(b, "look").where("sa < sb").select("sa", "sb")
+    left, right = members.select(F.col("spelling").alias("sa"), F.col("id").alias("x")), members.select(F.col("spelling").alias("sb"), F.col("id").alias("y"))
+    pairs = variants.join(left, "sa").join(right, "sb")
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a <> id_b").distinct()

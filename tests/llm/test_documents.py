@@ -79,6 +79,11 @@ def prose_of(n, seed=0):
     return "".join(f"{rng.choice(WHO).title()} wajib {rng.choice(WHAT)} {rng.choice(THING)} yang disimpan di {rng.choice(PLACE)} dan dikelola oleh {rng.choice(WHO)} dalam waktu {rng.randrange(2, 60)} hari. " for _ in range(n))
 
 
+SPANISH = (
+    "El propietario del almacén debe presentar el informe anual en la oficina dentro de treinta días, si el permiso no se retira. Cada socio puede renovar "
+    "el contrato de arrendamiento con una copia firmada. La comisión no puede rechazar las solicitudes que se entregan con los documentos necesarios. Los "
+    "inspectores visitan las bodegas del puerto una vez por semana y escriben un resumen de lo que encuentran. "
+)
 PROSE = prose_of(1)
 LONG = prose_of(8)
 KINDS = {
@@ -96,6 +101,7 @@ KINDS = {
     "<table>\n" + "\n".join(f"<tr><td>izin</td><td>{i * 37}</td></tr>" for i in range(30)) + "\n</table>": "table",
     " ".join(LONG.replace(" ", "")): "junk",
     "Beranda | Cari\n" * 60: "junk",
+    "\n".join(SPANISH[i : i + 55] for i in range(0, len(SPANISH), 55)): None,
     PROSE * 30: "junk",
     prose_of(2000, 7): None,
     "ha" * 200: "junk",
