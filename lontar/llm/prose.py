@@ -7,8 +7,8 @@ how far it is from prose, and each statistic's part of it is reported. Documents
 whose main body (more than `MAIN` of the characters) is rows of cells, items or noise are named
 `table`, `list` or `junk`.
 
-The language is the one whose function words the text uses most; without any, the `lang` column,
-else `id`. Null, empty and blank texts have no statistics (null) and are no cases. Texts of any
+The language is the one whose function words the text uses most; without enough of them, the
+`lang` column, else `id`. Null, empty and blank texts have no statistics (null) and are no cases. Texts of any
 length are measured whole. Repeated documents each have a row; extra columns are ignored. A
 language with fewer than `least` documents is measured against all languages together; with fewer
 than that in all, no document is an outlier. A kind that ties takes the order junk, table, list.
@@ -38,6 +38,8 @@ LANGUAGES = ("id", "en", "nl", "de", "fr", "es", "it", "pt")
 #: Squared distance beyond which a document isn't prose: the 0.9999 quantile of chi-square with 12 degrees of freedom.
 CUT = 39.1
 LEAST = 30
+#: Share of function words from which a text tells its language.
+SPOKEN = 0.08
 #: Share of a document's characters from which list, table or noise lines are its main body: a
 #: list under one introducing paragraph passes, a small one in prose doesn't.
 MAIN = 0.4
@@ -139,7 +141,10 @@ def measure(text: str | None, lang: str | None = None) -> tuple[str, tuple[float
         return None
     words_of = [_WORD.findall(x) for x in lines]
     listed = list(chain.from_iterable(words_of))
-    own = language(listed, None, LANGUAGES) or (lang if lang in LANGUAGES else "id")
+    own = language(listed, None, LANGUAGES)
+    if own is None or sum(map(WORDS_OF[own].__contains__, listed)) < SPOKEN * len(listed):
+        # a few words by chance are no language
+        own = lang if lang in LANGUAGES else "id"
     common = WORDS_OF[own]
     solid_all = n_rows = n_items = n_noise = closed = repeated = functional_all = 0
     often = {x for x, n in Counter(map(str.strip, lines)).items() if n >= 5} if len(lines) >= 8 else ()
