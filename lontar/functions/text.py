@@ -73,14 +73,22 @@ def strip_prefix(term: Column, definition: Column) -> Column:
     return F.struct(F.when(removed, F.trim(tail)).otherwise(definition).alias("text"), removed.alias("removed"))
 
 
+# How labels and prompts write numbers, years, regulations and articles.
+TYPE_BEFORE_NUMBER = r"(?iu)^(.+?)\s+nomor\b"
+NUMBER_AND_YEAR = r"(?iu)\bnomor\s+(.+?)\s+tahun\s+((?:19|20)\d{2})\b"
+NUMBER_ALONE = r"(?iu)\bnomor\s+([A-Za-z0-9./-]+)"
+YEAR_ALONE = r"(?iu)\btahun\s+((?:19|20)\d{2})\b"
+BARE_YEAR = r"\b(?:19|20)\d{2}\b"
+ASKED_REGULATION = r"(?iu)(undang-undang|uu|peraturan pemerintah|pp)\s*(?:nomor|no\.?|#)?\s*(\d+)\s+tahun\s+(\d{4})"
+ASKED_ARTICLE = r"(?iu)pasal\s+(\d+[a-z]?)(?:\s+ayat\s*\((\d+)\))?(?:\s+huruf\s+([a-z]))?(?:\s+angka\s+(\d+))?"
+
+
 def regulation(label: Column) -> Column:
     """struct(label, type, number, year) of a regulation's label in display form."""
-    kind = F.trim(group(label, r"(?iu)^(.+?)\s+nomor\b"))
-    both = r"(?iu)\bnomor\s+(.+?)\s+tahun\s+((?:19|20)\d{2})\b"
-    number, year = F.trim(group(label, both)), group(label, both, 2)
-    alone = group(label, r"(?iu)\bnomor\s+([A-Za-z0-9./-]+)")
-    after = group(label, r"(?iu)\btahun\s+((?:19|20)\d{2})\b")
-    years = F.regexp_extract_all(label, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
+    kind = F.trim(group(label, TYPE_BEFORE_NUMBER))
+    number, year = F.trim(group(label, NUMBER_AND_YEAR)), group(label, NUMBER_AND_YEAR, 2)
+    alone, after = group(label, NUMBER_ALONE), group(label, YEAR_ALONE)
+    years = F.regexp_extract_all(label, F.lit(BARE_YEAR), F.lit(0))
     latest = F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit(""))
     return F.struct(
         label.alias("label"),
@@ -138,14 +146,14 @@ def regulation_key(normalised: Column) -> Column:
 
 def asked_regulation(prompt: Column) -> Column:
     """struct(kind, number, year) of the regulation a prompt names; null without one."""
-    pattern = r"(?iu)(undang-undang|uu|peraturan pemerintah|pp)\s*(?:nomor|no\.?|#)?\s*(\d+)\s+tahun\s+(\d{4})"
+    pattern = ASKED_REGULATION
     kind = F.lower(group(prompt, pattern, 1))
     return F.when(kind != "", F.struct(kind_name(kind).alias("kind"), group(prompt, pattern, 2).alias("number"), group(prompt, pattern, 3).cast("int").alias("year")))
 
 
 def asked_article(prompt: Column) -> Column:
     """`pasal N ayat(N) huruf x angka N`, as far as the prompt gives it; null without an article."""
-    pattern = r"(?iu)pasal\s+(\d+[a-z]?)(?:\s+ayat\s*\((\d+)\))?(?:\s+huruf\s+([a-z]))?(?:\s+angka\s+(\d+))?"
+    pattern = ASKED_ARTICLE
 
     def part(n: int, form: str) -> Column:
         found = group(prompt, pattern, n)

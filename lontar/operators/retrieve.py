@@ -66,6 +66,10 @@ def retrieve(cases: DataFrame, chunks: DataFrame, top: int = 4) -> DataFrame:
     return scored.withColumn("candidates", F.count(F.lit(1)).over(by_case)).withColumn("place", place).where(F.col("place") <= top).drop("asked", "global_id")
 
 
+# Fixed value: what a packed context ends with when something was left out.
+CUT_MARK = "[CONTEXT_TRUNCATED]"
+
+
 def pack(hits: DataFrame, budget: int = 14_000, most: int = 5_000) -> DataFrame:
     """(case_id, context, truncated): blocks in order until the characters run out."""
     prefix = F.concat(
@@ -91,7 +95,7 @@ def pack(hits: DataFrame, budget: int = 14_000, most: int = 5_000) -> DataFrame:
         return F.when(full, ended).otherwise(added)
 
     packed = listed.withColumn("s", F.aggregate("hits", start, step))
-    blocks = F.when(F.col("s.cut"), F.concat("s.blocks", F.array(F.lit("[CONTEXT_TRUNCATED]")))).otherwise(F.col("s.blocks"))
+    blocks = F.when(F.col("s.cut"), F.concat("s.blocks", F.array(F.lit(CUT_MARK)))).otherwise(F.col("s.blocks"))
     return packed.select("case_id", F.array_join(blocks, "\n\n").alias("context"), F.col("s.cut").alias("truncated"))
 
 
