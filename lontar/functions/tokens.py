@@ -74,9 +74,10 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
-def token_f1(reference: Column, prediction: Column) -> Column:
-    """struct(precision, recall, f1) of two sorted word arrays; zeros if either is empty."""
-    n = shared_words(reference, prediction)
+def token_f1(reference: Column, prediction: Column, shared: Column | None = None) -> Column:
+    """struct(precision, recall, f1) of two sorted word arrays; zeros if either is empty. `shared`
+    may be a column that holds `shared_words` already."""
+    n = shared_words(reference, prediction) if shared is None else shared
     none = (F.size(reference) == 0) | (F.size(prediction) == 0)
     p, r = n / F.size(prediction), n / F.size(reference)
     zero = F.lit(0.0)
@@ -112,7 +113,8 @@ def marker_recall(expected: Column, found: Column) -> Column:
 def repeated_ngrams(tokens: Column, n: int = 6) -> Column:
     """Share of a text's n-grams that occur before; 0 for texts shorter than two of them."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) < 2 * n, 0.0).otherwise((F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams))
+    total = F.size(tokens) - n + 1
+    return F.when(F.size(tokens) < 2 * n, 0.0).otherwise((total - F.size(F.array_distinct(grams))) / total)
 
 
 def abstains(normalised: Column) -> Column:

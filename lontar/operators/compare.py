@@ -19,7 +19,8 @@ def scored(rows: DataFrame, answer: str, reference: str, context: str | None = N
         keyed = keyed.withColumn("__c", text.key(context))
         lists["__cw"] = F.array_distinct(tokens.words(F.col("__c")))
     keyed = keyed.withColumns(lists).withColumns({"__as": F.sort_array("__aw"), "__rs": F.sort_array("__rw"), "__ac": tokens.content_of(F.col("__aw"))})
-    f1 = tokens.token_f1(F.col("__rs"), F.col("__as"))
+    keyed = keyed.withColumn("__n", tokens.shared_words(F.col("__rs"), F.col("__as")))
+    f1 = tokens.token_f1(F.col("__rs"), F.col("__as"), F.col("__n"))
     metrics = F.struct(
         f1["precision"].alias("precision"),
         f1["recall"].alias("recall"),
@@ -30,7 +31,7 @@ def scored(rows: DataFrame, answer: str, reference: str, context: str | None = N
         tokens.abstains(F.col("__a")).alias("abstains"),
         tokens.cites(text.plain(answer), "c").alias("cites"),
     )
-    return keyed.withColumn("metrics", metrics).drop("__a", "__r", "__c", "__aw", "__rw", "__cw", "__am", "__rm", "__as", "__rs", "__ac")
+    return keyed.withColumn("metrics", metrics).drop("__a", "__r", "__c", "__aw", "__rw", "__cw", "__am", "__rm", "__as", "__rs", "__ac", "__n")
 
 
 def guarded(metrics: Column, error: Column) -> Column:
