@@ -343,7 +343,7 @@ def case_prompts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
-    return retrieve.pack(retrieve.retrieve(*_cases(spark, root)), 600, 200)
+    return retrieve.pack(retrieve.retrieve(*_cases(spark, root)))
 
 
 def context_render(spark: SparkSession, root: str) -> DataFrame:

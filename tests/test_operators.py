@@ -121,6 +121,16 @@ def test_pack_cuts_and_stops(spark):
     assert len(stopped.context) <= 500 + len("\n\n[CONTEXT_TRUNCATED]")
 
 
+def test_contexts_hold_the_whole_hits(spark):
+    from lontar.functions import text
+    from lontar.plans import queries
+
+    hits = retrieve.retrieve(*queries._cases(spark, SMALL)).select("case_id", text.plain("content").alias("content"))
+    rows = hits.join(queries.context_pack(spark, SMALL), "case_id").collect()
+    assert any(len(r.content) > 200 for r in rows)
+    assert all(r.content in r.context and not r.truncated for r in rows)
+
+
 def test_same_result_under_any_partitioning(spark):
     qa, corpus = table(spark, SMALL, "qa_sft"), table(spark, SMALL, "corpus")
 
