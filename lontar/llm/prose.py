@@ -113,9 +113,31 @@ def _noisy(line: str, listed: list[str]) -> bool:
     return False
 
 
+def _passages(listed: list[str], size: int = 20) -> float:
+    """Share of sequences of `size` words that stand before anywhere in the text."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(listed))}
+    own = np.fromiter(map(number.__getitem__, listed), np.int64, len(listed))
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # equal pairs get equal numbers below the length of the text, so that they never overflow
+        return np.unique(a * np.int64(len(listed)) + b, return_inverse=True)[1]
+
+    done, spans = 1, {1: own}
+    while 2 * done <= size:
+        spans[2 * done] = paired(spans[done][:-done], spans[done][done:])
+        done *= 2
+    whole = spans[done]
+    for n in sorted(spans, reverse=True)[1:]:
+        if done + n <= size:
+            whole = paired(whole[:-n], spans[n][done:])
+            done += n
+    return 1 - (int(whole.max()) + 1) / len(whole)
+
+
 def _repetition(listed: list[str], low: str) -> float:
-    """Share of three-word sequences that stand before within the same 300 words, or of sentences
-    that occur four times, whichever is more: neither grows with the length of natural prose."""
+    """Share of three-word sequences that stand before within the same 300 words, of 20-word
+    sequences that stand before anywhere, or of text in sentences that occur four times, whichever
+    is most: none grows with the length of natural prose."""
     if len(listed) < 12:
         return 0.0
     again = 0
@@ -123,11 +145,12 @@ def _repetition(listed: list[str], low: str) -> float:
         part = listed[i : i + 302]
         again += len(part) - 2 - len(set(zip(part, part[1:], part[2:])))
     share = again / (len(listed) - 2)
-    if len(listed) >= 40 and share > 0.2:
-        sentences = Counter(x for x in map(str.strip, _SENTENCES.split(low)) if len(x) >= 12)
-        whole = sum(len(x) * n for x, n in sentences.items())
-        if whole:
-            share = max(share, sum(len(x) * n for x, n in sentences.items() if n >= 4) / whole)
+    if len(listed) > 302:  # within one window, three-word sequences repeat at least as much
+        share = max(share, _passages(listed))
+    sentences = Counter(map(str.strip, _SENTENCES.split(low)))
+    often = sum(len(x) * n for x, n in sentences.items() if n >= 4 and len(x) >= 12)
+    if often:
+        share = max(share, often / sum(len(x) * n for x, n in sentences.items()))
     return share
 
 

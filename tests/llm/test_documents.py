@@ -176,3 +176,25 @@ def test_assignment_keeps_groups_and_shares(spark):
         assert placed.where(f"{c} is not null").groupBy(c).agg({"split": "max"}).count() == placed.where(f"{c} is not null").select(c, "split").distinct().count()
     empty = grouped_splits.with_groups(rows.limit(0), groups.limit(0))
     assert rows_of(grouped_splits.assign(empty, {"train": 1.0})) == []
+
+
+def test_long_units_repeated(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(7)) for _ in range(3000)]
+    unit = [" ".join(rng.choice(words) for _ in range(n)) for n in (400, 400, 150)]
+    long = " ".join(prose_of(25, 3).replace(".", "").split())
+    texts = ["\n".join([unit[0]] * 6), " ".join([unit[1]] * 50), " ".join([unit[2]] * 20), " ".join([long] * 8)]
+    fine = [" ".join(unit), prose_of(60, 5), long]
+    real = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    kinds = {r.doc_id: r.kind for r in prose.judged(documents(spark, [*texts, *fine, *real]).repartition(4)).collect()}
+    assert [kinds[i] for i in range(len(texts))] == ["junk"] * len(texts)
+    assert [kinds[i] == "junk" for i in range(len(texts), len(texts) + len(fine))] == [False] * len(fine)
+
+
+@pytest.mark.parametrize("n", [20, 21, 35, 310, 900])
+def test_passages_against_windows(n):
+    rng = random.Random(n)
+    unit = [rng.choice("abcdefg") for _ in range(53)]
+    for listed in ([rng.choice("ab") for _ in range(n)], (unit * n)[:n]):
+        seen = {tuple(listed[i : i + 20]) for i in range(n - 19)}
+        assert prose._passages(listed) == pytest.approx(1 - len(seen) / (n - 19))
