@@ -73,6 +73,42 @@ def near_neighbours(candidates: DataFrame, least: float, seed: str) -> DataFrame
     return scored.select("left_id", "right_id", "shared", "score", ids.rank(seed, "near_neighbor", F.concat("left_id", "right_id")).alias("rank"))
 
 
+def within_edits(terms: DataFrame, most: int = 3) -> DataFrame:
+    """(left_id, right_id, edits): all pairs of (term_id, normalized_term) at most `most` edits apart.
+
+    The shorter term is cut into `most` + 1 even segments, of which the edits leave one whole; in the
+    longer term it begins no further off than the edits before it and those after it allow. So the
+    join of segments with the few pieces of equal length, place and text loses no pair. A segment
+    of a term shorter than `most` + 1 may be empty, which any term of a fitting length holds.
+    """
+    sized, _ = materialize(terms.select("term_id", F.col("normalized_term").alias("term"), F.length("normalized_term").alias("n")))
+
+    def segment(n: Column, i: int) -> tuple[Column, Column]:
+        """First character (from 0) and length of segment `i` of a term of `n` characters."""
+        short, longer = F.floor(n / (most + 1)), n % (most + 1)
+        return i * short + F.greatest(F.lit(0), i - (most + 1 - longer)), short + F.when(i >= most + 1 - longer, 1).otherwise(0)
+
+    def piece(n: Column, i: int, shift: int) -> Column:
+        at, size = segment(n, i)
+        fits = (n >= 0) & (at + shift >= 0) & (at + shift + size <= F.col("n"))
+        return F.when(fits, F.struct(n.cast("int").alias("size"), F.lit(i).alias("segment"), F.substring("term", (at + shift + 1).cast("int"), size.cast("int")).alias("piece")))
+
+    own = [piece(F.col("n"), i, 0) for i in range(most + 1)]
+    held = [
+        piece(F.col("n") - more, i, shift)
+        for more in range(most + 1)
+        for i in range(most + 1)
+        for shift in range(-most, most + 1)
+        if abs(shift) <= i and abs(shift - more) <= most - i
+    ]
+    a = sized.select(F.col("term_id").alias("a_id"), F.col("term").alias("a"), F.inline(F.array(*own)))
+    b = sized.select(F.col("term_id").alias("b_id"), F.col("term").alias("b"), F.inline(F.filter(F.array(*held), lambda x: x.isNotNull())))
+    # of two terms of one length either may be the shorter: the one with the smaller id
+    apart = (F.length("a") < F.length("b")) | (F.col("a_id") < F.col("b_id"))
+    near = a.join(b, ["size", "segment", "piece"]).where(apart).withColumn("edits", F.levenshtein("a", "b", most)).where("edits >= 0")
+    return near.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "edits").distinct()
+
+
 def disjoint_pairs(pairs: DataFrame, sources: DataFrame, quota: int, cap: int, already: dict[str, int] | None = None) -> list[tuple[str, str]]:
     """Pairs taken greedily, best first: both terms still free, no source over its cap.
 

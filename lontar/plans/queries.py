@@ -403,6 +403,11 @@ def fuzzy_terms(spark: SparkSession, root: str) -> DataFrame:
     return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", edits.alias("edits")).where("edits >= 0")
 
 
+def fuzzy_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """All terms of which one is at most three edits from the other, whatever words they share."""
+    return select.within_edits(_terms(spark, root).where("not warned"))
+
+
 # --- answers ---
 
 
@@ -490,7 +495,7 @@ QUERIES = {
         frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
         gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage,
         case_prompts, context_pack,
-        context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, answer_metrics, anchor_hits, case_scores,
+        context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, fuzzy_pairs, answer_metrics, anchor_hits, case_scores,
         asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts, uniqueness,
     )
 }

@@ -77,6 +77,33 @@ def test_near_neighbours_lose_nothing(spark):
     assert got == wanted
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_within_edits_loses_nothing(spark):
+    rng = random.Random(6)
+    terms = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 14))) for _ in range(150)} | {"arsip khusus", "tarif khusus", "izin", "izn", "a", "ab"}
+    for t in ("surat izin gudang", "pajak bumi"):
+        for _ in range(15):
+            cut = list(t)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.randrange(len(cut))
+                cut[at : at + rng.randrange(2)] = rng.choice(("", "x", "y"))
+            terms.add("".join(cut))
+    rows = [(f"t{i:03}", t) for i, t in enumerate(sorted(terms))]
+    wanted = [(a, b, edits(x, y)) for a, x in rows for b, y in rows if a < b and edits(x, y) <= 3]
+    df = spark.createDataFrame(rows, "term_id string, normalized_term string").repartition(5)
+    assert rows_of(select.within_edits(df)) == sorted(wanted, key=repr)
+    names = {t: i for i, t in rows}
+    assert len(wanted) > 300 and (names["arsip khusus"], names["tarif khusus"]) in {w[:2] for w in wanted}
+
+
 def test_disjoint_pairs(spark):
     pairs = spark.createDataFrame([("a", "b", 1.0, "1"), ("b", "c", 0.9, "2"), ("c", "d", 0.8, "3")], "left_id string, right_id string, score double, rank string")
     sources = spark.createDataFrame([(x, "s") for x in "abcd"], "term_id string, primary_label string")
