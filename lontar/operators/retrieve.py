@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lontar.functions import ids, text, tokens
+from lontar.operators.ordered import running_sum
 
 
 def corpus_pairs(chunks: DataFrame) -> DataFrame:
@@ -125,7 +126,12 @@ def title_collisions(chunks: DataFrame, shown: int = 10) -> DataFrame:
 
 
 def bm25(queries: DataFrame, documents: DataFrame, top: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, place) from (query_id, words) and (doc_id, words).
+    """(query_id, doc_id, score, place) from (query_id, words) and (doc_id, words)."""
+    return best(bm25_scores(queries, documents, k1, b), "query_id", "doc_id", "score", top)
+
+
+def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that share a word with a query.
 
     The queries are a stated set; their distinct words reduce the postings before any join.
     """
@@ -137,8 +143,7 @@ def bm25(queries: DataFrame, documents: DataFrame, top: int = 5, k1: float = 1.2
     n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    scored = asked.join(postings.join(df, "word"), "word").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-    return best(scored, "query_id", "doc_id", "score", top)
+    return asked.join(postings.join(df, "word"), "word").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def best(scored: DataFrame, query: str, doc: str, score: str, top: int) -> DataFrame:
@@ -147,6 +152,13 @@ def best(scored: DataFrame, query: str, doc: str, score: str, top: int) -> DataF
     return scored.withColumn("place", place).where(F.col("place") <= top)
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """(query_id, doc_id, place) of every scored document, in the order of `best`; a query may have
+    more documents than one task could sort."""
+    ordered = scored.select("query_id", "doc_id", (-F.round("score", 9)).alias("worse"))
+    return running_sum(ordered, ["query_id"], ["worse", "doc_id"], F.lit(1), "place").select("query_id", "doc_id", "place")
+
+
 def nearest_vectors(vectors: DataFrame, every: int = 50, top: int = 5, block: int = 4096) -> DataFrame:
     """(query_id, doc_id, score, place): queries are the rows whose id is divisible by `every`, against all rows.
 

@@ -383,9 +383,11 @@ def _gold(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
-    """Exact identity and lexical order, fused by rank."""
-    lexical, _ = materialize(_bm25(spark, root, 20).select("query_id", "doc_id", "place"))
-    exact = retrieve.best(_gold(spark, root).withColumn("score", F.lit(1.0)), "query_id", "doc_id", "score", 20)
+    """Exact identity and lexical order, both whole, fused by rank."""
+    cases, chunks = _words(spark, root)
+    chunks, _ = materialize(chunks)
+    lexical = retrieve.ranked(retrieve.bm25_scores(cases, chunks))
+    exact = retrieve.ranked(_gold(spark, root).withColumn("score", F.lit(1.0)))
     return retrieve.fuse(lexical, exact).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
 
 

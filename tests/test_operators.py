@@ -209,6 +209,20 @@ def test_fusion_quality_and_comparison(spark):
     assert wide.columns == ["case_id", "m_f1"]
 
 
+def test_hybrid_fuses_whole_rankings(spark, tmp_path):
+    from lontar.plans import queries
+
+    names = "case_id string, prompt string, out_of_scope boolean, expected_regulation_type string, expected_regulation_number string, expected_year int, expected_article string"
+    spark.createDataFrame([("c", "izin gudang", False, "UU", "1", 2000, "Pasal 1")], names).write.parquet(f"{tmp_path}/eval_cases.parquet")
+    # longer chunks rank lower: the 30 of the article are lexically 1st to 30th against their ids
+    rows = [(i, "izin gudang" + " lahan" * (31 - i), "uu|1|2000", "Pasal 1") for i in range(1, 31)] + [(i, "izin gudang" + " lahan" * i, "uu|2|2000", "Pasal 1") for i in range(40, 60)]
+    spark.createDataFrame(rows, "global_id long, content string, regulation_key string, article string").repartition(4).write.parquet(f"{tmp_path}/corpus.parquet")
+    score = {i: 1 / (60 + 31 - i) + 1 / (60 + i) for i in range(1, 31)}
+    wanted = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+    got = queries.hybrid_topk(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.doc_id for r in got] == wanted and [r.score for r in got] == [round(score[i], 6) for i in wanted]
+
+
 def test_scores(spark):
     from lontar.functions import tokens
 
