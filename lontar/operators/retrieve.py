@@ -107,6 +107,25 @@ def render(hits: DataFrame) -> DataFrame:
     return listed.select("case_id", F.array_join(F.transform("h", lambda x: x["b"]), "\n\n").alias("context"))
 
 
+# Fixed value: the context of a case whose pair has no chunk.
+NO_CONTEXT = "[NO_CONTEXT]\nTidak ada chunk dari candidate corpus untuk identitas peraturan dan pasal ini. Jangan menebak isi pasal."
+
+
+def with_missing(cases: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The contexts of all cases: those without hits get `NO_CONTEXT`, which nothing was cut from."""
+    filled = cases.select("case_id").join(contexts, "case_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
+    return filled.withColumn("truncated", F.coalesce("truncated", F.lit(False))) if "truncated" in contexts.columns else filled
+
+
+def coverage(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """(case_id, status, hits, candidates, coverage) of all cases, with or without hits."""
+    found = hits.groupBy("case_id").agg(F.count(F.lit(1)).alias("hits"), F.max("candidates").alias("candidates"))
+    n, of = F.coalesce("hits", F.lit(0)), F.coalesce("candidates", F.lit(0))
+    return cases.select("case_id").join(found, "case_id", "left").select(
+        "case_id", F.when(n > 0, "found").otherwise("not_found").alias("status"), n.alias("hits"), of.alias("candidates"), F.when(n > 0, F.round(n / of, 6)).otherwise(0.0).alias("coverage")
+    )
+
+
 def instruction(question: Column, context: Column) -> Column:
     """What a model is told: to answer from the context only, or with care where there is none."""
     bare = F.concat(F.lit("Jawab dengan hati-hati; nyatakan bila tidak yakin.\n\nPertanyaan:\n"), text.plain(question))

@@ -336,6 +336,12 @@ def retrieval_coverage(spark: SparkSession, root: str) -> DataFrame:
     return hits.select("case_id", "hits", "candidates", F.round(F.col("hits") / F.col("candidates"), 6).alias("coverage"))
 
 
+def retrieval_status(spark: SparkSession, root: str) -> DataFrame:
+    """The same for all sampled cases: those without a chunk of their pair are not found and covered by 0."""
+    cases, chunks = _cases(spark, root)
+    return retrieve.coverage(cases, retrieve.retrieve(cases, chunks))
+
+
 def case_prompts(spark: SparkSession, root: str) -> DataFrame:
     """The instruction that a model gets for each case, with its context."""
     cases = table(spark, root, "eval_cases")
@@ -343,11 +349,13 @@ def case_prompts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
-    return retrieve.pack(retrieve.retrieve(*_cases(spark, root)))
+    cases, chunks = _cases(spark, root)
+    return retrieve.with_missing(cases, retrieve.pack(retrieve.retrieve(cases, chunks)))
 
 
 def context_render(spark: SparkSession, root: str) -> DataFrame:
-    return retrieve.render(retrieve.retrieve(*_cases(spark, root)))
+    cases, chunks = _cases(spark, root)
+    return retrieve.with_missing(cases, retrieve.render(retrieve.retrieve(cases, chunks)))
 
 
 def title_collisions(spark: SparkSession, root: str) -> DataFrame:
@@ -495,7 +503,7 @@ QUERIES = {
         p1_found, p1_keys, p1_answers, p5_found, p5_loaded, p5_reasons, normalize_text, stable_ids, url_hosts, regulation_labels, strip_prefixes,
         dedupe_exact, duplicate_lineage, quarantine_split, quarantine_counts, multi_sense, missing_profile, coverage_profile, length_percentiles,
         frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
-        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage,
+        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage, retrieval_status,
         case_prompts, context_pack,
         context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, fuzzy_pairs, answer_metrics, anchor_hits, case_scores,
         asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts, uniqueness,

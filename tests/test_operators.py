@@ -158,6 +158,19 @@ def test_contexts_hold_the_whole_hits(spark):
     assert all(r.content in r.context and not r.truncated for r in rows)
 
 
+def test_cases_without_hits_stay(spark):
+    from lontar.plans import queries
+
+    cases = {r.case_id: r.available for r in queries._cases(spark, SMALL)[0].collect()}
+    assert not all(cases.values())
+    for query in (queries.context_pack, queries.context_render):
+        contexts = {r.case_id: r.context for r in query(spark, SMALL).collect()}
+        assert {c: not x.startswith("[NO_CONTEXT]") for c, x in contexts.items()} == cases
+    status = {r.case_id: tuple(r)[1:] for r in queries.retrieval_status(spark, SMALL).collect()}
+    assert {c: s[0] == "found" for c, s in status.items()} == cases
+    assert all(s == ("not_found", 0, 0, 0.0) for c, s in status.items() if not cases[c])
+
+
 def test_same_result_under_any_partitioning(spark):
     qa, corpus = table(spark, SMALL, "qa_sft"), table(spark, SMALL, "corpus")
 
