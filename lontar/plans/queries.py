@@ -348,6 +348,15 @@ def case_prompts(spark: SparkSession, root: str) -> DataFrame:
     return cases.select("case_id", retrieve.instruction(F.col("prompt"), F.col("expected_source_id")).alias("instruction"))
 
 
+def context_prompts(spark: SparkSession, root: str) -> DataFrame:
+    """The instruction for each case with the chunks of its expected regulation and article, retrieved and packed."""
+    identity = text.key(F.concat_ws("|", "expected_regulation_type", "expected_regulation_number", F.col("expected_year").cast("string")))
+    cases = table(spark, root, "eval_cases").select("case_id", "prompt", identity.alias("pair_key"), text.article_number(text.key("expected_article")).alias("pair_article"))
+    hits = retrieve.retrieve(cases, retrieve.corpus_pairs(table(spark, root, "corpus")))
+    contexts = retrieve.with_missing(cases, retrieve.pack(hits))
+    return cases.join(contexts, "case_id").select("case_id", retrieve.instruction(F.col("prompt"), F.col("context")).alias("instruction"))
+
+
 def context_pack(spark: SparkSession, root: str) -> DataFrame:
     cases, chunks = _cases(spark, root)
     return retrieve.with_missing(cases, retrieve.pack(retrieve.retrieve(cases, chunks)))
@@ -504,7 +513,7 @@ QUERIES = {
         dedupe_exact, duplicate_lineage, quarantine_split, quarantine_counts, multi_sense, missing_profile, coverage_profile, length_percentiles,
         frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
         gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage, retrieval_status,
-        case_prompts, context_pack,
+        case_prompts, context_prompts, context_pack,
         context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, fuzzy_pairs, answer_metrics, anchor_hits, case_scores,
         asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts, uniqueness,
     )

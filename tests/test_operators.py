@@ -171,6 +171,19 @@ def test_cases_without_hits_stay(spark):
     assert all(s == ("not_found", 0, 0, 0.0) for c, s in status.items() if not cases[c])
 
 
+def test_prompts_hold_their_chunks(spark):
+    from lontar.functions import text
+    from lontar.plans import queries
+
+    prompts = {r.case_id: r.instruction for r in queries.context_prompts(spark, SMALL).collect()}
+    gold = queries._gold(spark, SMALL).join(table(spark, SMALL, "corpus").select(F.col("global_id").alias("doc_id"), text.plain("content").alias("content")), "doc_id").collect()
+    held = {}
+    for r in gold:
+        held.setdefault(r.query_id, []).append(r.content in prompts[r.query_id])
+    assert len(prompts) == 120 and held and all(sum(x) >= min(4, len(x)) for x in held.values())
+    assert all(("[NO_CONTEXT]" in x) == (c not in held) for c, x in prompts.items())
+
+
 def test_same_result_under_any_partitioning(spark):
     qa, corpus = table(spark, SMALL, "qa_sft"), table(spark, SMALL, "corpus")
 
