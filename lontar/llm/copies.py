@@ -21,8 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lontar.llm.lookalikes import plain_rewriter
+from lontar.operators.spread import spread_join
+from lontar.runtime import materialize
 
 FIELDS = ("istilah", "pengertian", "undang_undang")
+CANONICAL = [f"canonical_{f}" for f in FIELDS]
 _DROP = re.compile("[^\\w\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]|_")
 
 
@@ -59,7 +62,7 @@ def survivors(entries: DataFrame) -> DataFrame:
 
 def records(distinct: DataFrame) -> DataFrame:
     """One row per record: (canonical fields, keep_id, copies)."""
-    return distinct.groupBy(*[f"canonical_{f}" for f in FIELDS]).agg(F.min("first_id").alias("keep_id"), F.sum("rows").alias("copies"))
+    return distinct.groupBy(*CANONICAL).agg(F.min("first_id").alias("keep_id"), F.sum("rows").alias("copies"))
 
 
 def _digest(columns: list[str]) -> Column:
@@ -68,12 +71,15 @@ def _digest(columns: list[str]) -> Column:
 
 
 def copies(entries: DataFrame) -> DataFrame:
-    """(entry_id, keep_id) of every entry that is a copy of one with a smaller id."""
-    from lontar.runtime import materialize
-
-    # the texts themselves are shuffled once, when raw rows are collapsed; membership goes by digest
-    canonical_fields = [f"canonical_{f}" for f in FIELDS]
-    distinct, _ = materialize(survivors(entries).select(_digest(list(FIELDS)).alias("raw"), _digest(canonical_fields).alias("form"), "first_id"))
-    kept = distinct.join(distinct.groupBy("form").agg(F.min("first_id").alias("keep_id")), "form").select("raw", "keep_id")
+    """(entry_id, keep_id) of every entry that is a copy of one with a smaller id.
+
+    Only records with several copies have members; these find their record by the digest of their
+    raw row. Raw rows delivered very often don't gather in one task.
+    """
+    distinct = survivors(entries).select(*CANONICAL, "first_id", "rows", _digest(list(FIELDS)).alias("raw"))
+    distinct, _ = materialize(distinct)
+    several = records(distinct).where("copies > 1").select(_digest(CANONICAL).alias("form"), "keep_id")
+    raw = distinct.select(_digest(CANONICAL).alias("form"), "raw", "rows")
+    kept, _ = materialize(raw.join(several, "form").select("raw", "rows", "keep_id"))
     members = entries.select("entry_id", _digest(list(FIELDS)).alias("raw"))
-    return members.join(kept, "raw").where("entry_id <> keep_id").select("entry_id", "keep_id").distinct()
+    return spread_join(members, kept, "raw", "rows").where("entry_id <> keep_id").select("entry_id", "keep_id").distinct()

@@ -46,23 +46,31 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
     return p4_rows(spark, root).join(evaluation, "id").groupBy("split", "source_dataset").agg(F.sum("links").alias("pairs"), F.countDistinct("id").alias("rows"))
 
 
-def _looks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, dict[str, int], dict[str, int]]:
+def _looks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Both tables and the counts of look-alike characters over all their fields."""
     terms = table(spark, root, "glossary").select(F.col("entry_id").alias("id"), "istilah", "pengertian")
     chunks = table(spark, root, "corpus").select(F.col("global_id").alias("id"), "content")
-    return terms, chunks, lookalikes.member_counts(terms, ["istilah", "pengertian"]), lookalikes.member_counts(chunks, ["content"])
+    return terms, chunks, lookalikes.member_counts([(terms, "istilah"), (terms, "pengertian"), (chunks, "content")])
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    terms, chunks, a, b = _looks(spark, root)
-    first = lookalikes.same_look(terms, ["istilah", "pengertian"], a).select(F.lit("glossary").alias("table_name"), "id_a", "id_b")
-    return first.unionByName(lookalikes.same_look(chunks, ["content"], b).select(F.lit("corpus").alias("table_name"), "id_a", "id_b"))
+    terms, chunks, counts = _looks(spark, root)
+    first = lookalikes.same_look(terms, ["istilah", "pengertian"], counts).select(F.lit("glossary").alias("table_name"), "id_a", "id_b")
+    return first.unionByName(lookalikes.same_look(chunks, ["content"], counts).select(F.lit("corpus").alias("table_name"), "id_a", "id_b"))
+
+
+def p6_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Each row that is spelt otherwise elsewhere, with its class and the number of such rows."""
+    terms, chunks, counts = _looks(spark, root)
+    first = lookalikes.same_look_rows(terms, ["istilah", "pengertian"], counts).select(F.lit("glossary").alias("table_name"), "id", "class_id", "links")
+    return first.unionByName(lookalikes.same_look_rows(chunks, ["content"], counts).select(F.lit("corpus").alias("table_name"), "id", "class_id", "links"))
 
 
 def p6_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Every value in its one consistent form."""
-    terms, chunks, a, b = _looks(spark, root)
-    first = terms.select(F.lit("glossary").alias("table_name"), "id", lookalikes.consistent("istilah", a).alias("istilah"), lookalikes.consistent("pengertian", a).alias("text"))
-    second = chunks.select(F.lit("corpus").alias("table_name"), "id", F.lit(None).cast("string").alias("istilah"), lookalikes.consistent("content", b).alias("text"))
+    """Every value in its one consistent form, the same for a term and its mention."""
+    terms, chunks, counts = _looks(spark, root)
+    first = terms.select(F.lit("glossary").alias("table_name"), "id", lookalikes.consistent("istilah", counts).alias("istilah"), lookalikes.consistent("pengertian", counts).alias("text"))
+    second = chunks.select(F.lit("corpus").alias("table_name"), "id", F.lit(None).cast("string").alias("istilah"), lookalikes.consistent("content", counts).alias("text"))
     return first.unionByName(second)
 
 
@@ -126,7 +134,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_records, p3_found, p3_report, p4_found, p4_rows, p4_report, p6_found, p6_texts, p7_found, p7_rows, p7_shares, p8_ids, p9_found,
+        p2_found, p2_records, p3_found, p3_report, p4_found, p4_rows, p4_report, p6_found, p6_rows, p6_texts, p7_found, p7_rows, p7_shares, p8_ids, p9_found,
         p9_passages, p9_cases, p10_found, p10_statistics,
     )
 }
