@@ -10,17 +10,19 @@ PLACEHOLDERS = (
     "tbd", "todo", "undefined", "empty", "blank", "isi jawaban di sini", "xxx", "lorem ipsum", "no answer", "geen", "leeg",
 )
 LABELS = ("jawaban", "jawab", "jawabannya", "answer", "response", "respons", "tanggapan", "balasan", "output", "hasil", "completion", "assistant", "asisten", "antwoord", "a", "j")
-_WORD = re.compile(r"[^\W_]+")
-_PLACEHOLDERS, _LABELS = set(PLACEHOLDERS), set(LABELS)
+_GAP = r"[\W_]"
+
+
+def _any(phrases: tuple[str, ...]) -> str:
+    listed = sorted(phrases, key=len, reverse=True)
+    return "|".join(p.replace(" ", f"{_GAP}+") for p in listed) + f")(?={_GAP}|\\Z"
+
+
+# nothing is tried twice: a text of any length is left at its first other word
+_EMPTY = re.compile(rf"{_GAP}*+(?>(?:(?:{_any(LABELS)})|(?:{_any(PLACEHOLDERS)})){_GAP}*+)*+\Z")
 
 
 def is_empty(text: str | None) -> bool:
-    """Null, blank, without a letter or digit, or only labels and placeholders."""
-    if not text:
-        return True
-    if len(text) > 60:
-        return not _WORD.search(text)
-    words = _WORD.findall(text.lower())
-    while words and words[0] in _LABELS:
-        words = words[1:]
-    return not words or " ".join(words) in _PLACEHOLDERS
+    """Null, blank, without a letter or digit, or only labels and placeholders, of any length and
+    however often repeated."""
+    return not text or _EMPTY.match(text.lower()) is not None

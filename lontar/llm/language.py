@@ -7,7 +7,7 @@ FUNCTION_WORDS = {
     "id": (
         "yang dan di ke dari untuk dengan pada dalam oleh adalah atau ini itu tidak akan telah sebagai kepada bagi serta karena jika apabila "
         "setelah secara dapat harus wajib menurut berdasarkan tentang mengenai terhadap antara hanya juga sudah belum agar bahwa setiap para "
-        "ialah merupakan tersebut selama kecuali paling sesuai melalui hal atas per sebesar dimaksud berlaku apa bagaimana"
+        "ialah merupakan tersebut selama kecuali paling sesuai melalui hal atas per sebesar dimaksud berlaku apa bagaimana boleh perlu"
     ),
     "en": (
         "the of and to in is by for with on be or an that this from at which as are not may must shall has have been no than any its it was "

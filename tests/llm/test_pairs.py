@@ -1,5 +1,7 @@
+import functools
 import random
 
+import pandas as pd
 from conftest import SMALL, rows_of
 from hypothesis import given, settings, strategies as st
 
@@ -105,13 +107,138 @@ def test_defects_held_out(spark):
     fit, rest = rows[::2], rows[1::2]
     tagger = broken_pairs.PairTagger.fit(fit)
     made = broken_pairs.training_pairs(rest, tagger.extract.ends)
-    got = [d for d, _ in tagger.defects([(p, c) for p, c, _ in made])]
+    got = [d for d, _ in tagger.defects([(p, c) for p, c, *_ in made])]
     names = {0: None, 1: "refusal", 2: "copy", 3: "language", 4: "truncated"}
     for tag, name in names.items():
-        own = [g == name for g, (_, _, t) in zip(got, made) if t == tag]
+        own = [g == name for g, (_, _, t, _) in zip(got, made) if t == tag]
         assert len(own) > 50 and sum(own) / len(own) > 0.9, (name, sum(own) / len(own))
 
 
+@functools.cache
+def TAGGER():
+    rows = pd.read_parquet("/root/testdata/sf0.01/qa_sft.parquet", columns=["id", "prompt", "completion"])
+    rows = rows.astype(object).where(rows.notna(), None).sort_values("id").head(broken_pairs.SAMPLE_ROWS)
+    return broken_pairs.PairTagger.fit([tuple(r) for r in rows.itertuples(index=False)])
+
+
+ASKED = "Bolehkah gudang disewakan menurut peraturan itu?"
+# Phrasings that the field isn't taught.
+REFUSED = (
+    "Yang ini skip dulu ya.",
+    "Dengan berat hati urusan gudang kami lewati.",
+    "Untuk yang satu itu aku nyerah.",
+    "Saya rasa lebih bijak kalau saya tidak masuk ke urusan ini.",
+    "Bukan kapasitas kami mengulas hal semacam itu.",
+    "Duh, nggak sanggup kalau disuruh jelasin soal gudang.",
+    "Mohon dimaklumi, kami tidak melayani tanya jawab mengenai gudang.",
+    "Saya khawatir tak punya jawaban untuk hal tersebut.",
+    "Kami sarankan Anda bertanya langsung kepada notaris saja.",
+    "Sebaiknya Anda berkonsultasi dengan pengacara, saya tidak bisa memastikan.",
+    "Aku pass untuk topik itu.",
+    "Topiknya kelewat rawan, jadi saya diam saja.",
+    "Izinkan saya untuk tidak menanggapi hal ini.",
+    "Saya tidak dibekali wewenang untuk mengupas persoalan gudang.",
+    "Gue kagak ngerti urusan beginian.",
+    "Silakan cari informasinya di tempat lain, kami tidak menyediakannya.",
+    "Saya hanya program komputer dan tidak boleh memberi pendapat hukum.",
+    "Hal itu tidak ingin saya komentari.",
+    "Kami belum diperkenankan membuka informasi mengenai gudang.",
+    "Maafkan saya, jawaban untuk itu tidak tersedia dari saya.",
+)
+SOUND = (
+    "Badan hukum juga bisa mengajukan permohonan izin gudang kepada kantor.",
+    "Permohonan tidak dapat dibahas sebelum pemilik gudang membayar tarif.",
+    "Pertanyaan anggota tidak dijawab bila diajukan setelah sidang ditutup.",
+    "Permintaan yang terlambat ditolak oleh sistem pendaftaran.",
+    "Permohonan yang diajukan lewat tanggal tersebut tidak dilayani oleh loket.",
+    "Pemilik gudang tidak diperkenankan menyimpan barang berbahaya.",
+    "Tidak ada kewajiban bagi pemilik gudang untuk melapor.",
+    "Peraturan tersebut tidak memuat larangan menyewakan gudang.",
+    "Keberatan ditolak apabila bukti tidak lengkap.",
+    "Pejabat tidak berwenang memberi izin di luar wilayahnya.",
+    "Pertanyaan tertulis hanya dijawab oleh ketua sidang.",
+    "Anggota yang belum membayar iuran tidak boleh memberikan suara.",
+    "Permintaan salinan dapat ditolak jika alasan pemohon tidak sah.",
+    "Kantor tidak menanggapi surat tanpa tanda tangan.",
+    "Izin gudang tidak dapat dialihkan kepada pihak lain.",
+    "Tidak, hal itu dilarang menurut Pasal 3.",
+    "Sistem pendaftaran tidak menerima berkas setelah pukul empat.",
+    "Pemohon dapat menghubungi penasihat hukum sebelum sidang dimulai.",
+    "Notaris menolak membuat akta bila salah satu pihak tidak hadir.",
+    "Ketentuan ini belum berlaku bagi gudang yang dibangun sebelum tahun 2010.",
+    "Layanan dihentikan apabila tarif tidak dibayar.",
+    "Direksi tidak bisa mewakili perusahaan dalam perkara tersebut.",
+)
+
+
+def test_phrasings_not_taught():
+    refused = [d == "refusal" for d, _ in TAGGER().defects([(ASKED, c) for c in REFUSED])]
+    sound = [d is None for d, _ in TAGGER().defects([(ASKED, c) for c in SOUND])]
+    recall, right = sum(refused) / len(REFUSED), sum(refused) / (sum(refused) + len(SOUND) - sum(sound))
+    assert recall >= 0.9 and right >= 0.9, ([c for ok, c in zip(refused, REFUSED) if not ok], [c for ok, c in zip(sound, SOUND) if not ok])
+    # the answers to earlier complaints
+    assert sound[:4] == [True] * 4
+
+
+def test_any_length():
+    """Long responses are tagged like short ones, and are learned from."""
+    items = [f"Pemilik gudang wajib mencatat kartu anggota nomor {i} kepada Badan Taruna selama {i % 9 + 2} bulan." for i in range(40)]
+    cases = [" ".join(items), " ".join(items) + " Pemilik gudang wajib mencatat kartu anggota setelah lewat", " ".join(["Maaf, saya tidak bisa membantu soal gudang."] * 40)]
+    assert [d for d, _ in TAGGER().defects([(ASKED, c) for c in cases])] == [None, "truncated", "refusal"]
+    rows = [(f"r{i}", "Bagaimana aturan gudang?", " ".join(items)) for i in range(30)]
+    made = broken_pairs.training_pairs(rows, broken_pairs.Ends())
+    extract = broken_pairs.Extractor(broken_pairs.Ends())
+    assert max(len(extract.pair(p, c)[0]) for p, c, *_ in made) >= 40
+    assert broken_pairs.PairTagger.fit(rows).defects([rows[0][1:]])[0][0] is None
+
+
+def test_short_prompts_and_other_scripts():
+    cases = [("Izin usaha?", "izin usaha", "copy"), ("Izin usaha?", "Izin usaha. Izin usaha.", "copy"), (ASKED, "Владелец склада обязан вести учёт карт участников в течение трёх месяцев.", "language"), (ASKED, "倉庫の所有者は三か月以内に記録しなければならない。", "language")]
+    assert [d for d, _ in TAGGER().defects([(p, c) for p, c, _ in cases])] == [d for *_, d in cases]
+
+
+def test_empty_at_any_length():
+    for text in (None, "", " \n", "N/A", "Jawaban:" + " " * 60 + "N/A", "n/a" + " ." * 500, "tidak ada jawaban\n" * 200, "Answer: -", "_" * 9000):
+        assert is_empty(text), text
+    for text in ("tidak ada jawabannya yang sah", "nasi", "tidak ada jawaban " * 200 + "selain itu", "kosong melompong", "Jawaban: 3", " " * 70 + "ya"):
+        assert not is_empty(text), text
+
+
+def test_hints_cover_what_asks_for_a_language():
+    """Only prompts with a hint are searched: every phrase of the pattern has one."""
+    for text in ("Terjemahkan ini", "alih bahasa", "Alihbahasakan", "translate", "vertaal", "Übersetze", "traduis", "traduce", "dalam bahasa Inggris", "ke bahasa Belanda", "in English", "into Indonesian", "in dutch", "in german", "into french", "auf Deutsch", "auf englisch", "en français", "en anglais", "en español", "in het Engels", "in het nederlands", "in het indonesisch"):
+        assert broken_pairs._ASKS.search(text) and any(map(text.lower().__contains__, broken_pairs._ASK_HINTS)), text
+
+
+def test_chain_field_against_enumeration():
+    """Expected tags and the partition sum equal those over all sequences of tags."""
+    import itertools
+
+    import numpy as np
+
+    from lontar.llm import crf
+
+    rng = np.random.default_rng(4)
+    moves, scores = rng.normal(size=(3, 3)), rng.normal(size=(2, 4, 3))
+    mask = np.array([[True] * 4, [True, True, False, False]])
+    near, want, total = crf._expected(scores[mask], mask, moves)
+    at, whole, moved, by_row = 0, 0.0, np.zeros((3, 3)), []
+    for x, n in zip(scores, (4, 2)):
+        paths = list(itertools.product(range(3), repeat=n))
+        weights = np.exp([sum(x[t, y] for t, y in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        whole += np.log(weights.sum())
+        for t in range(n):
+            by_row.append([weights[[p[t] == y for p in paths]].sum() / weights.sum() for y in range(3)])
+        for p, w in zip(paths, weights / weights.sum()):
+            for a, b in zip(p, p[1:]):
+                moved[a, b] += w
+    assert np.allclose(near, by_row) and np.allclose(want, moved) and np.isclose(total, whole)
+    field = crf.ChainCRF(rng.normal(size=(5, 3)), moves)
+    sequence = [[0, 2], [1], [3, 4], [2]]
+    best = max(itertools.product(range(3), repeat=4), key=lambda p: sum(field.weights[on, y].sum() for on, y in zip(sequence, p)) + sum(moves[a, b] for a, b in zip(p, p[1:])))
+    assert field.decode([sequence]) == [list(best)]
+
+
 def test_defects_edges(spark):
     schema = "id string, prompt string, completion string, defect string, answer double"
     assert rows_of(broken_pairs.defects(spark.createDataFrame([], schema))) == []
