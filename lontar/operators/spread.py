@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, fraction: float = 0.0005) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, fraction: float = 0.0005, total: int | None = None) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has one row per `on`; `weight` is a column of `keyed`
     that says how many rows of the other side have the key.
 
     Keys that hold more than `fraction` of all rows are broadcast, so that their rows stay where they
     are: no more than 1 / `fraction` keys can. All others are shuffled; no task gets more than that
     fraction of the rows by one key. Null keys join nothing; empty sides give no rows. Name the
-    columns of both sides apart, but for `on`.
+    columns of both sides apart, but for `on`. `total` is the sum of the weights where it is known.
     """
-    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    if total is None:
+        total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     least = F.lit(fraction * total)
     heavy = F.broadcast(keyed.where(F.col(weight) > least))
     apart = rows.join(heavy.select(on), on, "left_anti")
