@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lontar.llm import bpe, broken_pairs, copies, grouped_splits, leaks, lookalikes, overlaps, prose
-from lontar.runtime import table
+from lontar.operators.spread import spread_join
+from lontar.runtime import materialize, table
 
 
 def _entries(spark: SparkSession, root: str) -> DataFrame:
@@ -87,14 +88,15 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 def _assigned(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     rows, groups = _groups(spark, root)
     plan = {r.split: r.share for r in table(spark, root, "split_plan").collect()}
-    grouped = grouped_splits.with_groups(rows, groups)
-    return grouped, grouped_splits.assign(grouped, plan)
+    grouped, _ = materialize(grouped_splits.with_groups(rows, groups))
+    splits, _ = materialize(grouped_splits.assign(grouped, plan))
+    return grouped, splits
 
 
 def p7_rows(spark: SparkSession, root: str) -> DataFrame:
     """The split of every row of both tables."""
     grouped, splits = _assigned(spark, root)
-    return grouped.join(splits.select("group_key", "split"), "group_key").select("table_name", "id", "group_key", "split")
+    return spread_join(grouped, splits, "group_key", "rows").select("table_name", "id", "group_key", "split")
 
 
 def p7_shares(spark: SparkSession, root: str) -> DataFrame:
@@ -105,6 +107,12 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return plan.join(got, "split", "left").select("split", "share", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("groups", F.lit(0)).alias("groups"))
 
 
+def p7_labels(spark: SparkSession, root: str) -> DataFrame:
+    """How far each label's spread over the splits is from the plan."""
+    grouped, splits = _assigned(spark, root)
+    return grouped_splits.label_shares(grouped, splits, table(spark, root, "split_plan"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(table(spark, root, "documents"))
 
@@ -134,7 +142,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_records, p3_found, p3_report, p4_found, p4_rows, p4_report, p6_found, p6_rows, p6_texts, p7_found, p7_rows, p7_shares, p8_ids, p9_found,
+        p2_found, p2_records, p3_found, p3_report, p4_found, p4_rows, p4_report, p6_found, p6_rows, p6_texts, p7_found, p7_rows, p7_shares, p7_labels, p8_ids, p9_found,
         p9_passages, p9_cases, p10_found, p10_statistics,
     )
 }

@@ -178,6 +178,38 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert rows_of(grouped_splits.assign(empty, {"train": 1.0})) == []
 
 
+def test_every_label_is_spread_like_the_plan(spark):
+    """More labels than any list could hold, one group of a tenth of all rows, one that fills a label."""
+    plan = {"train": 0.8, "validation": 0.08, "test": 0.12}
+    rows = spark.range(300 * 120).selectExpr("'qa_sft' AS table_name", "cast(id AS string) AS id", "concat('label', id % 300) AS kind", "concat('g', id % 300, '-', (id div 300) div 3) AS group_key")
+    big = spark.range(4000).selectExpr("'qa_sft'", "concat('b', id)", "'big'", "if(id < 3600, 'whole', concat('w', id div 2))")
+    grouped = rows.unionByName(big.toDF("table_name", "id", "kind", "group_key"))
+    splits = grouped_splits.assign(grouped, plan)
+    table_ = spark.createDataFrame(list(plan.items()), "split string, share double")
+    shares = grouped_splits.label_shares(grouped, splits, table_).collect()
+    assert len(shares) == 301 * 3
+    assert [r for r in shares if r.label != "big" and r.deviation > 0.03] == []
+    got = {r[0]: r[1] / 40_000 for r in splits.groupBy("split").sum("rows").collect()}
+    assert all(abs(got[s] - x) < 0.005 for s, x in plan.items())
+    assert splits.groupBy("group_key").count().where("count > 1").count() == 0
+
+
+def test_labels_of_the_tables(spark):
+    from lontar.llm.queries import p7_labels
+
+    assert [r for r in p7_labels(spark, "/root/testdata/sf0.01").collect() if r.rows / max(r.share, 1e-9) >= 100 and r.deviation > 0.03] == []
+
+
+def test_groups_of_rows_without_keys(spark):
+    rows = [("qa_sft", "1", "k1", "a"), ("qa_sft", "2", None, "a"), ("qa_sft", "3", None, "b"), ("qa_sft", "4", None, "b"), ("qa_sft", "5", None, None), ("corpus", "5", "k1", None), ("corpus", "6", "k2", None), ("qa_sft", "7", "answer:x", None)]
+    df = spark.createDataFrame(rows, "table_name string, id string, key string, answer string")
+    got = {(r.table_name, r.id): (r.group_key, r.kind) for r in grouped_splits.with_groups(df, spark.createDataFrame([("k2", "k0")], "key string, group_key string")).collect()}
+    assert got == {
+        ("qa_sft", "1"): ("k1", "k1"), ("qa_sft", "2"): ("k1", "none"), ("qa_sft", "3"): ("answer:b", "none"), ("qa_sft", "4"): ("answer:b", "none"), ("qa_sft", "5"): ("row:qa_sft:5", "none"),
+        ("corpus", "5"): ("k1", "k1"), ("corpus", "6"): ("k0", "k2"), ("qa_sft", "7"): ("answer:x", "answer"),
+    }
+
+
 def test_long_units_repeated(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(7)) for _ in range(3000)]
