@@ -10,6 +10,8 @@ whose main body (more than `MAIN` of the characters) is rows of cells, items or
 The language is the one whose function words the text uses most; without enough of them, the
 `lang` column, else `id`. Null, empty and blank texts have no statistics (null) and are no cases. Texts of any
 length are measured whole. Repeated documents each have a row; extra columns are ignored. A
+document's kind doesn't depend on its length: all rules are shares, of its characters, lines or
+sequences, and what holds for a line (an item has at most nine words) holds for it alone. A
 language with fewer than `least` documents is measured against all languages together; with fewer
 than that in all, no document is an outlier. A kind that ties takes the order junk, table, list.
 """
@@ -98,7 +100,7 @@ def _noisy(line: str, listed: list[str]) -> bool:
     letters = sum(map(len, listed))
     if solid - letters > 0.42 * solid:
         return True
-    if len(listed) >= 5 and sum(len(w) == 1 for w in listed) > 0.55 * len(listed):
+    if sum(len(w) == 1 for w in listed) > 0.55 * (len(listed) + 2):
         return True
     if letters > 14 * len(listed):
         return True
@@ -107,10 +109,10 @@ def _noisy(line: str, listed: list[str]) -> bool:
     if sum(1 for c in chunks if not c.isalpha() and _MIXED.search(c)) > 0.34 * len(chunks):
         return True
     alphabetic = letters - len(_DIGIT.findall(line))
-    if alphabetic >= 12 and listed[0][0] < "\u0370":
-        vowels = sum(map(line.count, _VOWELS))
-        return vowels < 0.27 * alphabetic or vowels > 0.72 * alphabetic
-    return False
+    if listed[0][0] >= "\u0370":
+        return False
+    # six letters of ordinary text are added, so that the share means as much for few letters
+    return not 0.29 <= (sum(map(line.count, _VOWELS)) + 2.7) / (alphabetic + 6) <= 0.7
 
 
 def _passages(listed: list[str], size: int = 20) -> float:
@@ -138,14 +140,14 @@ def _repetition(listed: list[str], low: str) -> float:
     """Share of three-word sequences that stand before within the same 300 words, of 20-word
     sequences that stand before anywhere, or of text in sentences that occur four times, whichever
     is most: none grows with the length of natural prose."""
-    if len(listed) < 12:
-        return 0.0
+    if len(listed) < 3:
+        return 0.0  # there is no such sequence
     again = 0
     for i in range(0, len(listed) - 2, 300):
         part = listed[i : i + 302]
         again += len(part) - 2 - len(set(zip(part, part[1:], part[2:])))
     share = again / (len(listed) - 2)
-    if len(listed) > 302:  # within one window, three-word sequences repeat at least as much
+    if len(listed) > 302:  # within one window, repeated passages are repeated three-word sequences
         share = max(share, _passages(listed))
     sentences = Counter(map(str.strip, _SENTENCES.split(low)))
     often = sum(len(x) * n for x, n in sentences.items() if n >= 4 and len(x) >= 12)
@@ -170,7 +172,7 @@ def measure(text: str | None, lang: str | None = None) -> tuple[str, tuple[float
         own = lang if lang in LANGUAGES else "id"
     common = WORDS_OF[own]
     solid_all = n_rows = n_items = n_noise = closed = repeated = functional_all = 0
-    often = {x for x, n in Counter(map(str.strip, lines)).items() if n >= 5} if len(lines) >= 8 else ()
+    often = {x for x, n in Counter(map(str.strip, lines)).items() if n >= 5}
     rows_before = False
     for line, own_words in zip(lines, words_of):
         solid = len(line) - line.count(" ") - line.count("\t")
@@ -209,7 +211,7 @@ def measure(text: str | None, lang: str | None = None) -> tuple[str, tuple[float
     solid_all = max(1, solid_all)
     alphabetic = letters - digits
     repeat = _repetition(listed, low)
-    if repeat > 0.8 or words <= 3 and len(low) >= 60 and len(set(low)) <= 6:
+    if repeat > 0.8:
         n_noise, n_rows, n_items, repeated = solid_all, 0, 0, solid_all
     return own, (
         math.log1p(words),
@@ -248,13 +250,21 @@ class ProseModel:
     def __init__(self, means: dict[str | None, np.ndarray], inverses: dict[str | None, np.ndarray]):
         self.means, self.inverses = means, inverses
 
-    def parts(self, language: str | None, x: list[float]) -> np.ndarray | None:
-        """Each statistic's part of the squared distance."""
-        key = language if language in self.means else None
-        if key not in self.means:
-            return None
-        away = np.asarray(x) - self.means[key]
-        return away * (self.inverses[key] @ away)
+    def parts(self, languages: pd.Series, xs: pd.Series) -> tuple[list[float | None], list[list[float] | None]]:
+        """The squared distance of each document and each statistic's part of it, a batch at a time."""
+        distance: list[float | None] = [None] * len(xs)
+        parts: list[list[float] | None] = [None] * len(xs)
+        places: dict[str | None, list[int]] = {}
+        for i, (language, x) in enumerate(zip(languages, xs)):
+            key = language if language in self.means else None
+            if x is not None and key in self.means:
+                places.setdefault(key, []).append(i)
+        for key, own in places.items():
+            away = np.vstack([xs.iloc[i] for i in own]) - self.means[key]
+            found = away * np.einsum("ij,jk->ik", away, self.inverses[key])
+            for i, total, each in zip(own, found.sum(axis=1).tolist(), found.tolist()):
+                distance[i], parts[i] = total, each
+        return distance, parts
 
 
 def _moments(measured: DataFrame, model: ProseModel | None, centres: dict, cut: float) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
@@ -328,8 +338,8 @@ def judged(documents: DataFrame, cut: float = CUT, least: int = LEAST, doc: str
 
     @F.pandas_udf("struct<distance: double, parts: array<double>>")
     def away(languages: pd.Series, xs: pd.Series) -> pd.DataFrame:
-        found = [None if x is None else model.value.parts(a, x) for a, x in zip(languages, xs)]
-        return pd.DataFrame({"distance": [None if p is None else float(p.sum()) for p in found], "parts": [None if p is None else p.tolist() for p in found]})
+        distance, parts = model.value.parts(languages, xs)
+        return pd.DataFrame({"distance": distance, "parts": parts})
 
     rated = measured.select("doc_id", "language", "x", away("language", "x").alias("d"))
     share = {k: F.col("x")[i] for k, i in places.items()}

@@ -122,6 +122,44 @@ def test_kinds(spark):
     assert abs(sum(one[f"part_{s}"] for s in prose.STATISTICS) - one.distance) < 1e-6 * one.distance
 
 
+def of_kind(kind, n, seed):
+    rng = random.Random(f"{kind} {seed}")
+    names = ["".join(rng.choice(("ka", "lo", "mi", "su", "ret", "na", "du", "wi", "bang")) for _ in range(3)).title() for _ in range(n)]
+    if kind == "list":
+        return "\n".join(f"- Lahan {x}" for x in names)
+    if kind == "table":
+        return "\n".join(f"| izin {x} | {rng.randrange(9999)} | {rng.randrange(99)} |" for x in names)
+    if kind == "junk":
+        return "\n".join("".join(rng.choice("$%>-)?=!.#](|^&}{~@xq7") for _ in range(60)) for _ in range(n))
+    return prose_of(n, f"prose {seed}")
+
+
+def test_kinds_at_every_length(spark):
+    """A document keeps its kind when as much again of the same kind is added."""
+    cases = [(kind, n, of_kind(kind, n, 1) + "\n" + (of_kind(kind, n, 2) if twice else "")) for kind in ("prose", "list", "table", "junk") for n in (3, 4, 6, 9, 20, 45, 150) for twice in (False, True)]
+    real = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    kinds = {r.doc_id: r.kind for r in prose.judged(documents(spark, [t for *_, t in cases] + real).repartition(4)).collect()}
+    assert [(kind, n, kinds[i]) for i, (kind, n, _) in enumerate(cases)] == [(kind, n, kind) for kind, n, _ in cases]
+
+
+def test_parts_of_a_batch():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    k = len(prose.STATISTICS)
+    means = {"id": rng.normal(size=k), None: rng.normal(size=k)}
+    inverses = {a: (lambda m: m @ m.T)(rng.normal(size=(k, k))) for a in means}
+    xs = [list(rng.normal(size=k)) if i % 4 else None for i in range(30)]
+    languages = [("id", "en", None)[i % 3] for i in range(30)]
+    distance, parts = prose.ProseModel(means, inverses).parts(pd.Series(languages), pd.Series(xs))
+    for a, x, d, p in zip(languages, xs, distance, parts):
+        key = a if a == "id" else None
+        away = None if x is None else np.array(x) - means[key]
+        assert (d is None) == (x is None) and (x is None or np.isclose(d, away @ inverses[key] @ away) and np.isclose(sum(p), d))
+    assert prose.ProseModel({}, {}).parts(pd.Series(["id"]), pd.Series([xs[1]])) == ([None], [None])
+
+
 def test_statistics_edges(spark):
     assert rows_of(prose.judged(documents(spark, []))) == []
     few = prose.judged(documents(spark, [None, "", PROSE, PROSE, prose_of(5000)])).collect()
