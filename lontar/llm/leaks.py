@@ -1,17 +1,19 @@
 """Problem 9: evaluation texts leaking into training text.
 
-Every passage of `words` consecutive words of a case's prompt or reference answer is a pattern of
-one Aho-Corasick automaton. A word is a maximal run of letters and digits, compared without case,
-after canonical composition. The words of the cases are numbered and written as one character
-each, so that the automaton works on whole words; a document is normalised the same way, with any
-other word as a character that no pattern has, and scanned once. Character offsets of the words
-map a hit back to the original text.
-
-The automaton grows with the cases, not with the documents; the cases are a stated query set, and
-their number is checked against `max_cases` before they are sent to the executors; more cases are
-scanned in several automata of at most that many, none is dropped. Null texts, cases and parts
-shorter than `words` words have no hits. Texts of any length are scanned whole. Repeated documents
-each have their own rows; cases that share a passage are all reported. Extra columns are ignored.
+The prompts and reference answers of the cases are cut into blocks of consecutive words, which are
+the patterns of one Aho-Corasick automaton. A word is a maximal run of letters and digits, compared
+without case, after canonical composition. The words of the cases are numbered and written as one
+character each, so that the automaton works on whole words; a document is normalised the same way,
+with any other word as a character that no pattern has, and scanned once. A block found is extended
+to either side as far as the words agree, and is a leak from `words` words. Blocks have half that
+length, so every such passage holds a whole one: none is lost, and the automaton has no more nodes
+than the cases have words. The words of a passage are mapped to the characters of the original text.
+
+The automaton grows with the cases, not with the documents. The cases are a stated query set: one
+that is longer than `max_chars` characters goes in several automata, by a hash of the case, each
+collected by itself; none is dropped. Null texts, cases and parts shorter than `words` words have
+no hits. Texts of any length are scanned whole. Repeated documents each have their own rows; cases
+that share a passage are all reported. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +28,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WORDS = 15
+MAX_CHARS = 5_000_000
 _WORD = re.compile(r"[^\W_]+")
-_FIRST, _OTHER = 0x10000, "\x00"
+_OTHER = "\x00"
 
 
 def composed(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """The composed, lower-cased text, and where the original of each of its characters begins and ends."""
+    out: list[str] = []
+    begins: list[int] = []
+    ends: list[int] = []
+    at = 0
+    while at < len(text):
+        to = at + 1
+        # what composes with the characters before it belongs to them
+        while to < len(text) and not text[to].isascii():
+            if not unicodedata.combining(text[to]) and unicodedata.normalize("NFC", text[at : to + 1]) == unicodedata.normalize("NFC", text[at:to]) + unicodedata.normalize("NFC", text[to]):
+                break
+            to += 1
+        part = unicodedata.normalize("NFC", text[at:to]).lower()
+        out.append(part)
+        begins += [at] * len(part)
+        ends += [to] * len(part)
+        at = to
+    return "".join(out), begins, ends
+
+
 class PassageScanner:
     """The automaton of a list of (case_id, part, text)."""
 
@@ -41,49 +65,78 @@ class PassageScanner:
         import ahocorasick
 
         self.codes: dict[str, str] = {}
-        owners: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self.words, self.block = words, (words + 1) // 2
+        self.lines: list[str] = []
+        self.names: list[tuple[str, str]] = []
+        owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for case, part, text in cases:
-            line = "".join(self.codes.setdefault(w, chr(_FIRST + len(self.codes))) for w in _WORD.findall(composed(text).lower()))
-            for i in range(len(line) - words + 1):
-                owners[line[i : i + words]].add((case, part))
-        self.words = words
+            line = "".join(map(self._code, _WORD.findall(composed(text).lower())))
+            if len(line) < words:
+                continue
+            for at in range(0, len(line) - self.block + 1, self.block):
+                owners[line[at : at + self.block]].append((len(self.lines), at))
+            self.lines.append(line)
+            self.names.append((case, part))
         self.automaton = ahocorasick.Automaton()
         for pattern, who in owners.items():
-            self.automaton.add_word(pattern, tuple(sorted(who)))
+            self.automaton.add_word(pattern, who)
         self.empty = not owners
         if not self.empty:
             self.automaton.make_automaton()
-        self.unlike = re.compile(f"{_OTHER}+")
+
+    def _code(self, word: str) -> str:
+        known = self.codes.get(word)
+        if known is None:
+            n = len(self.codes) + 1
+            known = self.codes[word] = chr(n if n < 0xD800 else n + 0x800)
+        return known
 
     def coded(self, text: str) -> str:
         get = self.codes.get
         return "".join([get(w, _OTHER) for w in _WORD.findall(composed(text).lower())])
 
     def hits(self, text: str | None) -> dict[str, list[tuple[str, int, int]]]:
-        """case -> [(part, first word, last word + 1)], neighbouring passages joined."""
+        """case -> [(part, first word, last word + 1)], overlapping passages joined."""
         if not text or self.empty:
             return {}
         line = self.coded(text)
-        out: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
-        open_: dict[tuple[str, str], tuple[int, int]] = {}
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        reached: dict[tuple[int, int], int] = {}
         for end, who in self.automaton.iter(line):
-            start = end - self.words + 1
-            for one in who:
-                span = open_.get(one)
-                if span and start <= span[1]:
-                    open_[one] = (span[0], end + 1)
+            start = end - self.block + 1
+            for own, at in who:
+                shift = start - at
+                if reached.get((own, shift), 0) > end:
+                    continue  # within a passage that was followed already
+                case, a, b = self.lines[own], start, end + 1
+                while a > 0 and a > shift and line[a - 1] == case[a - 1 - shift]:
+                    a -= 1
+                while b < len(line) and b - shift < len(case) and line[b] == case[b - shift]:
+                    b += 1
+                reached[own, shift] = b
+                if b - a >= self.words:
+                    spans[own].append((a, b))
+        out: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
+        for own, found in spans.items():
+            case, part = self.names[own]
+            found.sort()
+            a, b = found[0]
+            for c, d in found[1:]:
+                if c <= b:
+                    b = max(b, d)
                 else:
-                    if span:
-                        out[one[0]].append((one[1], *span))
-                    open_[one] = (start, end + 1)
-        for one, span in open_.items():
-            out[one[0]].append((one[1], *span))
+                    out[case].append((part, a, b))
+                    a, b = c, d
+            out[case].append((part, a, b))
         return out
 
-    def offsets(self, text: str, first: int, last: int) -> tuple[int, int]:
-        """Characters of the (composed) text that the words [first, last) cover."""
-        spans = [m.span() for m in _WORD.finditer(composed(text).lower())]
-        return spans[first][0], spans[last - 1][1]
+    @staticmethod
+    def places(text: str) -> list[tuple[int, int]]:
+        """Where each word begins and ends in the original text."""
+        if text.isascii():
+            return [m.span() for m in _WORD.finditer(text)]
+        low, begins, ends = folded(text)
+        return [(begins[m.start()], ends[m.end() - 1]) for m in _WORD.finditer(low)]
 
 
 @functools.lru_cache(2)
@@ -91,19 +144,21 @@ def _scanner(cases: tuple[tuple[str, str, str], ...], words: int) -> PassageScan
     return PassageScanner(cases, words)
 
 
-def leaks(documents: DataFrame, cases: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, max_cases: int = 5000) -> DataFrame:
-    """(doc_id, case_id, part, start, end): every maximal leaked passage with its place.
+def leaks(documents: DataFrame, cases: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, case_id, part, start, end): every leaked passage with its place.
 
-    Offsets count characters of the text in composed form, `end` exclusive.
+    Offsets count characters of the text as it is stored, `end` exclusive.
     """
-    listed = cases.select("case_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in ("prompt", "reference_answer")])).alias("x"))
-    known = sorted({(r.case_id, r.part, r.text) for r in listed.select("case_id", "x.part", "x.text").where("case_id is not null and text is not null").collect()})
+    listed = cases.select("case_id", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in ("prompt", "reference_answer")])))
+    listed = listed.where("case_id is not null and text is not null")
+    blocks = max(1, -(-(listed.agg(F.sum(F.length("text"))).first()[0] or 0) // max_chars))
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, case_id string, part string, start int, end int"
     result = None
-    for at in range(0, max(1, len(known)), max_cases):
-        some = rows.sparkSession.sparkContext.broadcast(tuple(known[at : at + max_cases]))
+    for block in range(blocks):
+        own = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("case_id"), F.lit(blocks)) == block)
+        some = rows.sparkSession.sparkContext.broadcast(tuple(sorted({(r.case_id, r.part, r.text) for r in own.collect()})))
 
         def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             scanner = _scanner(some.value, words)
@@ -112,10 +167,11 @@ def leaks(documents: DataFrame, cases: DataFrame, doc: str = "doc_id", text: str
                 ids = batch.column(0).to_pylist()
                 for i, x in enumerate(batch.column(1)):
                     value = x.as_py()
-                    for case, spans in scanner.hits(value).items():
+                    hits = scanner.hits(value)
+                    places = scanner.places(value) if hits else []
+                    for case, spans in hits.items():
                         for part, first, last in spans:
-                            place = scanner.offsets(value, first, last)
-                            for column, cell in zip(found, (ids[i], case, part, *place)):
+                            for column, cell in zip(found, (ids[i], case, part, places[first][0], places[last - 1][1])):
                                 column.append(cell)
                 types = (batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=["doc_id", "case_id", "part", "start", "end"])

@@ -54,10 +54,57 @@ def test_leaks_against_windows(spark):
             if any(tuple(x[i : i + 15]) in have for x in parts for i in range(len(x) - 14)):
                 wanted.add((d, f"c{c}"))
     assert found == sorted(wanted, key=repr)
-    few = rows_of(leaks.leaks(documents(spark, texts), cases, max_cases=3).select("doc_id", "case_id").distinct())
+    few = rows_of(leaks.leaks(documents(spark, texts), cases, max_chars=300).select("doc_id", "case_id").distinct())
     assert few == found
 
 
+def longest_runs(doc, part, least):
+    """Every maximal run of words that both have, from `least` words; overlapping ones joined."""
+    runs = set()
+    for i in range(len(doc)):
+        for j in range(len(part)):
+            if doc[i] == part[j] and (i == 0 or j == 0 or doc[i - 1] != part[j - 1]):
+                n = 0
+                while i + n < len(doc) and j + n < len(part) and doc[i + n] == part[j + n]:
+                    n += 1
+                if n >= least:
+                    runs.add((i, i + n))
+    out = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("words", [3, 4, 5, 15])
+def test_passages_against_all_runs(words):
+    rng = random.Random(words)
+    for _ in range(150):
+        alphabet = "abcdefgh"[: rng.randrange(1, 9)]
+        parts = [("c%d" % i, "prompt", " ".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 50)))) for i in range(3)]
+        doc = [rng.choice(alphabet + "z") for _ in range(20)]
+        for _, _, text in parts:
+            listed = text.split()
+            at = rng.randrange(len(listed) + 1)
+            doc += listed[at : at + rng.randrange(1, 40)] + [rng.choice(alphabet)]
+        found = leaks.PassageScanner(tuple(parts), words).hits(" ".join(doc))
+        wanted = {case: [("prompt", a, b) for a, b in longest_runs(doc, text.split(), words)] for case, _, text in parts}
+        assert dict(found) == {case: spans for case, spans in wanted.items() if spans}
+
+
+@pytest.mark.parametrize("before", ["Awal: ", "İ ", "e\u0301 ", "\u1112\u1161\u11ab é ", "İİe\u0301\u0323 ﬁ Å ", "ΑΣ "])
+def test_leak_offsets_in_the_original(before):
+    passage = " ".join(f"kata{i}" for i in range(18)) + " ca\u0301t İx akhir"
+    scanner = leaks.PassageScanner((("c", "prompt", passage),))
+    text = before + passage.upper().replace(" ", ",\n") + " lain."
+    ((part, first, last),) = scanner.hits(text)["c"]
+    places = scanner.places(text)
+    assert text[places[first][0] : places[last - 1][1]] == passage.upper().replace(" ", ",\n")
+    assert leaks.folded(text)[0].replace("ς", "σ") == leaks.composed(text).lower().replace("ς", "σ")
+
+
 def test_leak_offsets(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     cases = spark.createDataFrame([("c", passage, None, "")], CASES)
