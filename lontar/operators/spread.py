@@ -20,3 +20,22 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: str, weight: str, fractio
     heavy = F.broadcast(keyed.where(F.col(weight) > least))
     apart = rows.join(heavy.select(on), on, "left_anti")
     return rows.join(heavy, on).unionByName(apart.join(keyed.where(F.col(weight) <= least), on))
+
+
+def salted_join(left: DataFrame, rows: DataFrame, on: list[str], salt: str, fraction: float = 0.0005) -> DataFrame:
+    """Inner join of `left` with `rows`, of which a few keys may hold most, each `left` row with all
+    rows of its key.
+
+    Keys that hold more than `fraction` of `rows` - no more than 1 / `fraction` of them, so that they
+    may be broadcast - are cut into pieces of at most about that many rows by the hash of `salt`;
+    `left` rows of such a key are repeated for each piece. Null keys join nothing. Name the columns
+    of both sides apart, but for `on`.
+    """
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    most = max(1.0, fraction * total)
+    heavy = F.broadcast(sizes.where(F.col("__n") > most).select(*on, F.ceil(F.col("__n") / most).cast("int").alias("__pieces")))
+    pieces = F.coalesce("__pieces", F.lit(1))
+    a = left.join(heavy, on, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
+    b = rows.join(heavy, on, "left").withColumn("__piece", F.pmod(F.xxhash64(salt), pieces).cast("int")).drop("__pieces")
+    return a.join(b, [*on, "__piece"]).drop("__piece")
