@@ -59,6 +59,39 @@ def test_overlaps_lose_nothing(spark):
     assert rows_of(overlaps.overlaps(df, ranked_words=3)) == found
 
 
+def test_long_overlaps_lose_nothing(spark):
+    """Records on both sides of the border between the two ways of keying, of all proportions."""
+    rng = random.Random(6)
+    vocabulary = [f"kata{i}" for i in range(400)]
+    rows = []
+    for n in range(70):
+        p, c = ([rng.choice(vocabulary) for _ in range(rng.choice((1, 8, 40, 55, 60, 66, 110, 130, 300)))] for _ in range(2))
+        for m in range(3):
+            q, d = p[:], c[:]
+            for x in (q, d):
+                for _ in range(rng.randrange(0, len(x) // 11 + 2)):
+                    at = rng.randrange(len(x))
+                    rng.choice((lambda: x.__setitem__(at, rng.choice(vocabulary)), lambda: x.insert(at, rng.choice(vocabulary)), lambda: x.pop(at) if len(x) > 1 else None))()
+            rows.append((f"r{n:03}{m}", ("train", "test")[m % 2], " ".join(q), " ".join(d), "x", 7))
+    df = spark.createDataFrame(rows, QA)
+    wanted = brute(rows)
+    assert len(wanted) > 40 and rows_of(overlaps.overlaps(df.repartition(3))) == wanted
+
+
+def test_keys_grow_with_the_text():
+    signer = overlaps.Signer({}, overlaps.SHARE)
+    sizes = {(n, m): len(signer.keys([f"p{i}" for i in range(n)], [f"c{i}" for i in range(m)])) for n, m in ((5, 20), (50, 60), (50, 200), (500, 2000), (1000, 5000), (5000, 5000))}
+    assert sizes[1000, 5000] == 501 and all(k <= 0.2 * (n + m) + 50 for (n, m), k in sizes.items())
+
+
+def test_copies_of_a_text(spark):
+    """Many copies on both sides: every pair, and one row each."""
+    rows = [(f"a{i:03}", "train", "apa isi pasal itu", "pemilik wajib mencatat", "", 0) for i in range(40)] + [(f"b{i:03}", "test", "Apa isi pasal itu?", "Pemilik wajib mencatat.", "", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, QA).repartition(5)
+    assert overlaps.overlaps(df).count() == 1200
+    assert {(r.id[0], r.links) for r in overlaps.overlap_counts(df).collect()} == {("b", 40)}
+
+
 def test_overlaps_empty_and_long(spark):
     assert rows_of(overlaps.overlaps(spark.createDataFrame([], QA))) == []
     long = " ".join(f"w{i}" for i in range(400))
