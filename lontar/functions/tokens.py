@@ -1,4 +1,4 @@
-"""Tokens, similarities and answer metrics over arrays of tokens, all in the JVM.
+"""Tokens and similarities over arrays of tokens, in the JVM, and answer metrics over whole texts.
 
 The inputs named `normalised` are keys (compatibility form, case-folded). Texts without tokens give
 0 where a share has no meaning otherwise, or null where the docstring says so.
@@ -6,6 +6,8 @@ The inputs named `normalised` are keys (compatibility form, case-folded). Texts
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,7 @@ CONTENT_STOPWORDS = (
     "termasuk", "dimaksud", "merupakan", "tahun", "nomor", "no", "pasal", "ayat", "huruf", "angka", "undang", "undangundang", "peraturan",
     "pemerintah",
 )
+CONTENT_STOPWORDS_SET = frozenset(CONTENT_STOPWORDS)
 # Phrases by which an answer abstains.
 ABSTENTIONS = (
     "tidak menemukan", "tidak tersedia", "tidak dapat memastikan", "tidak ada informasi", "tidak ada pasal", "tidak terdapat pasal",
@@ -63,65 +66,50 @@ def jaccard(shared: Column, left: Column, right: Column) -> Column:
     return F.try_divide(shared, left + right - shared)
 
 
-def numbered(ordered: Column) -> Column:
-    """The tokens of a sorted array, each with its number among its equals. Pass a plain column: an
-    expression would be evaluated again for every token."""
-    return F.transform(ordered, lambda w, i: F.concat(w, F.lit("\x1f"), (i - F.array_position(ordered, w)).cast("string")))
-
-
-def shared_words(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two sorted arrays, given as plain columns."""
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
-
-
-def token_f1(reference: Column, prediction: Column, shared: Column | None = None) -> Column:
-    """struct(precision, recall, f1) of two sorted word arrays; zeros if either is empty. `shared`
-    may be a column that holds `shared_words` already."""
-    n = shared_words(reference, prediction) if shared is None else shared
-    none = (F.size(reference) == 0) | (F.size(prediction) == 0)
-    p, r = n / F.size(prediction), n / F.size(reference)
-    zero = F.lit(0.0)
-    return F.struct(
-        F.when(none, zero).otherwise(p).alias("precision"),
-        F.when(none, zero).otherwise(r).alias("recall"),
-        F.when(none | (n == 0), zero).otherwise(2.0 * n / (F.size(prediction) + F.size(reference))).alias("f1"),
-    )
-
-
 def anchor_recall(answer: Column, anchors: Column) -> Column:
     """Share of the normalised anchors that stand in the normalised answer; null without anchors."""
     return F.when(F.size(anchors) > 0, F.size(F.filter(anchors, lambda a: F.contains(answer, a))) / F.size(anchors))
 
 
-def grounded_precision(answer_content: Column, context_words: Column) -> Column:
-    """Share of the answer's content words that the context has; null if either is empty."""
-    ok = (F.size(answer_content) > 0) & (F.size(context_words) > 0)
-    return F.when(ok, F.size(F.filter(answer_content, lambda t: F.array_contains(context_words, t))) / F.size(answer_content))
-
-
-def legal_markers(normalised: Column) -> Column:
-    """The distinct articles and years a text cites."""
-    articles = F.transform(_all(normalised, r"\bpasal\s+\d+[a-z]?(?:\s+ayat\s*\(\d+\))?"), lambda x: F.regexp_replace(x, r"\s+", " "))
-    return F.array_union(articles, _all(normalised, r"\b(?:19|20)\d{2}\b"))
+_WORDS = re.compile(r"[^\W_]+")
+_CITED_ARTICLE = re.compile(r"\bpasal\s+\d+[a-z]?(?:\s+ayat\s*\(\d+\))?", re.A)
+_CITED_YEAR = re.compile(r"\b(?:19|20)\d{2}\b", re.A)
+_SPACE = re.compile(r"\s+", re.A)
 
 
-def marker_recall(expected: Column, found: Column) -> Column:
-    """Share of the expected markers that were found; null without any."""
-    return F.when(F.size(expected) > 0, F.size(F.array_intersect(expected, found)) / F.size(expected))
+def legal_markers(normalised: str) -> set[str]:
+    """The articles and years a text cites."""
+    return {_SPACE.sub(" ", x) for x in _CITED_ARTICLE.findall(normalised)} | set(_CITED_YEAR.findall(normalised))
 
 
-def repeated_ngrams(tokens: Column, n: int = 6) -> Column:
+def repeated_ngrams(listed: list[str], n: int = 6) -> float:
     """Share of a text's n-grams that occur before; 0 for texts shorter than two of them."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    total = F.size(tokens) - n + 1
-    return F.when(F.size(tokens) < 2 * n, 0.0).otherwise((total - F.size(F.array_distinct(grams))) / total)
-
-
-def abstains(normalised: Column) -> Column:
-    found = F.lit(False)
-    for phrase in ABSTENTIONS:
-        found |= F.contains(normalised, F.lit(phrase))
-    return found
+    if len(listed) < 2 * n:
+        return 0.0
+    total = len(listed) - n + 1
+    return (total - len(set(zip(*(listed[i:] for i in range(n)))))) / total
+
+
+def answer_metrics(answer: str, reference: str, context: str | None = None) -> dict[str, float | bool | None]:
+    """The metrics of a key against that of its reference and, if there is one, its context, in time
+    linear in their lengths. What has no meaning is null; texts without words score 0."""
+    own, other = _WORDS.findall(answer), _WORDS.findall(reference)
+    shared = (Counter(own) & Counter(other)).total() if own and other else 0
+    expected = legal_markers(reference)
+    grounded = None
+    if context is not None:
+        content = [w for w in own if len(w) > 1 and w not in CONTENT_STOPWORDS_SET]
+        known = set(_WORDS.findall(context))
+        grounded = sum(map(known.__contains__, content)) / len(content) if content and known else None
+    return {
+        "precision": shared / len(own) if own and other else 0.0,
+        "recall": shared / len(other) if own and other else 0.0,
+        "f1": 2.0 * shared / (len(own) + len(other)) if shared else 0.0,
+        "marker_recall": len(expected & legal_markers(answer)) / len(expected) if expected else None,
+        "grounded": grounded,
+        "repeated": repeated_ngrams(own),
+        "abstains": any(map(answer.__contains__, ABSTENTIONS)),
+    }
 
 
 def cites(answer: Column, letter: str = "s") -> Column:

@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lontar.functions import text, tokens
 
 
+_NUMBERS = ("precision", "recall", "f1", "marker_recall", "grounded", "repeated")
+_METRICS = T.StructType([*[T.StructField(n, T.DoubleType()) for n in _NUMBERS], T.StructField("abstains", T.BooleanType())])
+
+
+@F.pandas_udf(_METRICS)
+def _measured(answer: pd.Series, reference: pd.Series, context: pd.Series, grounded: pd.Series) -> pd.DataFrame:
+    rows = [tokens.answer_metrics(text.key_text(a), text.key_text(r), text.key_text(c) if g else None) for a, r, c, g in zip(answer, reference, context, grounded)]
+    return pd.DataFrame(rows, columns=[*_NUMBERS, "abstains"]).astype({n: "float64" for n in _NUMBERS} | {"abstains": "bool"})
+
+
 def scored(rows: DataFrame, answer: str, reference: str, context: str | None = None) -> DataFrame:
-    """Add a struct of metrics of `answer` against `reference` (and `context`); inputs are plain columns.
+    """Add a struct of metrics of `answer` against `reference` (and `context`), in one pass.
 
-    The keys are computed once and dropped again. A null answer scores zeros; metrics without a
-    meaning are null.
+    A null answer scores zeros; metrics without a meaning are null. The JVM has no counting of words
+    in linear time and no compatibility form, so the texts go to Python once.
     """
-    keyed = rows.withColumn("__a", text.key(answer)).withColumn("__r", text.key(reference))
-    lists = {"__aw": tokens.words(F.col("__a")), "__rw": tokens.words(F.col("__r")), "__am": tokens.legal_markers(F.col("__a")), "__rm": tokens.legal_markers(F.col("__r"))}
-    if context:
-        keyed = keyed.withColumn("__c", text.key(context))
-        lists["__cw"] = F.array_distinct(tokens.words(F.col("__c")))
-    keyed = keyed.withColumns(lists).withColumns({"__as": F.sort_array("__aw"), "__rs": F.sort_array("__rw"), "__ac": tokens.content_of(F.col("__aw"))})
-    keyed = keyed.withColumn("__n", tokens.shared_words(F.col("__rs"), F.col("__as")))
-    f1 = tokens.token_f1(F.col("__rs"), F.col("__as"), F.col("__n"))
-    metrics = F.struct(
-        f1["precision"].alias("precision"),
-        f1["recall"].alias("recall"),
-        f1["f1"].alias("f1"),
-        tokens.marker_recall(F.col("__rm"), F.col("__am")).alias("marker_recall"),
-        (tokens.grounded_precision(F.col("__ac"), F.col("__cw")) if context else F.lit(None).cast("double")).alias("grounded"),
-        tokens.repeated_ngrams(F.col("__aw")).alias("repeated"),
-        tokens.abstains(F.col("__a")).alias("abstains"),
-        tokens.cites(text.plain(answer), "c").alias("cites"),
-    )
-    return keyed.withColumn("metrics", metrics).drop("__a", "__r", "__c", "__aw", "__rw", "__cw", "__am", "__rm", "__as", "__rs", "__ac", "__n")
+    given = F.col(context) if context else F.lit(None).cast("string")
+    m = _measured(answer, reference, given, F.lit(bool(context)))
+    cites = tokens.cites(text.plain(answer), "c").alias("cites")
+    whole = rows.withColumn("__m", m)
+    return whole.withColumn("metrics", F.struct("__m.*", cites)).drop("__m")
 
 
 def guarded(metrics: Column, error: Column) -> Column:

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lontar.functions import text, tokens
+from lontar.runtime import materialize
 
 
 def identities(corpus: DataFrame) -> DataFrame:
-    """The corpus with its normalised identity, content and title; write it out to keep the keys pushable."""
+    """The corpus with the keys that identify its regulations; short columns only are normalised."""
     return corpus.select(
         "global_id",
         "article",
         "title",
+        "content",
         text.kind_key(text.key("regulation_type")).alias("kind_key"),
         text.number_key(text.display("regulation_number")).alias("number_key"),
         text.plain("year").alias("year_key"),
-        text.key("content").alias("content_key"),
-        text.key("title").alias("title_key"),
-        text.key("article").alias("article_key"),
     )
 
 
@@ -38,8 +37,16 @@ def wanted(terms: DataFrame) -> DataFrame:
 
 
 def evidence(terms: DataFrame, corpus: DataFrame, titles: bool = True) -> DataFrame:
-    """Every corpus row of a term's regulation with its features. `terms` is a bounded selection."""
-    joined = corpus.join(wanted(terms), ["kind_key", "number_key", "year_key"])
+    """Every corpus row of a term's regulation with its features. `terms` is a bounded selection.
+
+    The corpus is cut down by year before its identities are normalised, and by identity before any
+    content is: only rows of the terms' own regulations are read in full.
+    """
+    asked = F.broadcast(materialize(wanted(terms))[0])
+    near = corpus.withColumn("__year", text.plain("year")).join(F.broadcast(asked.select(F.col("year_key").alias("__year")).distinct()), "__year", "left_semi")
+    # written out: the optimiser would normalise the content below the join
+    found, _ = materialize(identities(near).join(asked, ["kind_key", "number_key", "year_key"]))
+    joined = found.select("*", text.key("content").alias("content_key"), text.key("title").alias("title_key"), text.key("article").alias("article_key"))
     similarity = F.round(tokens.matching_ratio("wanted_title_key", "title_key"), 6) if titles else (F.col("wanted_title_key") == F.col("title_key")).cast("double")
     return joined.select(
         "term_id",

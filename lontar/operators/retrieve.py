@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lontar.functions import ids, text, tokens
 from lontar.operators.ordered import running_sum
+from lontar.runtime import materialize
 
 
 def corpus_pairs(chunks: DataFrame) -> DataFrame:
@@ -152,17 +153,21 @@ def bm25(queries: DataFrame, documents: DataFrame, top: int = 5, k1: float = 1.2
 def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a word with a query.
 
-    The queries are a stated set; their distinct words reduce the postings before any join.
+    The queries are a stated set. The documents are read once: of each only its size and the words
+    that are asked for are kept.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
-    sized = documents.select("doc_id", "words", F.size("words").alias("size"))
-    postings = sized.select("doc_id", "size", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "doc_id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    asked, _ = materialize(queries.select("query_id", F.explode(F.array_distinct("words")).alias("word")))
+    known = [r.word for r in asked.select("word").distinct().collect()]
+    kept = F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+    sized, _ = materialize(documents.select("doc_id", F.size("words").alias("size"), kept.alias("words")))
+    postings = sized.select("doc_id", "size", F.explode("words").alias("word")).groupBy("word", "doc_id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    postings, _ = materialize(postings)
     df = postings.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    return asked.join(postings.join(df, "word"), "word").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
+    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(stats.mean or 1.0)))
+    terms = F.broadcast(asked.join(F.broadcast(df), "word"))
+    return postings.join(terms, "word").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def best(scored: DataFrame, query: str, doc: str, score: str, top: int) -> DataFrame:
@@ -178,21 +183,24 @@ def ranked(scored: DataFrame) -> DataFrame:
     return running_sum(ordered, ["query_id"], ["worse", "doc_id"], F.lit(1), "place").select("query_id", "doc_id", "place")
 
 
-def nearest_vectors(vectors: DataFrame, every: int = 50, top: int = 5, block: int = 4096) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, every: int = 50, top: int = 5, block: int = 4096, per_scan: int = 16) -> DataFrame:
     """(query_id, doc_id, score, place): queries are the rows whose id is divisible by `every`, against all rows.
 
-    The queries go in blocks of at most `block` vectors; each block is sent to all partitions, which
-    multiply it with their rows and pass on only their own best. Null or zero vectors match nothing.
+    The queries go in blocks of at most `block` vectors, `per_scan` blocks to a scan; each block is
+    sent to all partitions, which multiply it with their rows and pass on only their own best. Null
+    or zero vectors match nothing.
     """
     rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     step = every * block
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = [r[0] for r in asked.select(F.floor(F.col("vec_id") / step).alias("b")).distinct().orderBy("b").toLocalIterator()]
     parts = []
-    for b in blocks:
-        own = asked.where((F.col("vec_id") >= b * step) & (F.col("vec_id") < (b + 1) * step)).collect()
-        sent = rows.sparkSession.sparkContext.broadcast(([r.vec_id for r in own], [list(r.embedding) for r in own]))
-        parts.append(rows.mapInArrow(_best_of_block(sent, top), "query_id long, doc_id long, score double"))
+    for at in range(0, len(blocks), per_scan):
+        sent = []
+        for b in blocks[at : at + per_scan]:
+            own = asked.where((F.col("vec_id") >= b * step) & (F.col("vec_id") < (b + 1) * step)).collect()
+            sent.append(rows.sparkSession.sparkContext.broadcast(([r.vec_id for r in own], [list(r.embedding) for r in own])))
+        parts.append(rows.mapInArrow(_best_of_blocks(sent, top), "query_id long, doc_id long, score double"))
     if not parts:
         return rows.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
     scored = parts[0]
@@ -201,7 +209,7 @@ def nearest_vectors(vectors: DataFrame, every: int = 50, top: int = 5, block: in
     return best(scored, "query_id", "doc_id", "score", top)
 
 
-def _best_of_block(sent, top: int):
+def _best_of_blocks(sent: list, top: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -210,21 +218,21 @@ def _best_of_block(sent, top: int):
             size = np.linalg.norm(x, axis=1, keepdims=True)
             return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-        ids, listed = sent.value
-        queries, query_ids = unit(np.array(listed, dtype=np.float64)), np.array(ids)
+        known = [(unit(np.array(listed, dtype=np.float64)), np.array(ids)) for ids, listed in (x.value for x in sent)]
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             matrix = unit(np.array(batch.column(1).to_pylist(), dtype=np.float64))
-            scores = queries @ matrix.T
-            scores[query_ids[:, None] == docs[None, :]] = -2.0
-            scores[:, ~matrix.any(axis=1)] = -2.0
-            rounded = np.round(scores, 9)
-            # ties go to the lower id, so it is part of the order
-            order = np.lexsort((np.broadcast_to(docs, scores.shape), -rounded), axis=1)[:, :top]
-            picked = np.take_along_axis(scores, order, axis=1)
-            keep = (picked > -2.0) & queries.any(axis=1)[:, None]
-            q = np.broadcast_to(query_ids[:, None], order.shape)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(docs[order][keep], pa.int64()), pa.array(picked[keep], pa.float64())], names=["query_id", "doc_id", "score"])
+            for queries, query_ids in known:
+                scores = queries @ matrix.T
+                scores[query_ids[:, None] == docs[None, :]] = -2.0
+                scores[:, ~matrix.any(axis=1)] = -2.0
+                rounded = np.round(scores, 9)
+                # ties go to the lower id, so it is part of the order
+                order = np.lexsort((np.broadcast_to(docs, scores.shape), -rounded), axis=1)[:, :top]
+                picked = np.take_along_axis(scores, order, axis=1)
+                keep = (picked > -2.0) & queries.any(axis=1)[:, None]
+                q = np.broadcast_to(query_ids[:, None], order.shape)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(docs[order][keep], pa.int64()), pa.array(picked[keep], pa.float64())], names=["query_id", "doc_id", "score"])
 
     return run
 

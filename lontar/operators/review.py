@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lontar.functions import ids
+from lontar.operators.spread import spread_join
+from lontar.runtime import materialize
 
 
 def set_difference(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
@@ -80,10 +82,15 @@ def violations(df: DataFrame, name: str, row: str, rules: list[Rule]) -> DataFra
 
 
 def repeated(df: DataFrame, name: str, row: str, column: str, code: str) -> DataFrame:
-    """Rows whose `column` is empty or already taken by an earlier row, as violations."""
-    later = df.withColumn("__n", F.row_number().over(Window.partitionBy(column).orderBy(row)))
-    bad = (F.col("__n") > 1) | F.col(column).isNull() | (F.col(column).cast("string") == "")
-    return later.where(bad).select(F.lit(name).alias("table_name"), F.col(row).cast("string").alias("row"), F.lit(code).alias("code"))
+    """Rows whose `column` is empty or already taken by an earlier row, as violations. A value that
+    most rows share is compared with its first row where they are."""
+    blank = F.col(column).isNull() | (F.col(column).cast("string") == "")
+    known = df.where(~blank).select(F.col(row).alias("__row"), column)
+    firsts = known.groupBy(column).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    firsts, _ = materialize(firsts)
+    later = spread_join(known, firsts, column, "__n").where("__row > __first").select("__row")
+    bad = df.where(blank).select(F.col(row).alias("__row")).unionByName(later)
+    return bad.select(F.lit(name).alias("table_name"), F.col("__row").cast("string").alias("row"), F.lit(code).alias("code"))
 
 
 def orphans(df: DataFrame, name: str, row: str, column: str, parent: DataFrame, code: str) -> DataFrame:

@@ -67,7 +67,7 @@ class Pipeline:
     def enrich(self, corpus: DataFrame) -> dict:
         def tables() -> dict[str, DataFrame]:
             pilot = self.read("pilot")
-            features = enrich.evidence(pilot, enrich.identities(corpus))
+            features = enrich.evidence(pilot, corpus)
             ranked = enrich.best(features)
             return {"candidates": ranked, "enriched": enrich.match_status(pilot, features, ranked)}
 

@@ -213,7 +213,7 @@ def _pilot(spark: SparkSession, root: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, root: str, titles: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     pilot, _ = materialize(_pilot(spark, root))
-    features, _ = materialize(enrich.evidence(pilot, enrich.identities(table(spark, root, "corpus")), titles))
+    features, _ = materialize(enrich.evidence(pilot, table(spark, root, "corpus"), titles))
     return pilot, features, enrich.best(features)
 
 
@@ -379,7 +379,6 @@ def _words(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def _bm25(spark: SparkSession, root: str, top: int = 5) -> DataFrame:
     cases, chunks = _words(spark, root)
-    chunks, _ = materialize(chunks)
     return retrieve.bm25(cases, chunks, top)
 
 
@@ -402,7 +401,6 @@ def _gold(spark: SparkSession, root: str) -> DataFrame:
 def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
     """Exact identity and lexical order, both whole, fused by rank."""
     cases, chunks = _words(spark, root)
-    chunks, _ = materialize(chunks)
     lexical = retrieve.ranked(retrieve.bm25_scores(cases, chunks))
     exact = retrieve.ranked(_gold(spark, root).withColumn("score", F.lit(1.0)))
     return retrieve.fuse(lexical, exact).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))

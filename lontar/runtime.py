@@ -34,10 +34,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; an own one is made only where none is set."""
+    """The folder all executors share. An own one is made only where none is set and all run here:
+    on a cluster every executor would write to its own disk."""
     given = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     own = getattr(spark.sparkContext, "_lontar_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="lontar-")
@@ -52,6 +55,25 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _session_dir(spark: SparkSession) -> str:
+    """The session's part of the shared folder, deleted when the driver ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/lontar/{context.applicationId}"
+    if getattr(context, "_lontar_cleaned", None) != path:
+        context._lontar_cleaned = path
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(context._jsc.hadoopConfiguration())
+        atexit.register(_forget, files, target)
+    return path
+
+
+def _forget(files, target) -> None:
+    try:
+        files.delete(target, True)
+    except Exception:  # noqa: BLE001 - the JVM may have ended before; the folder then stays
+        pass
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -64,15 +86,15 @@ def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     Returns the frame and the path, so that an iteration can delete what it has superseded.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lontar/{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once a session. Local ones share the driver's path."""
+    """Send the package to the executors once a session; workers needn't share the driver's path."""
     context = spark.sparkContext
-    if context.master.startswith("local") or getattr(context, "_lontar_shipped", False):
+    if getattr(context, "_lontar_shipped", False):
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="lontar-ship-")  # served by the driver for the session

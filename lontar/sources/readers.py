@@ -9,9 +9,11 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lontar.operators.bad_rows import COLUMNS
+from lontar.operators.ordered import running_sum
+from lontar.runtime import materialize
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -27,10 +29,11 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS)
         raise ValueError(f"unexpected CSV columns {found}; expected {list(columns)}")
     raw = spark.read.csv(path, schema=with_extra, header=True, multiLine=True, escape='"', quote='"', mode="PERMISSIVE", enforceSchema=True, encoding="UTF-8")
     checked = F.when(F.col("_extra").isNotNull(), F.raise_error(F.lit("malformed CSV row: extra values"))).otherwise(F.lit(""))
-    number = F.row_number().over(Window.orderBy("_order")) + 1
-    kept = raw.withColumn("_order", F.monotonically_increasing_id())
     cells = [F.concat(F.coalesce(F.col(c), F.lit("")), checked).alias(c) for c in columns]
-    return kept.select(*cells, number.alias("_raw_row_number"))
+    # a file is one partition here, so the order is written down before rows move
+    kept, _ = materialize(raw.select(*cells, F.monotonically_increasing_id().alias("_order")))
+    numbered = running_sum(kept, [], ["_order"], F.lit(1), "_raw_row_number")
+    return numbered.select(*columns, (F.col("_raw_row_number") + 1).alias("_raw_row_number"))
 
 
 def split_files(folder: str, split: str, first_only: bool = False) -> list[str]:

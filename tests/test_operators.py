@@ -116,7 +116,7 @@ def test_statuses(spark):
     records = curate.senses(curate.unique_rows(curate.normalised(glossary(spark))))
     terms = curate.terms(curate.curated(records))
     corpus = spark.createDataFrame([(1, "Pasal 1", "Hukum", "UU", "01", "2000", "Pajak, yang selanjutnya disebut P, adalah iuran.")], "global_id long, article string, title string, regulation_type string, regulation_number string, year string, content string")
-    features = enrich.evidence(terms, enrich.identities(corpus)).cache()
+    features = enrich.evidence(terms, corpus).cache()
     status = {r.term_id: r.match_status for r in enrich.match_status(terms, features, enrich.best(features)).collect()}
     names = {r.term_id: r.canonical_term for r in terms.collect()}
     assert {names[k]: v for k, v in status.items()} == {"Izin": "term_not_found_in_regulation", "Pajak": "candidate_exact_definition"}
@@ -209,8 +209,8 @@ def test_nearest_vectors_in_blocks(spark):
             if d != q and m[d].any():
                 sims.append((-round(float(m[q] @ m[d] / np.linalg.norm(m[q]) / np.linalg.norm(m[d])), 9), d))
         wanted += [(q, d) for _, d in sorted(sims)[:3]]
-    for block in (2, 100):
-        assert rows_of(retrieve.nearest_vectors(df, 5, 3, block).select("query_id", "doc_id")) == sorted(wanted, key=repr)
+    for block, per_scan in ((2, 1), (2, 3), (100, 16)):
+        assert rows_of(retrieve.nearest_vectors(df, 5, 3, block, per_scan).select("query_id", "doc_id")) == sorted(wanted, key=repr)
     assert rows_of(retrieve.nearest_vectors(df.limit(0))) == []
 
 
