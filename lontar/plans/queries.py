@@ -24,20 +24,26 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_keys(spark: SparkSession, root: str) -> DataFrame:
-    """Rows, distinct sizes, most frequent size and percentiles of the size, per key of qa_sft."""
-    compressed = _frequencies(spark, root, "qa_sft", "token_count")
-    totals = heavy_keys.key_totals(compressed)
-    percentiles = heavy_keys.key_percentiles(compressed, {"p50": 0.5, "p90": 0.9})
-    same = F.col("t.key").eqNullSafe(F.col("q.key"))
-    return totals.alias("t").join(percentiles.alias("q"), same, "left").select(
-        F.col("t.key").alias("regulation_key"), "rows", "distinct_values", "mode", "mode_rows", "p50", "p90"
-    )
+    """Rows, distinct sizes, most frequent size and percentiles of the size, per key of either table."""
+
+    def one(name: str) -> DataFrame:
+        compressed, _ = materialize(_frequencies(spark, root, name, "token_count"))
+        totals = heavy_keys.key_totals(compressed)
+        percentiles = heavy_keys.key_percentiles(compressed, {"p50": 0.5, "p90": 0.9})
+        joined = totals.alias("t").join(percentiles.alias("q"), F.col("t.key").eqNullSafe(F.col("q.key")), "left")
+        return joined.select(F.lit(name).alias("table_name"), F.col("t.key").alias("regulation_key"), "rows", "distinct_values", "mode", "mode_rows", "p50", "p90")
+
+    return one("qa_sft").unionByName(one("corpus"))
 
 
 def p1_answers(spark: SparkSession, root: str) -> DataFrame:
-    """Rows, distinct answers and the most frequent answer, per key of qa_sft."""
-    compressed = heavy_keys.value_frequencies(table(spark, root, "qa_sft"), key("regulation_key"), key("answer_hash"))
-    return heavy_keys.key_totals(compressed).withColumnRenamed("key", "regulation_key")
+    """Rows, distinct answers of qa_sft or contents of corpus, and the most frequent one, per key."""
+
+    def one(name: str, value: str) -> DataFrame:
+        compressed = heavy_keys.value_frequencies(table(spark, root, name), key("regulation_key"), key(value))
+        return heavy_keys.key_totals(compressed).select(F.lit(name).alias("table_name"), F.col("key").alias("regulation_key"), "rows", "distinct_values", "mode", "mode_rows")
+
+    return one("qa_sft", "answer_hash").unionByName(one("corpus", "content_hash"))
 
 
 def _parsed_cells(spark: SparkSession, root: str) -> DataFrame:
@@ -331,28 +337,24 @@ def retrieve_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def retrieval_coverage(spark: SparkSession, root: str) -> DataFrame:
-    """The share of each case's chunks that were retrieved."""
-    hits = retrieve.retrieve(*_cases(spark, root)).groupBy("case_id").agg(F.count(F.lit(1)).alias("hits"), F.max("candidates").alias("candidates"))
-    return hits.select("case_id", "hits", "candidates", F.round(F.col("hits") / F.col("candidates"), 6).alias("coverage"))
-
-
-def retrieval_status(spark: SparkSession, root: str) -> DataFrame:
-    """The same for all sampled cases: those without a chunk of their pair are not found and covered by 0."""
+    """The share of each sampled case's chunks that were retrieved: those without a chunk of their
+    pair are not found and covered by 0."""
     cases, chunks = _cases(spark, root)
     return retrieve.coverage(cases, retrieve.retrieve(cases, chunks))
 
 
-def case_prompts(spark: SparkSession, root: str) -> DataFrame:
-    """The instruction that a model gets for each case, with its context."""
-    cases = table(spark, root, "eval_cases")
-    return cases.select("case_id", retrieve.instruction(F.col("prompt"), F.col("expected_source_id")).alias("instruction"))
+def _asked_cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The evaluation cases by the regulation and article they expect, and their hits."""
+    identity = text.key(F.concat_ws("|", "expected_regulation_type", "expected_regulation_number", F.col("expected_year").cast("string")))
+    cases = table(spark, root, "eval_cases").withColumns({"pair_key": identity, "pair_article": text.article_number(text.key("expected_article"))})
+    cases, _ = materialize(cases)
+    hits, _ = materialize(retrieve.retrieve(cases, retrieve.corpus_pairs(table(spark, root, "corpus"))))
+    return cases, hits
 
 
-def context_prompts(spark: SparkSession, root: str) -> DataFrame:
+def case_prompts(spark: SparkSession, root: str) -> DataFrame:
     """The instruction for each case with the chunks of its expected regulation and article, retrieved and packed."""
-    identity = text.key(F.concat_ws("|", "expected_regulation_type", "expected_regulation_number", F.col("expected_year").cast("string")))
-    cases = table(spark, root, "eval_cases").select("case_id", "prompt", identity.alias("pair_key"), text.article_number(text.key("expected_article")).alias("pair_article"))
-    hits = retrieve.retrieve(cases, retrieve.corpus_pairs(table(spark, root, "corpus")))
+    cases, hits = _asked_cases(spark, root)
     contexts = retrieve.with_missing(cases, retrieve.pack(hits))
     return cases.join(contexts, "case_id").select("case_id", retrieve.instruction(F.col("prompt"), F.col("context")).alias("instruction"))
 
@@ -444,13 +446,16 @@ def anchor_hits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def case_scores(spark: SparkSession, root: str) -> DataFrame:
-    """Screening and grounding scores of the reference answers as answers."""
-    m = compare.scored(table(spark, root, "eval_cases"), "reference_answer", "prompt", "prompt").join(anchor_hits(spark, root), "case_id")
-    f1, hit = F.col("metrics.f1"), ~F.col("out_of_scope")
+    """Screening and grounding scores of the reference answers, against the prompt and the contents retrieved."""
+    cases, hits = _asked_cases(spark, root)
+    contents = hits.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", text.plain("content").alias("t")))), lambda x: x["t"]), "\n").alias("context"))
+    joined = cases.join(contents, "case_id", "left").withColumn("hit", F.col("context").isNotNull())
+    m = compare.scored(joined, "reference_answer", "prompt", "context").join(anchor_hits(spark, root), "case_id")
     return m.select(
         "case_id",
-        tokens.screening_score(f1, F.coalesce("anchor_recall", F.lit(0.0)), F.col("metrics.abstains"), F.col("out_of_scope")).alias("screening"),
-        tokens.grounding_score(F.col("metrics.grounded"), hit, F.col("metrics.cites"), F.col("metrics.abstains"), F.col("out_of_scope")).alias("grounding"),
+        "hit",
+        tokens.screening_score(F.col("metrics.f1"), F.coalesce("anchor_recall", F.lit(0.0)), F.col("metrics.abstains"), F.col("out_of_scope")).alias("screening"),
+        tokens.grounding_score(F.col("metrics.grounded"), F.col("hit"), F.col("metrics.cites"), F.col("metrics.abstains"), F.col("out_of_scope")).alias("grounding"),
     )
 
 
@@ -510,8 +515,8 @@ QUERIES = {
         p1_found, p1_keys, p1_answers, p5_found, p5_loaded, p5_reasons, normalize_text, stable_ids, url_hosts, regulation_labels, strip_prefixes,
         dedupe_exact, duplicate_lineage, quarantine_split, quarantine_counts, multi_sense, missing_profile, coverage_profile, length_percentiles,
         frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
-        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage, retrieval_status,
-        case_prompts, context_prompts, context_pack,
+        gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage,
+        case_prompts, context_pack,
         context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, fuzzy_pairs, answer_metrics, anchor_hits, case_scores,
         asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts, uniqueness,
     )

@@ -11,9 +11,9 @@ def _heavy(name: str) -> str:
     WHERE k IS NOT NULL AND n > 0.03 * (SELECT count(*) FROM {name})"""
 
 
-def _totals(value: str) -> str:
+def _totals(table: str, value: str) -> str:
     return f"""
-f AS (SELECT {_KEY.format("regulation_key")} AS regulation_key, {value} AS v, count(*) AS n FROM qa_sft GROUP BY 1, 2),
+f AS (SELECT {_KEY.format("regulation_key")} AS regulation_key, {value} AS v, count(*) AS n FROM {table} GROUP BY 1, 2),
 m AS (SELECT regulation_key, v, n, row_number() OVER (PARTITION BY regulation_key ORDER BY n DESC, v) AS r FROM f WHERE v IS NOT NULL),
 t AS (SELECT regulation_key, CAST(sum(n) AS BIGINT) AS "rows", count(v) AS distinct_values FROM f GROUP BY 1),
 b AS (SELECT t.regulation_key, t."rows", t.distinct_values, m.v AS mode, m.n AS mode_rows
@@ -50,11 +50,14 @@ judged AS (
 
 SQL = CORE | {
     "p1_found": f"{_heavy('qa_sft')} UNION ALL {_heavy('corpus')}",
-    "p1_answers": f"WITH {_totals(_KEY.format('answer_hash'))} SELECT * FROM b",
-    "p1_keys": f"""WITH {_totals('token_count')},
+    "p1_answers": " UNION ALL ".join(f"SELECT * FROM (WITH {_totals(t, _KEY.format(v))} SELECT '{t}' AS table_name, b.* FROM b) x" for t, v in (("qa_sft", "answer_hash"), ("corpus", "content_hash"))),
+    "p1_keys": " UNION ALL ".join(
+        f"""SELECT * FROM (WITH {_totals(t, 'token_count')},
 c AS (SELECT regulation_key, v, sum(n) OVER (PARTITION BY regulation_key ORDER BY v) AS upto, sum(n) OVER (PARTITION BY regulation_key) AS total FROM f WHERE v IS NOT NULL),
 q AS (SELECT regulation_key, min(v) FILTER (upto >= ceil(0.5 * total)) AS p50, min(v) FILTER (upto >= ceil(0.9 * total)) AS p90 FROM c GROUP BY 1)
-SELECT b.*, q.p50, q.p90 FROM b LEFT JOIN q ON b.regulation_key IS NOT DISTINCT FROM q.regulation_key""",
+SELECT '{t}' AS table_name, b.*, q.p50, q.p90 FROM b LEFT JOIN q ON b.regulation_key IS NOT DISTINCT FROM q.regulation_key) x"""
+        for t in ("qa_sft", "corpus")
+    ),
     "p5_found": f"WITH {_CSV} SELECT line_no, reason FROM judged WHERE reason IS NOT NULL",
     "p5_reasons": f'WITH {_CSV} SELECT reason, count(*) AS "rows" FROM judged WHERE reason IS NOT NULL GROUP BY reason',
     "p5_loaded": f"""WITH {_CSV} SELECT line_no, c[1] AS istilah, c[2] AS pengertian, c[3] AS undang_undang, c[4] AS uu, c[5] AS url, c[6] AS status

@@ -4,6 +4,8 @@ DuckDB has no compatibility normal form: full-width ASCII forms and the ligature
 translated instead, which is the same on these tables.
 """
 
+from lontar.functions.tokens import ABSTENTIONS, CONTENT_STOPWORDS, TERM_STOPWORDS
+
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -36,14 +38,12 @@ def words(x: str) -> str:
     return rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')"
 
 
-_STOP = "'" + "','".join(
-    "adalah agar atau atas apa bagi bahwa dan dari dengan dalam dan/atau ini itu ke kepada menurut oleh pada sebagai secara tentang terdiri terhadap untuk yang "
-    "serta saja sifat bersifat termasuk dimaksud merupakan tahun nomor no pasal ayat huruf angka undang undangundang peraturan pemerintah".split()
-) + "'"
+def _listed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
 def content(x: str) -> str:
-    return f"list_filter({words(x)}, lambda t: t NOT IN ({_STOP}) AND length(t) > 1)"
+    return f"list_filter({words(x)}, lambda t: t NOT IN ({_listed(CONTENT_STOPWORDS)}) AND length(t) > 1)"
 
 
 N = f"n AS (SELECT entry_id AS row, {', '.join(f'{display(c)} AS d_{c}' for c in RAW)}, {', '.join(f'{key(c)} AS k_{c}' for c in RAW)} FROM glossary)"
@@ -150,12 +150,39 @@ ranked AS (SELECT *, substr(sha256('{SEED}:' || CASE WHEN available THEN 'covere
 few AS (SELECT *, row_number() OVER (PARTITION BY available ORDER BY priority, pair_key, pair_article) AS place FROM ranked),
 cases AS (SELECT *, 'qa-' || CASE WHEN available THEN 'covered' ELSE 'missing' END || '-' || lpad(CAST(row_number() OVER (PARTITION BY available
     ORDER BY priority DESC, pair_key, pair_article) AS VARCHAR), 4, '0') AS case_id FROM few WHERE place <= CASE WHEN available THEN 100 ELSE 25 END)"""
-HITS = f"""{CASES},
+_HITS = f"""
 lastc AS (SELECT * FROM (SELECT k.case_id, {content(key('k.prompt'))} AS asked_words, c.*, row_number() OVER (PARTITION BY k.case_id, c.id ORDER BY global_id DESC) AS lr
     FROM cases k JOIN chunks c ON k.pair_key = c.pair_key AND k.pair_article = c.pair_article) x WHERE lr = 1),
 scored AS (SELECT case_id, id, content, chunk_index, len(list_intersect(list_distinct(asked_words),
     list_distinct({content(key("concat_ws(' ', coalesce(title, ''), coalesce(article, ''), coalesce(content, ''))"))}))) AS overlap FROM lastc),
 hits AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY overlap DESC, coalesce(chunk_index, 0), id) AS place, count(*) OVER (PARTITION BY case_id) AS candidates FROM scored)"""
+HITS = f"{CASES}, {_HITS}"
+#: The evaluation cases by what they expect, with the same retrieval.
+ASKED_HITS = f"""{_PAIRS},
+cases AS (SELECT *, {key("concat_ws('|', expected_regulation_type, expected_regulation_number, CAST(expected_year AS VARCHAR))")} AS pair_key,
+    {_ARTICLE.format(key('expected_article'))} AS pair_article FROM eval_cases), {_HITS}"""
+_NL = "chr(10)"
+_LINES = f"{_NL} || {_NL}"
+NO_CONTEXT = f"'[NO_CONTEXT]' || {_NL} || 'Tidak ada chunk dari candidate corpus untuk identitas peraturan dan pasal ini. Jangan menebak isi pasal.'"
+
+
+def _c(column: str) -> str:
+    return f"coalesce(CAST(l.{column} AS VARCHAR), '')"
+
+
+_PACKED = f"""
+blocks AS (SELECT h.case_id, h.place, '[C' || h.place || ']' || {_NL} || 'Candidate corpus record: ' || {_c('regulation_type')} || ' Nomor ' || {_c('regulation_number')} || ' Tahun ' || {_c('year')}
+    || {_NL} || 'Judul: ' || {_c('title')} || {_NL} || 'Ketentuan: ' || {_c('article')} || {_NL} || 'Chunk: ' || {_c('chunk_index')} || ' dari ' || {_c('chunk_count')} || {_NL} || 'Teks: ' AS prefix,
+    {_c('content')} AS body FROM hits h JOIN lastc l USING (case_id, id) WHERE h.place <= 4),
+steps AS (
+    SELECT case_id, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS listed, CAST(14000 AS BIGINT) AS room, false AS cut, false AS stop FROM (SELECT DISTINCT case_id FROM blocks) b
+    UNION ALL
+    SELECT s.case_id, b.place, CASE WHEN s.stop OR s.room <= length(prefix) + 20 THEN s.listed ELSE list_append(s.listed, prefix || substr(body, 1, CAST(least(5000, s.room - length(prefix) - 2) AS BIGINT))) END,
+        CASE WHEN s.stop OR s.room <= length(prefix) + 20 THEN s.room ELSE s.room - length(prefix) - least(length(body), 5000, s.room - length(prefix) - 2) - 2 END,
+        s.cut OR s.stop OR s.room <= length(prefix) + 20 OR length(body) > least(5000, s.room - length(prefix) - 2), s.stop OR s.room <= length(prefix) + 20
+    FROM steps s JOIN blocks b ON b.case_id = s.case_id AND b.place = s.place + 1),
+packed AS (SELECT case_id, array_to_string(CASE WHEN cut THEN list_append(listed, '[CONTEXT_TRUNCATED]') ELSE listed END, {_LINES}) AS context, cut AS truncated
+    FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY place DESC) AS back FROM steps) x WHERE back = 1)"""
 
 
 def _f1(source: str, r: str, a: str) -> str:
@@ -181,13 +208,7 @@ def _repeated(w: str) -> str:
     return f"CASE WHEN len({w}) < 12 THEN 0.0 ELSE (len({grams}) - len(list_distinct({grams}))) / len({grams}) END"
 
 
-_ABSTAINS = "(" + " OR ".join(
-    f"contains({{0}}, '{p}')"
-    for p in (
-        "tidak menemukan", "tidak tersedia", "tidak dapat memastikan", "tidak ada informasi", "tidak ada pasal", "tidak terdapat pasal", "tidak terdapat",
-        "tidak memuat", "tidak ditemukan", "konteks tidak memuat",
-    )
-) + ")"
+_ABSTAINS = "(" + " OR ".join(f"contains({{0}}, '{p}')" for p in ABSTENTIONS) + ")"
 _QA = f"SELECT id, completion, {key('completion')} AS a, {key('prompt')} AS r FROM qa_sft"
 METRICS = f"""{_f1(_QA, 'r', 'a')},
 more AS (SELECT id, completion, a, {content('a')} AS acw, list_distinct({words('r')}) AS cw, {_markers('r')} AS em, {_markers('a')} AS fm FROM src)"""
@@ -199,9 +220,8 @@ two AS (SELECT case_id, available, reference, label, answer FROM (
 judged AS (SELECT t.case_id, t.available, t.label, f1.f1, {_repeated('f1.aw')} AS repeated, {_ABSTAINS.format('s.a')} AS abstains,
     CASE WHEN len({_markers('s.r')}) > 0 THEN len(list_intersect({_markers('s.r')}, {_markers('s.a')})) / len({_markers('s.r')}) END AS marker_recall
     FROM two t JOIN src s ON s.id = t.case_id || '/' || t.label JOIN f1 ON f1.id = s.id)"""
-_TERM_STOP = "'atas','dan','dari','dalam','di','dengan','ke','pada','atau','untuk','yang'"
 NEAR = f"""{TERMS},
-tt AS (SELECT term_id, normalized_term, list_distinct(list_filter(regexp_extract_all(normalized_term, '[a-z0-9ı]+'), lambda x: x NOT IN ({_TERM_STOP}) AND length(x) > 1)) AS tok FROM t WHERE NOT warned),
+tt AS (SELECT term_id, normalized_term, list_distinct(list_filter(regexp_extract_all(normalized_term, '[a-z0-9ı]+'), lambda x: x NOT IN ({_listed(TERM_STOPWORDS)}) AND length(x) > 1)) AS tok FROM t WHERE NOT warned),
 ex AS (SELECT term_id, len(tok) AS n, unnest(tok) AS w FROM tt),
 near AS (SELECT a.term_id AS left_id, b.term_id AS right_id, count(*) AS shared FROM ex a JOIN ex b ON a.w = b.w AND a.term_id < b.term_id
     GROUP BY 1, 2, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5)"""
@@ -315,10 +335,44 @@ SQL = {
         g AS (SELECT *, regexp_matches(k, '^[^|]+\\|[^|]+\\|\\d{{4}}$') AND NOT starts_with(k, 'answer:') AS keyed FROM q)
         SELECT count(*) AS "rows", count(*) FILTER (keyed) AS with_key, count(*) FILTER (a IS NOT NULL) AS with_article,
         count(*) FILTER (keyed AND a IS NOT NULL AND length(trim(completion)) >= 20) AS kept FROM g""",
-    "retrieval_coverage": f"""WITH {HITS} SELECT case_id, count(*) AS hits, max(candidates) AS candidates, round(count(*) / max(candidates), 6) AS coverage FROM hits WHERE place <= 4 GROUP BY case_id""",
-    "case_prompts": """SELECT case_id, CASE WHEN coalesce(expected_source_id, '') = '' THEN 'Jawab dengan hati-hati; nyatakan bila tidak yakin.' || chr(10) || chr(10) || 'Pertanyaan:' || chr(10) || coalesce(prompt, '')
-        ELSE 'Jawab hanya berdasarkan konteks; bila tidak memuat jawabannya, katakan demikian.' || chr(10) || chr(10) || 'Konteks:' || chr(10) || expected_source_id || chr(10) || chr(10)
-        || 'Pertanyaan:' || chr(10) || coalesce(prompt, '') END AS instruction FROM eval_cases""",
+    "retrieval_coverage": f"""WITH {HITS}, r AS (SELECT case_id, count(*) AS hits, max(candidates) AS candidates FROM hits WHERE place <= 4 GROUP BY case_id)
+        SELECT c.case_id, CASE WHEN r.hits > 0 THEN 'found' ELSE 'not_found' END AS status, coalesce(r.hits, 0) AS hits, coalesce(candidates, 0) AS candidates,
+        coalesce(round(r.hits / candidates, 6), 0.0) AS coverage FROM cases c LEFT JOIN r USING (case_id)""",
+    "context_pack": f"WITH RECURSIVE {HITS}, {_PACKED} SELECT c.case_id, coalesce(context, {NO_CONTEXT}) AS context, coalesce(truncated, false) AS truncated FROM cases c LEFT JOIN packed USING (case_id)",
+    "context_render": f"""WITH {HITS}, b AS (SELECT h.case_id, string_agg('[S' || h.place || ']' || {_NL} || {_c('title')} || {_NL} || {_c('article')} || {_NL} || {_c('content')}, {_LINES} ORDER BY h.place) AS context
+        FROM hits h JOIN lastc l USING (case_id, id) WHERE h.place <= 4 GROUP BY 1) SELECT c.case_id, coalesce(context, {NO_CONTEXT}) AS context FROM cases c LEFT JOIN b USING (case_id)""",
+    "case_prompts": f"""WITH RECURSIVE {ASKED_HITS}, {_PACKED} SELECT case_id, 'Jawab hanya berdasarkan konteks; bila tidak memuat jawabannya, katakan demikian.' || {_LINES} || 'Konteks:' || {_NL}
+        || coalesce(context, {NO_CONTEXT}) || {_LINES} || 'Pertanyaan:' || {_NL} || coalesce(prompt, '') AS instruction FROM cases LEFT JOIN packed USING (case_id)""",
+    "case_scores": rf"""WITH {ASKED_HITS}, con AS (SELECT case_id, string_agg(coalesce(content, ''), {_NL} ORDER BY place) AS context FROM hits WHERE place <= 4 GROUP BY 1),
+        {_f1(f"SELECT e.case_id AS id, reference_answer, out_of_scope, anchors, context IS NOT NULL AS hit, {key('reference_answer')} AS a, {key('prompt')} AS r, {key('context')} AS c FROM eval_cases e LEFT JOIN con USING (case_id)", 'r', 'a')},
+        g AS (SELECT id, out_of_scope, hit, {_ABSTAINS.format('a')} AS abstains, regexp_matches(coalesce(reference_answer, ''), '(?i)\[\s*c1\s*\]|c1') AS cites, {content('a')} AS acw, list_distinct({words('c')}) AS cw,
+            CASE WHEN len(anchors) > 0 THEN round(len(list_filter(list_transform(anchors, lambda x: {key('x')}), lambda y: contains(a, y))) / len(anchors), 6) ELSE 0.0 END AS anchored FROM src),
+        gr AS (SELECT *, CASE WHEN len(acw) > 0 AND len(cw) > 0 THEN len(list_filter(acw, lambda t: list_contains(cw, t))) / len(acw) ELSE 0.0 END AS grounded FROM g)
+        SELECT id AS case_id, hit, CASE WHEN out_of_scope THEN CASE WHEN abstains THEN 100.0 ELSE 0.0 END ELSE round(100 * (0.65 * anchored + 0.35 * f1), 2) END AS screening,
+        CASE WHEN out_of_scope THEN CASE WHEN NOT hit AND abstains THEN 100.0 ELSE 0.0 END
+            ELSE round(100 * (0.45 * grounded + 0.30 * CAST(hit AS INT) + 0.25 * CAST(cites AS INT)), 2) END AS grounding FROM gr JOIN f1 USING (id)""",
+    "hybrid_topk": f"""WITH {_BM25}, {_GOLD}, both_ AS (SELECT query_id, doc_id, place FROM top UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) FROM gold),
+        fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + place)) AS score FROM both_ GROUP BY 1, 2),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM fused)
+        SELECT query_id, doc_id, place, round(score, 6) AS score FROM placed WHERE place <= 5""",
+    "fuzzy_pairs": f"""WITH {TERMS}, w AS (SELECT term_id, normalized_term AS x FROM t WHERE NOT warned)
+        SELECT a.term_id AS left_id, b.term_id AS right_id, levenshtein(a.x, b.x) AS edits FROM w a JOIN w b ON a.term_id < b.term_id AND abs(length(a.x) - length(b.x)) <= 3 AND levenshtein(a.x, b.x) <= 3""",
+    "clean_answers": r"""WITH m AS (SELECT id, coalesce(completion, '') AS raw, replace(replace(replace(coalesce(completion, ''), '<|im_start|>', ''), '<|im_end|>', ''), '<|endoftext|>', '') AS t FROM qa_sft),
+        h AS (SELECT id, raw, CASE WHEN contains(t, '</think>') THEN regexp_replace(t, '^.*?</think>', '', 's') ELSE regexp_replace(t, '<think>.*$', '', 's') END AS t FROM m)
+        SELECT id, regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: lower(trim(x)) NOT IN ('assistant', 'user')), chr(10)), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS answer,
+        (length(raw) - length(replace(raw, '<|im_start|>', ''))) // 12 + (length(raw) - length(replace(raw, '<|im_end|>', ''))) // 10 + (length(raw) - length(replace(raw, '<|endoftext|>', ''))) // 13
+            + len(list_filter(string_split(raw, chr(10)), lambda x: lower(trim(x)) IN ('assistant', 'user'))) AS marks FROM h""",
+    "pair_select": f"""WITH RECURSIVE {NEAR},
+        ordered AS (SELECT left_id, right_id, a.primary_label AS ls, b.primary_label AS rs, row_number() OVER (ORDER BY shared / (n1.n + n2.n - shared) DESC, sha256({joined(f"'{SEED}'", "'near_neighbor'", 'left_id || right_id')})) AS k
+            FROM near JOIN t a ON a.term_id = left_id JOIN t b ON b.term_id = right_id JOIN (SELECT term_id, len(tok) AS n FROM tt) n1 ON n1.term_id = left_id JOIN (SELECT term_id, len(tok) AS n FROM tt) n2 ON n2.term_id = right_id),
+        walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS sources
+            UNION ALL SELECT k, CASE WHEN ok THEN used || [left_id, right_id] ELSE used END, CASE WHEN ok THEN sources || [ls, rs] ELSE sources END
+            FROM (SELECT w.used, w.sources, o.left_id, o.right_id, o.ls, o.rs, o.k, NOT list_contains(w.used, left_id) AND NOT list_contains(w.used, right_id) AND len(list_filter(w.sources || [ls, rs], lambda x: x = ls)) <= {CAP}
+                AND len(list_filter(w.sources || [ls, rs], lambda x: x = rs)) <= {CAP} AS ok FROM walk w JOIN ordered o ON o.k = w.k + 1 WHERE len(w.used) < 10) x),
+        last AS (SELECT used FROM walk ORDER BY k DESC LIMIT 1),
+        pairs AS (SELECT used[2 * i - 1] AS a, used[2 * i] AS b FROM (SELECT used, unnest(range(1, len(used) // 2 + 1)) AS i FROM last) x),
+        both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs)
+        SELECT a AS term_id, string_agg(DISTINCT canonical_term, '|' ORDER BY canonical_term) AS related_terms FROM both_ JOIN t ON t.term_id = b GROUP BY a""",
     "uniqueness": """SELECT content_hash, count(*) AS "rows" FROM corpus GROUP BY content_hash HAVING count(*) > 1 OR content_hash IS NULL OR content_hash = ''""",
     "split_counts": f"""SELECT split, count(*) AS "rows", count(*) FILTER ({bare('regulation_key')} IS NULL) AS without_key, count(DISTINCT {bare('answer_hash')}) AS answers FROM qa_sft GROUP BY split""",
 }

@@ -166,7 +166,7 @@ def test_cases_without_hits_stay(spark):
     for query in (queries.context_pack, queries.context_render):
         contexts = {r.case_id: r.context for r in query(spark, SMALL).collect()}
         assert {c: not x.startswith("[NO_CONTEXT]") for c, x in contexts.items()} == cases
-    status = {r.case_id: tuple(r)[1:] for r in queries.retrieval_status(spark, SMALL).collect()}
+    status = {r.case_id: tuple(r)[1:] for r in queries.retrieval_coverage(spark, SMALL).collect()}
     assert {c: s[0] == "found" for c, s in status.items()} == cases
     assert all(s == ("not_found", 0, 0, 0.0) for c, s in status.items() if not cases[c])
 
@@ -175,7 +175,7 @@ def test_prompts_hold_their_chunks(spark):
     from lontar.functions import text
     from lontar.plans import queries
 
-    prompts = {r.case_id: r.instruction for r in queries.context_prompts(spark, SMALL).collect()}
+    prompts = {r.case_id: r.instruction for r in queries.case_prompts(spark, SMALL).collect()}
     gold = queries._gold(spark, SMALL).join(table(spark, SMALL, "corpus").select(F.col("global_id").alias("doc_id"), text.plain("content").alias("content")), "doc_id").collect()
     held = {}
     for r in gold:
