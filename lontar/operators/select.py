@@ -9,6 +9,7 @@ chosen rows are as many as the quotas say, so they may be broadcast.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,31 +25,131 @@ class Bucket:
     where: Column
 
 
-def select_by_quota(candidates: DataFrame, buckets: list[Bucket], cap: int, seed: str, source: str = "primary_label", forced: DataFrame | None = None) -> DataFrame:
-    """(term_id, source, bucket, place): `forced` (term_id) rows come first, ignore the cap and use it up.
+def select_by_quota(candidates: DataFrame, buckets: list[Bucket], cap: int, seed: str, source: str = "primary_label", forced: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """(term_id, source, bucket, place): `forced` (term_id) rows come first, ignore the cap and use it up;
+    `chosen` goes on with an earlier result of the same form.
 
     A bucket with too few candidates stays short; the caller compares the counts with the quotas.
     """
     pool = candidates.select("term_id", F.col(source).alias("source"), *[b.where.alias(f"in_{b.name}") for b in buckets])
     pool, _ = materialize(pool)
     spark = candidates.sparkSession
-    none = "term_id string, source string, bucket string, place int"
-    if forced is None:
-        chosen = spark.createDataFrame([], none)
-    else:
-        chosen = pool.join(forced.select("term_id").distinct(), "term_id", "left_semi").select("term_id", "source", F.lit("anchor").alias("bucket"))
-        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("term_id")))
-        chosen, _ = materialize(chosen)
+    # what is chosen is as much as the quotas say, so it is kept by the driver
+    rows: list[tuple[str, str, str, int]] = []
+    if chosen is not None:
+        rows = [tuple(r) for r in chosen.select("term_id", "source", "bucket", "place").collect()]
+    elif forced is not None:
+        kept = pool.join(F.broadcast(forced.select("term_id").distinct()), "term_id", "left_semi").orderBy("term_id").select("term_id", "source").collect()
+        rows = [(r.term_id, r.source, "anchor", i) for i, r in enumerate(kept, 1)]
     for b in buckets:
-        taken = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("already"))
-        open_ = pool.where(f"in_{b.name}").join(F.broadcast(chosen.select("term_id")), "term_id", "left_anti")
-        open_ = open_.withColumn("rank", ids.rank(seed, b.name, F.col("term_id")))
+        if not b.quota:
+            continue
+        counts = Counter(r[1] for r in rows)
+        taken = F.broadcast(spark.createDataFrame([(k, n) for k, n in counts.items() if k is not None], "source string, already int"))
+        known = F.broadcast(spark.createDataFrame([(r[0],) for r in rows], "term_id string"))
+        open_ = pool.where(f"in_{b.name}").join(known, "term_id", "left_anti").withColumn("rank", ids.rank(seed, b.name, F.col("term_id")))
         numbered = open_.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("rank", "term_id"))).where(F.col("number") <= cap)
-        kept = numbered.join(F.broadcast(taken), "source", "left").where(F.col("number") + F.coalesce("already", F.lit(0)) <= cap)
-        picked = kept.orderBy("rank", "term_id").limit(b.quota)
-        placed = picked.select("term_id", "source", F.lit(b.name).alias("bucket"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", "term_id")).alias("place"))
-        chosen, _ = materialize(chosen.unionByName(placed))
-    return chosen
+        kept = numbered.join(taken, "source", "left").where(F.col("number") + F.coalesce("already", F.lit(0)) <= cap)
+        picked = kept.orderBy("rank", "term_id").limit(b.quota).select("term_id", "source").collect()
+        rows += [(r.term_id, r.source, b.name, i) for i, r in enumerate(picked, 1)]
+    return spark.createDataFrame(rows, "term_id string, source string, bucket string, place int")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What a selection is made of: normalised terms that must be in it, quotas of the buckets by
+    name, at most `cap` terms per source. Anchors and focus terms are short lists of a configuration."""
+
+    quotas: dict[str, int]
+    cap: int
+    seed: str
+    anchors: tuple[str, ...] = ()
+    focus: tuple[str, ...] = ()
+    least_jaccard: float = 0.5
+    #: Whether too few candidates are an error; else the selection stays short.
+    strict: bool = True
+
+    @property
+    def target(self) -> int:
+        return sum(self.quotas.values())
+
+
+#: The buckets filled by rank, in this order; what they ask for is in `bucket_rules`.
+RANKED = ("alias", "numeric", "long_definition", "typical_fill")
+
+
+def bucket_rules(long_from: int) -> dict[str, Column]:
+    return {
+        "multi_sense": F.col("sense_count") > 1,
+        "alias": F.col("has_alias"),
+        "numeric": F.col("has_digits"),
+        "long_definition": F.col("longest_definition") >= long_from,
+        "typical_fill": F.lit(True),
+    }
+
+
+def require_terms(terms: DataFrame, wanted: tuple[str, ...], label: str) -> DataFrame:
+    """The terms that are asked for, in their order (`place`); an error unless all of them exist."""
+    listed = terms.sparkSession.createDataFrame([(t, i) for i, t in enumerate(wanted, 1)], "normalized_term string, place int")
+    found = terms.join(F.broadcast(listed), "normalized_term")
+    missing = listed.join(found.select("normalized_term"), "normalized_term", "left_anti").orderBy("place").collect()
+    if missing:
+        raise ValueError(f"{label} not available: {[r.normalized_term for r in missing]}")
+    return found
+
+
+def select_terms(candidates: DataFrame, plan: Plan, long_from: int) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """((term_id, source, bucket, place), pairs of near neighbours) of a whole selection.
+
+    Anchors come first and ignore the cap; then terms of several senses; the focus terms, which must
+    be free and fit; pairs of near neighbours, best first; the other buckets by rank; and any terms
+    until the target is met. All share one state. An error if a list or the target can't be met.
+    """
+    spark = candidates.sparkSession
+    rules = bucket_rules(long_from)
+    terms, _ = materialize(candidates.select("term_id", "normalized_term", F.col("primary_label"), *[c for c in ("sense_count", "has_alias", "has_digits", "longest_definition")]))
+    anchors = require_terms(terms, plan.anchors, "anchors") if plan.anchors else None
+    chosen = select_by_quota(terms, [Bucket("multi_sense", plan.quotas.get("multi_sense", 0), rules["multi_sense"])], plan.cap, plan.seed, forced=anchors)
+    rows = [tuple(r) for r in chosen.collect()]
+    if plan.focus:
+        asked = require_terms(terms, plan.focus, "focus terms").select("term_id", "primary_label", "place").orderBy("place").collect()
+        for r in asked:
+            if any(r.term_id == x[0] for x in rows) or sum(r.primary_label == x[1] for x in rows) >= plan.cap:
+                raise ValueError("a focus term is chosen already or its source is full")
+            rows.append((r.term_id, r.primary_label, "domain_focus", r.place))
+    pairs: list[tuple[str, str]] = []
+    if plan.quotas.get("near_neighbor"):
+        known = F.broadcast(spark.createDataFrame([(x[0],) for x in rows], "term_id string"))
+        free = terms.join(known, "term_id", "left_anti")
+        pairs = disjoint_pairs(near_neighbours(free, plan.least_jaccard, plan.seed), free, plan.quotas["near_neighbor"], plan.cap, Counter(x[1] for x in rows))
+        places = {t: i for i, t in enumerate((t for p in pairs for t in p), 1)}
+        near = free.where(F.col("term_id").isin(*places)).select("term_id", "primary_label").collect() if places else []
+        rows += [(r.term_id, r.primary_label, "near_neighbor", places[r.term_id]) for r in near]
+    form = "term_id string, source string, bucket string, place int"
+    chosen = spark.createDataFrame(rows, form)
+    chosen = select_by_quota(terms, [Bucket(b, plan.quotas.get(b, 0), rules[b]) for b in RANKED], plan.cap, plan.seed, chosen=chosen)
+    short = plan.target - chosen.count()
+    if short > 0:
+        filled = select_by_quota(terms, [Bucket("fallback", short, F.lit(True))], plan.cap, plan.seed, chosen=chosen)
+        chosen = filled.withColumn("bucket", F.when(F.col("bucket") == "fallback", "typical_fill").otherwise(F.col("bucket")))
+    if plan.strict and chosen.count() != plan.target:
+        raise RuntimeError(f"the selection has {chosen.count()} terms, not {plan.target}")
+    return chosen, pairs
+
+
+def tags(plan: Plan, long_from: int, paired: Column) -> Column:
+    """All that applies to a chosen term, whatever bucket it came by."""
+    rules = bucket_rules(long_from)
+    return F.concat_ws(
+        "|",
+        F.when(F.col("normalized_term").isin(*plan.anchors), "anchor"),
+        F.when(rules["multi_sense"], "multi_sense"),
+        F.when(F.col("normalized_term").isin(*plan.focus), "domain_focus"),
+        F.when(rules["alias"], "alias"),
+        F.when(rules["numeric"], "numeric"),
+        F.when(rules["long_definition"], "long_definition"),
+        F.when(paired, "near_neighbor"),
+    )
 
 
 def near_neighbours(candidates: DataFrame, least: float, seed: str) -> DataFrame:

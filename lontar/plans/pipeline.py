@@ -55,14 +55,19 @@ class Pipeline:
 
         return self._stage("audit", writers.content_hash(raw.select("entry_id", *curate.RAW)), tables)
 
-    def select(self, quotas: dict[str, int], cap: int = 3, seed: str = "lontar") -> dict:
+    def select(self, quotas: dict[str, int], cap: int = 3, seed: str = "lontar", anchors: tuple[str, ...] = (), focus: tuple[str, ...] = ()) -> dict:
         def tables() -> dict[str, DataFrame]:
             terms = curate.terms(self.read("senses"))
-            where = {"multi_sense": F.col("sense_count") > 1, "alias": F.col("has_alias"), "numeric": F.col("has_digits"), "typical_fill": F.lit(True)}
-            chosen = select.select_by_quota(terms.where("not warned"), [select.Bucket(b, n, where[b]) for b, n in quotas.items()], cap, seed)
-            return {"pilot": terms.join(chosen.select("term_id", "bucket", "place"), "term_id")}
-
-        return self._stage("select", json.dumps([self.manifest("audit")["outputs"], quotas, cap, seed]), tables)
+            eligible = terms.where("not warned")
+            lengths = eligible.select(F.lit(1).alias("all"), "longest_definition")
+            long_from = (curate.nearest_rank(lengths, ["all"], "longest_definition", {"p90": 0.9}).first() or {"p90": 0})["p90"]
+            plan = select.Plan(quotas, cap, seed, anchors, focus)
+            chosen, pairs = select.select_terms(eligible, plan, long_from)
+            related = select.related(self.spark.createDataFrame(pairs, "left_id string, right_id string"), terms)
+            picked = terms.join(chosen.select("term_id", "bucket", "place"), "term_id").join(related, "term_id", "left").withColumn("related_terms", F.coalesce("related_terms", F.lit("")))
+            return {"pilot": picked.withColumn("tags", select.tags(plan, long_from, F.col("related_terms") != ""))}
+
+        return self._stage("select", json.dumps([self.manifest("audit")["outputs"], quotas, cap, seed, anchors, focus]), tables)
 
     def enrich(self, corpus: DataFrame) -> dict:
         def tables() -> dict[str, DataFrame]:

@@ -67,7 +67,7 @@ def p5_reasons(spark: SparkSession, root: str) -> DataFrame:
 # --- the glossary ---
 
 SEED = "lontar"
-QUOTAS = {"multi_sense": 10, "alias": 15, "numeric": 15, "typical_fill": 10}
+QUOTAS = {"anchor": 3, "multi_sense": 8, "domain_focus": 4, "near_neighbor": 6, "alias": 9, "numeric": 9, "long_definition": 5, "typical_fill": 6}
 CAP = 3
 
 
@@ -117,12 +117,19 @@ def strip_prefixes(spark: SparkSession, root: str) -> DataFrame:
     return _normalised(spark, root).select(F.col("row").alias("entry_id"), s["text"].alias("retrieval_text"), s["removed"].alias("removed"))
 
 
+def _delivered(spark: SparkSession, root: str) -> DataFrame:
+    """The records of both deliveries: the glossary and its feed of JSON objects."""
+    parsed = table(spark, root, "glossary_feed").select("entry_id", F.from_json("payload", ", ".join(f"{c} string" for c in curate.RAW)).alias("p"))
+    rows = table(spark, root, "glossary").select("entry_id", *curate.RAW).unionByName(parsed.select("entry_id", "p.*"))
+    return materialize(curate.normalised(rows))[0]
+
+
 def dedupe_exact(spark: SparkSession, root: str) -> DataFrame:
-    return curate.exact_groups(_normalised(spark, root)).select(F.col("row").alias("entry_id"), "duplicate_count")
+    return curate.exact_groups(_delivered(spark, root)).select(F.col("row").alias("entry_id"), "duplicate_count")
 
 
 def duplicate_lineage(spark: SparkSession, root: str) -> DataFrame:
-    return curate.lineage(_normalised(spark, root))
+    return curate.lineage(_delivered(spark, root))
 
 
 def quarantine_split(spark: SparkSession, root: str) -> DataFrame:
@@ -171,13 +178,29 @@ def near_neighbors(spark: SparkSession, root: str) -> DataFrame:
     return select.near_neighbours(_terms(spark, root).where("not warned"), 0.5, SEED).select("left_id", "right_id", "shared", "rank")
 
 
-def _selected(terms: DataFrame) -> DataFrame:
-    where = {"multi_sense": F.col("sense_count") > 1, "alias": F.col("has_alias"), "numeric": F.col("has_digits"), "typical_fill": F.lit(True)}
-    return select.select_by_quota(terms.where("not warned"), [select.Bucket(b, n, where[b]) for b, n in QUOTAS.items()], CAP, SEED)
+def _chosen(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, select.Plan, list[tuple[str, str]], int]:
+    """(terms, the selection, its plan, its pairs, the length of a long definition).
+
+    A configuration would name anchors and focus terms; here they are the first by hash: of all
+    terms, and of those whose sources neither the anchors nor terms of several senses have.
+    """
+    terms, _ = materialize(_terms(spark, root))
+    eligible = terms.where("not warned")
+    lengths = eligible.select(F.lit(1).alias("all"), "longest_definition")
+    long_from = (curate.nearest_rank(lengths, ["all"], "longest_definition", {"p90": 0.9}).first() or {"p90": 0})["p90"]
+    anchors = eligible.orderBy(ids.rank(SEED, "anchor", F.col("term_id")), "term_id").limit(QUOTAS["anchor"])
+    first = select.select_by_quota(eligible, [select.Bucket("multi_sense", QUOTAS["multi_sense"], F.col("sense_count") > 1)], CAP, SEED, forced=anchors)
+    free = eligible.join(F.broadcast(first.select(F.col("source").alias("primary_label")).distinct()), "primary_label", "left_anti")
+    per_source = free.groupBy("primary_label").agg(F.min(F.struct(ids.rank(SEED, "focus", F.col("term_id")).alias("r"), "term_id", "normalized_term")).alias("t"))
+    focus = per_source.select("t.*").orderBy("r", "term_id").limit(QUOTAS["domain_focus"])
+    names = lambda df: tuple(r.normalized_term for r in df.select("normalized_term").collect())
+    plan = select.Plan(QUOTAS, CAP, SEED, names(anchors), names(focus), strict=False)
+    chosen, pairs = select.select_terms(eligible, plan, long_from)
+    return terms, chosen, plan, pairs, long_from
 
 
 def quota_select(spark: SparkSession, root: str) -> DataFrame:
-    return _selected(_terms(spark, root)).select("term_id", "source", "bucket", "place")
+    return _chosen(spark, root)[1].select("term_id", "source", "bucket")
 
 
 def pair_select(spark: SparkSession, root: str) -> DataFrame:
@@ -187,25 +210,23 @@ def pair_select(spark: SparkSession, root: str) -> DataFrame:
     return select.related(spark.createDataFrame(pairs, "left_id string, right_id string"), terms)
 
 
-def selection_tags(spark: SparkSession, root: str) -> DataFrame:
-    """The chosen terms in bucket order with all that applies to them."""
-    terms, _ = materialize(_terms(spark, root))
-    long = curate.nearest_rank(terms.where("not warned").select(F.lit(1).alias("all"), "longest_definition"), ["all"], "longest_definition", {"p90": 0.9})
-    tags = F.concat_ws(
-        "|",
-        F.when(F.col("sense_count") > 1, "multi_sense"),
-        F.when(F.col("has_alias"), "alias"),
-        F.when(F.col("has_digits"), "numeric"),
-        F.when(F.col("longest_definition") >= long.select("p90").scalar(), "long_definition"),
-    )
-    chosen = terms.join(F.broadcast(_selected(terms).select("term_id", "bucket")), "term_id")
+def _pilot_terms(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen terms in bucket order, with all that applies to them and their near neighbours."""
+    terms, chosen, plan, pairs, long_from = _chosen(spark, root)
+    related = select.related(spark.createDataFrame(pairs, "left_id string, right_id string"), terms)
+    picked = terms.join(F.broadcast(chosen.select("term_id", "bucket")), "term_id").join(F.broadcast(related), "term_id", "left")
+    tagged = picked.withColumn("related_terms", F.coalesce("related_terms", F.lit(""))).withColumn("tags", select.tags(plan, long_from, F.col("related_terms") != ""))
     order = [F.array_position(F.array(*[F.lit(b) for b in QUOTAS]), F.col("bucket")), F.col("normalized_term"), F.col("term_id")]
-    return curate.dense_index(chosen.select("term_id", "bucket", "normalized_term", tags.alias("tags")), order, "pilot_index").select("pilot_index", "term_id", "bucket", "tags")
+    return curate.dense_index(tagged, order, "pilot_index")
+
+
+def selection_tags(spark: SparkSession, root: str) -> DataFrame:
+    return _pilot_terms(spark, root).select("pilot_index", "term_id", "bucket", "tags", "related_terms")
 
 
 def cap_monitor(spark: SparkSession, root: str) -> DataFrame:
     """How near the selection comes to its cap."""
-    counts = _selected(_terms(spark, root)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counts = _chosen(spark, root)[1].groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.sum("n").alias("selected"), F.max("n").alias("most_of_a_source"), F.count(F.lit(1)).alias("sources"))
 
 
@@ -213,12 +234,11 @@ def cap_monitor(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _pilot(spark: SparkSession, root: str) -> DataFrame:
-    terms, _ = materialize(_terms(spark, root))
-    return terms.join(F.broadcast(_selected(terms).select("term_id")), "term_id", "left_semi")
+    return materialize(_pilot_terms(spark, root))[0]
 
 
 def _evidence(spark: SparkSession, root: str, titles: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pilot, _ = materialize(_pilot(spark, root))
+    pilot = _pilot(spark, root)
     features, _ = materialize(enrich.evidence(pilot, table(spark, root, "corpus"), titles))
     return pilot, features, enrich.best(features)
 

@@ -10,7 +10,8 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 RAW = ("istilah", "pengertian", "undang_undang", "uu", "url", "status")
-SEED, QUOTAS, CAP = "lontar", {"multi_sense": 10, "alias": 15, "numeric": 15, "typical_fill": 10}, 3
+SEED, CAP = "lontar", 3
+QUOTAS = {"anchor": 3, "multi_sense": 8, "domain_focus": 4, "near_neighbor": 6, "alias": 9, "numeric": 9, "long_definition": 5, "typical_fill": 6}
 
 
 def display(x: str) -> str:
@@ -46,7 +47,12 @@ def content(x: str) -> str:
     return f"list_filter({words(x)}, lambda t: t NOT IN ({_listed(CONTENT_STOPWORDS)}) AND length(t) > 1)"
 
 
-N = f"n AS (SELECT entry_id AS row, {', '.join(f'{display(c)} AS d_{c}' for c in RAW)}, {', '.join(f'{key(c)} AS k_{c}' for c in RAW)} FROM glossary)"
+def _shown(source: str) -> str:
+    return f"n AS (SELECT entry_id AS row, {', '.join(f'{display(c)} AS d_{c}' for c in RAW)}, {', '.join(f'{key(c)} AS k_{c}' for c in RAW)} FROM {source})"
+
+
+N = _shown("glossary")
+BOTH = _shown(f"(SELECT entry_id, {', '.join(RAW)} FROM glossary UNION ALL SELECT entry_id, {', '.join(f"payload ->> '$.{c}'" for c in RAW)} FROM glossary_feed) b")
 _KEYS = ", ".join(f"k_{c}" for c in RAW)
 U = f"u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY row) AS rn, count(*) OVER (PARTITION BY {_KEYS}) AS duplicate_count FROM n) x WHERE rn = 1)"
 
@@ -93,19 +99,66 @@ t AS (SELECT agg.*, first.d_istilah AS canonical_term, first.k_istilah AS normal
 TERMS = f"{N}, {U}, {S}, {T}"
 
 
+_NEAR = f"""
+tt AS (SELECT term_id, normalized_term, list_distinct(list_filter(regexp_extract_all(normalized_term, '[a-z0-9ı]+'), lambda x: x NOT IN ({_listed(TERM_STOPWORDS)}) AND length(x) > 1)) AS tok FROM t WHERE NOT warned),
+ex AS (SELECT term_id, len(tok) AS n, unnest(tok) AS w FROM tt),
+near AS (SELECT a.term_id AS left_id, b.term_id AS right_id, count(*) AS shared FROM ex a JOIN ex b ON a.w = b.w AND a.term_id < b.term_id
+    GROUP BY 1, 2, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5)"""
+NEAR = f"{TERMS}, {_NEAR}"
+_RANKED_PAIRS = f"""
+sized AS (SELECT term_id, len(tok) AS size FROM tt),
+scored_pairs AS (SELECT left_id, right_id, a.primary_label AS ls, b.primary_label AS rs, shared / (x.size + y.size - shared) AS score,
+    sha256({joined(f"'{SEED}'", "'near_neighbor'", 'left_id || right_id')}) AS rank
+    FROM near JOIN t a ON a.term_id = left_id JOIN t b ON b.term_id = right_id JOIN sized x ON x.term_id = left_id JOIN sized y ON y.term_id = right_id)"""
+
+
+def _walk(name: str, where: str, sources: str, quota: int) -> str:
+    """A recursive walk over the pairs, best first, that takes what is free and fits."""
+    return f"""{name}_ordered AS (SELECT *, row_number() OVER (ORDER BY score DESC, rank) AS k FROM scored_pairs WHERE {where}),
+{name}_walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, {sources} AS sources
+    UNION ALL SELECT k, CASE WHEN ok THEN used || [left_id, right_id] ELSE used END, CASE WHEN ok THEN sources || [ls, rs] ELSE sources END
+    FROM (SELECT w.used, w.sources, o.left_id, o.right_id, o.ls, o.rs, o.k, NOT list_contains(w.used, left_id) AND NOT list_contains(w.used, right_id)
+        AND len(list_filter(w.sources || [ls, rs], lambda x: x = ls)) <= {CAP} AND len(list_filter(w.sources || [ls, rs], lambda x: x = rs)) <= {CAP} AS ok
+        FROM {name}_walk w JOIN {name}_ordered o ON o.k = w.k + 1 WHERE len(w.used) < {quota}) x),
+{name}_used AS (SELECT used FROM {name}_walk ORDER BY k DESC LIMIT 1),
+{name}_pairs AS (SELECT used[2 * i - 1] AS a, used[2 * i] AS b FROM (SELECT used, unnest(range(1, len(used) // 2 + 1)) AS i FROM {name}_used) x),
+{name}_related AS (SELECT a AS term_id, string_agg(DISTINCT canonical_term, '|' ORDER BY canonical_term) AS related_terms
+    FROM (SELECT a, b FROM {name}_pairs UNION SELECT b, a FROM {name}_pairs) p JOIN t ON t.term_id = b GROUP BY a)"""
+
+
+def _bucket(name: str, where: str, quota: str, before: str) -> str:
+    return f"""{name}_open AS (SELECT term_id, primary_label AS source, sha256({joined(f"'{SEED}'", f"'{name}'", 'term_id')}) AS rank FROM t
+    WHERE NOT warned AND {where} AND term_id NOT IN (SELECT term_id FROM {before})),
+{name}_kept AS (SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, term_id) AS number FROM {name}_open) o
+    LEFT JOIN (SELECT source, count(*) AS n FROM {before} GROUP BY source) a USING (source) WHERE number + coalesce(a.n, 0) <= {CAP}),
+{name}_chosen AS (SELECT * FROM {before} UNION ALL SELECT term_id, source, '{'typical_fill' if name == 'fallback' else name}' FROM
+    (SELECT term_id, source, row_number() OVER (ORDER BY rank, term_id) AS place FROM {name}_kept) p WHERE place <= {quota})"""
+
+
 def _selection() -> str:
-    where = {"multi_sense": "sense_count > 1", "alias": "has_alias", "numeric": "has_digits", "typical_fill": "true"}
-    ctes, before = [], "SELECT NULL::VARCHAR AS term_id, NULL::VARCHAR AS source, NULL::VARCHAR AS bucket, NULL::BIGINT AS place WHERE false"
-    for i, (name, quota) in enumerate(QUOTAS.items()):
-        ctes.append(f"""chosen{i} AS ({before}),
-already{i} AS (SELECT source, count(*) AS n FROM chosen{i} GROUP BY source),
-open{i} AS (SELECT term_id, primary_label AS source, sha256({joined(f"'{SEED}'", f"'{name}'", 'term_id')}) AS rank FROM t
-    WHERE NOT warned AND {where[name]} AND term_id NOT IN (SELECT term_id FROM chosen{i})),
-kept{i} AS (SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, term_id) AS number FROM open{i}) o
-    LEFT JOIN already{i} a USING (source) WHERE number + coalesce(a.n, 0) <= {CAP}),
-picked{i} AS (SELECT term_id, source, '{name}' AS bucket, row_number() OVER (ORDER BY rank, term_id) AS place FROM kept{i} ORDER BY rank, term_id LIMIT {quota})""")
-        before = f"SELECT * FROM chosen{i} UNION ALL SELECT * FROM picked{i}"
-    return ", ".join(ctes) + f", chosen AS ({before})"
+    ranked = {"alias": "has_alias", "numeric": "has_digits", "long_definition": "longest_definition >= (SELECT x FROM p90)", "typical_fill": "true"}
+    parts = [
+        f"""lengths AS (SELECT list(longest_definition ORDER BY longest_definition) AS v, count(*) AS n FROM t WHERE NOT warned),
+p90 AS (SELECT v[CAST(round_even((n - 1) * 0.9, 0) AS INT) + 1] AS x FROM lengths),
+anchors AS (SELECT * FROM t WHERE NOT warned ORDER BY sha256({joined(f"'{SEED}'", "'anchor'", 'term_id')}), term_id LIMIT {QUOTAS['anchor']}),
+anchor_chosen AS (SELECT term_id, primary_label AS source, 'anchor' AS bucket FROM anchors)""",
+        _bucket("multi_sense", "sense_count > 1", str(QUOTAS["multi_sense"]), "anchor_chosen"),
+        f"""focus_pool AS (SELECT *, sha256({joined(f"'{SEED}'", "'focus'", 'term_id')}) AS r FROM t WHERE NOT warned AND primary_label NOT IN (SELECT source FROM multi_sense_chosen)),
+focus AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY primary_label ORDER BY r, term_id) AS k FROM focus_pool) p WHERE k = 1 ORDER BY r, term_id LIMIT {QUOTAS['domain_focus']}),
+focus_chosen AS (SELECT * FROM multi_sense_chosen UNION ALL SELECT term_id, primary_label, 'domain_focus' FROM focus)""",
+        _NEAR,
+        _RANKED_PAIRS,
+        _walk("near_", "left_id NOT IN (SELECT term_id FROM focus_chosen) AND right_id NOT IN (SELECT term_id FROM focus_chosen)", "(SELECT list(source) FROM focus_chosen)", QUOTAS["near_neighbor"]),
+        "near_chosen AS (SELECT * FROM focus_chosen UNION ALL SELECT term_id, primary_label, 'near_neighbor' FROM t WHERE term_id IN (SELECT unnest(used) FROM near__used))",
+    ]
+    before = "near_chosen"
+    for name, where in ranked.items():
+        parts.append(_bucket(name, where, str(QUOTAS[name]), before))
+        before = f"{name}_chosen"
+    parts.append(_bucket("fallback", "true", f"({sum(QUOTAS.values())} - (SELECT count(*) FROM {before}))", before))
+    parts.append("""chosen AS (SELECT * FROM fallback_chosen),
+pilot AS (SELECT t.*, c.bucket, coalesce(r.related_terms, '') AS related_terms FROM t JOIN chosen c USING (term_id) LEFT JOIN near__related r USING (term_id))""")
+    return ", ".join(parts)
 
 
 SELECTED = f"{TERMS}, {_selection()}"
@@ -220,11 +273,6 @@ two AS (SELECT case_id, available, reference, label, answer FROM (
 judged AS (SELECT t.case_id, t.available, t.label, f1.f1, {_repeated('f1.aw')} AS repeated, {_ABSTAINS.format('s.a')} AS abstains,
     CASE WHEN len({_markers('s.r')}) > 0 THEN len(list_intersect({_markers('s.r')}, {_markers('s.a')})) / len({_markers('s.r')}) END AS marker_recall
     FROM two t JOIN src s ON s.id = t.case_id || '/' || t.label JOIN f1 ON f1.id = s.id)"""
-NEAR = f"""{TERMS},
-tt AS (SELECT term_id, normalized_term, list_distinct(list_filter(regexp_extract_all(normalized_term, '[a-z0-9ı]+'), lambda x: x NOT IN ({_listed(TERM_STOPWORDS)}) AND length(x) > 1)) AS tok FROM t WHERE NOT warned),
-ex AS (SELECT term_id, len(tok) AS n, unnest(tok) AS w FROM tt),
-near AS (SELECT a.term_id AS left_id, b.term_id AS right_id, count(*) AS shared FROM ex a JOIN ex b ON a.w = b.w AND a.term_id < b.term_id
-    GROUP BY 1, 2, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5)"""
 _BM25 = f"""
 q AS (SELECT case_id AS query_id, unnest(list_distinct({content(key('prompt'))})) AS w FROM eval_cases),
 d AS (SELECT global_id AS doc_id, {content(key('content'))} AS ws FROM corpus),
@@ -254,8 +302,8 @@ SQL = {
     "regulation_labels": f"""WITH {N}, l AS (SELECT DISTINCT d_undang_undang AS label FROM n), r AS (SELECT label, {regulation('label')} FROM l)
         SELECT label, r_type AS type, r_number AS number, r_year AS year, {kind_key('lower(r_type)')} AS kind_key, {number_key('r_number')} AS number_key FROM r""",
     "strip_prefixes": f"WITH {N} SELECT row AS entry_id, CASE WHEN {STRIPPED} THEN trim({_TAIL}) ELSE d_pengertian END AS retrieval_text, {STRIPPED} AS removed FROM n",
-    "dedupe_exact": f"WITH {N}, {U} SELECT row AS entry_id, duplicate_count FROM u",
-    "duplicate_lineage": f"WITH {N} SELECT row, duplicate_of FROM (SELECT row, min(row) OVER (PARTITION BY {_KEYS}) AS duplicate_of FROM n) x WHERE row <> duplicate_of",
+    "dedupe_exact": f"WITH {BOTH}, {U} SELECT row AS entry_id, duplicate_count FROM u",
+    "duplicate_lineage": f"WITH {BOTH} SELECT row, duplicate_of FROM (SELECT row, min(row) OVER (PARTITION BY {_KEYS}) AS duplicate_of FROM n) x WHERE row <> duplicate_of",
     "quarantine_split": f"WITH {N}, {U}, {S} SELECT row AS entry_id, sense_id, quarantine_reason FROM s",
     "quarantine_counts": f"WITH {N}, {U}, {S} SELECT quarantine_reason, count(*) AS \"rows\" FROM s WHERE quarantine_reason <> '' GROUP BY 1",
     "multi_sense": f"WITH {N}, {U}, {S} SELECT term_id, count(DISTINCT sense_id) AS senses, arg_max(d_istilah, row) AS canonical_term FROM s GROUP BY term_id HAVING count(DISTINCT sense_id) > 1",
@@ -268,14 +316,14 @@ SQL = {
     "aggregate_terms": f"WITH {TERMS} SELECT term_id, canonical_term, sense_count, sense_ids, primary_label, source_labels, definition_length, longest_definition, has_alias, has_digits, warned FROM t",
     "near_neighbors": f"WITH {NEAR} SELECT left_id, right_id, shared, sha256({joined(f"'{SEED}'", "'near_neighbor'", 'left_id || right_id')}) AS rank FROM near",
     "fuzzy_terms": f"WITH {NEAR} SELECT left_id, right_id, levenshtein(a.normalized_term, b.normalized_term) AS edits FROM near JOIN t a ON a.term_id = left_id JOIN t b ON b.term_id = right_id WHERE levenshtein(a.normalized_term, b.normalized_term) <= 3",
-    "quota_select": f"WITH {SELECTED} SELECT term_id, source, bucket, place FROM chosen",
-    "evidence_rank": f"WITH {EVIDENCE} SELECT term_id, candidate_rank, global_id, term_present, exact_definition, coverage, title_similarity, metadata_warnings FROM best",
-    "match_status": f"WITH {EVIDENCE} SELECT term_id, identity_rows, term_rows, match_status, top_global_id FROM m",
-    "review_queue": f"WITH {REVIEW} SELECT * FROM reviews",
-    "gold_slots": f"""WITH {REVIEW}, w AS (SELECT *, unnest(range(1, 6)) AS query_slot FROM reviews)
+    "quota_select": f"WITH RECURSIVE {SELECTED} SELECT term_id, source, bucket FROM chosen",
+    "evidence_rank": f"WITH RECURSIVE {EVIDENCE} SELECT term_id, candidate_rank, global_id, term_present, exact_definition, coverage, title_similarity, metadata_warnings FROM best",
+    "match_status": f"WITH RECURSIVE {EVIDENCE} SELECT term_id, identity_rows, term_rows, match_status, top_global_id FROM m",
+    "review_queue": f"WITH RECURSIVE {REVIEW} SELECT * FROM reviews",
+    "gold_slots": f"""WITH RECURSIVE {REVIEW}, w AS (SELECT *, unnest(range(1, 6)) AS query_slot FROM reviews)
         SELECT {ident('gold_query', 'term_id', 'CAST(query_slot AS VARCHAR)')} AS query_id, term_id, review_id, query_slot,
         CASE WHEN term_id IN (SELECT term_id FROM held) THEN 'locked_test' ELSE 'development' END AS query_split, '' AS query_text FROM w""",
-    "locked_split": f"WITH {REVIEW} SELECT term_id FROM held",
+    "locked_split": f"WITH RECURSIVE {SELECTED} SELECT term_id FROM chosen ORDER BY sha256({joined(f"'{SEED}'", 'term_id')}), term_id LIMIT 20",
     "validate_rules": f"""
         SELECT 'corpus' AS table_name, CAST(global_id AS VARCHAR) AS row, 'content_missing' AS code FROM corpus WHERE {bare('content') + ' IS NULL'}
         UNION ALL SELECT 'corpus', CAST(global_id AS VARCHAR), 'key_missing' FROM corpus WHERE {bare('regulation_key')} IS NULL
@@ -324,12 +372,12 @@ SQL = {
     "paired_delta": f"""WITH {_CONDITIONS}, d AS (SELECT b.f1 - a.f1 AS d FROM judged a JOIN judged b USING (case_id) WHERE a.label = 'without' AND b.label = 'with' AND a.available)
         SELECT count(*) AS pairs, count(*) FILTER (d > 1e-9) AS wins, count(*) FILTER (d < -1e-9) AS losses, count(*) FILTER (abs(d) <= 1e-9) AS ties,
         round(count(*) FILTER (d > 1e-9) / count(*), 6) AS win_rate, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta FROM d""",
-    "selection_tags": f"""WITH {SELECTED}, l AS (SELECT list(longest_definition ORDER BY longest_definition) AS v, count(*) AS n FROM t WHERE NOT warned),
-        p90 AS (SELECT v[CAST(round_even((n - 1) * 0.9, 0) AS INT) + 1] AS x FROM l)
-        SELECT row_number() OVER (ORDER BY list_position({list(QUOTAS)}, bucket), normalized_term, term_id) AS pilot_index, term_id, bucket,
-        concat_ws('|', CASE WHEN sense_count > 1 THEN 'multi_sense' END, CASE WHEN has_alias THEN 'alias' END, CASE WHEN has_digits THEN 'numeric' END,
-            CASE WHEN longest_definition >= (SELECT x FROM p90) THEN 'long_definition' END) AS tags FROM t JOIN chosen USING (term_id)""",
-    "cap_monitor": f"""WITH {SELECTED}, per_source AS (SELECT source, count(*) AS n FROM chosen GROUP BY source)
+    "selection_tags": f"""WITH RECURSIVE {SELECTED}
+        SELECT row_number() OVER (ORDER BY list_position({list(QUOTAS)}, bucket), normalized_term, term_id) AS pilot_index, term_id, bucket, related_terms,
+        concat_ws('|', CASE WHEN term_id IN (SELECT term_id FROM anchors) THEN 'anchor' END, CASE WHEN sense_count > 1 THEN 'multi_sense' END,
+            CASE WHEN term_id IN (SELECT term_id FROM focus) THEN 'domain_focus' END, CASE WHEN has_alias THEN 'alias' END, CASE WHEN has_digits THEN 'numeric' END,
+            CASE WHEN longest_definition >= (SELECT x FROM p90) THEN 'long_definition' END, CASE WHEN related_terms <> '' THEN 'near_neighbor' END) AS tags FROM pilot""",
+    "cap_monitor": f"""WITH RECURSIVE {SELECTED}, per_source AS (SELECT source, count(*) AS n FROM chosen GROUP BY source)
         SELECT CAST(sum(n) AS BIGINT) AS selected, max(n) AS most_of_a_source, count(*) AS sources FROM per_source""",
     "scan_counters": f"""WITH q AS (SELECT completion, {key('regulation_key')} AS k, {_ARTICLE.format(key('prompt'))} AS a FROM qa_sft WHERE split = 'test'),
         g AS (SELECT *, regexp_matches(k, '^[^|]+\\|[^|]+\\|\\d{{4}}$') AND NOT starts_with(k, 'answer:') AS keyed FROM q)
@@ -362,17 +410,7 @@ SQL = {
         SELECT id, regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: lower(trim(x)) NOT IN ('assistant', 'user')), chr(10)), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS answer,
         (length(raw) - length(replace(raw, '<|im_start|>', ''))) // 12 + (length(raw) - length(replace(raw, '<|im_end|>', ''))) // 10 + (length(raw) - length(replace(raw, '<|endoftext|>', ''))) // 13
             + len(list_filter(string_split(raw, chr(10)), lambda x: lower(trim(x)) IN ('assistant', 'user'))) AS marks FROM h""",
-    "pair_select": f"""WITH RECURSIVE {NEAR},
-        ordered AS (SELECT left_id, right_id, a.primary_label AS ls, b.primary_label AS rs, row_number() OVER (ORDER BY shared / (n1.n + n2.n - shared) DESC, sha256({joined(f"'{SEED}'", "'near_neighbor'", 'left_id || right_id')})) AS k
-            FROM near JOIN t a ON a.term_id = left_id JOIN t b ON b.term_id = right_id JOIN (SELECT term_id, len(tok) AS n FROM tt) n1 ON n1.term_id = left_id JOIN (SELECT term_id, len(tok) AS n FROM tt) n2 ON n2.term_id = right_id),
-        walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS sources
-            UNION ALL SELECT k, CASE WHEN ok THEN used || [left_id, right_id] ELSE used END, CASE WHEN ok THEN sources || [ls, rs] ELSE sources END
-            FROM (SELECT w.used, w.sources, o.left_id, o.right_id, o.ls, o.rs, o.k, NOT list_contains(w.used, left_id) AND NOT list_contains(w.used, right_id) AND len(list_filter(w.sources || [ls, rs], lambda x: x = ls)) <= {CAP}
-                AND len(list_filter(w.sources || [ls, rs], lambda x: x = rs)) <= {CAP} AS ok FROM walk w JOIN ordered o ON o.k = w.k + 1 WHERE len(w.used) < 10) x),
-        last AS (SELECT used FROM walk ORDER BY k DESC LIMIT 1),
-        pairs AS (SELECT used[2 * i - 1] AS a, used[2 * i] AS b FROM (SELECT used, unnest(range(1, len(used) // 2 + 1)) AS i FROM last) x),
-        both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs)
-        SELECT a AS term_id, string_agg(DISTINCT canonical_term, '|' ORDER BY canonical_term) AS related_terms FROM both_ JOIN t ON t.term_id = b GROUP BY a""",
+    "pair_select": f"""WITH RECURSIVE {NEAR}, {_RANKED_PAIRS}, {_walk('p', 'true', 'CAST([] AS VARCHAR[])', 10)} SELECT * FROM p_related""",
     "uniqueness": """SELECT content_hash, count(*) AS "rows" FROM corpus GROUP BY content_hash HAVING count(*) > 1 OR content_hash IS NULL OR content_hash = ''""",
     "split_counts": f"""SELECT split, count(*) AS "rows", count(*) FILTER ({bare('regulation_key')} IS NULL) AS without_key, count(DISTINCT {bare('answer_hash')}) AS answers FROM qa_sft GROUP BY split""",
 }
