@@ -82,9 +82,9 @@ def best(features: DataFrame, top: int = 3, least_title: float = 0.6) -> DataFra
 
 
 def match_status(terms: DataFrame, features: DataFrame, ranked: DataFrame, high: float = 0.8) -> DataFrame:
-    """(term_id, identity_rows, term_rows, status, top row) of every term."""
+    """(term_id, identity_rows, term_rows, status, top row with its article and warnings) of every term."""
     counts = features.groupBy("term_id").agg(F.count(F.lit(1)).alias("identity_rows"), F.count_if("term_present").alias("term_rows"))
-    first = ranked.where("candidate_rank = 1").select("term_id", F.col("global_id").alias("top_global_id"), "exact_definition", "coverage")
+    first = ranked.where("candidate_rank = 1").select("term_id", F.col("global_id").alias("top_global_id"), "article", "metadata_warnings", "exact_definition", "coverage")
     full = terms.select("term_id").join(counts, "term_id", "left").join(first, "term_id", "left")
     n, t = F.coalesce("identity_rows", F.lit(0)), F.coalesce("term_rows", F.lit(0))
     status = (
@@ -94,4 +94,4 @@ def match_status(terms: DataFrame, features: DataFrame, ranked: DataFrame, high:
         .when(F.col("coverage") >= high, "candidate_high_coverage")
         .otherwise("candidate_needs_review")
     )
-    return full.select("term_id", n.alias("identity_rows"), t.alias("term_rows"), status.alias("match_status"), "top_global_id")
+    return full.select("term_id", n.alias("identity_rows"), t.alias("term_rows"), status.alias("match_status"), "top_global_id", "article", "metadata_warnings")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lontar.functions import ids
+from lontar.functions import ids, text
 from lontar.operators.spread import spread_join
 from lontar.runtime import materialize
 
@@ -28,21 +28,39 @@ def require_same(left: DataFrame, right: DataFrame, column: str) -> None:
             raise ValueError(f"{column} repeats: {[r[0] for r in twice]}")
 
 
+def with_registry(terms: DataFrame, registry: DataFrame, label: str = "label_key") -> DataFrame:
+    """Every term with the registry's entry of its label; labels that the registry lacks are an error."""
+    missing = terms.select(label).distinct().join(registry, label, "left_anti").orderBy(label).limit(20).collect()
+    if missing:
+        raise ValueError(f"the registry lacks {[r[0] for r in missing]}")
+    return terms.join(registry, label)
+
+
 def review_rows(terms: DataFrame, statuses: DataFrame, registry: DataFrame) -> DataFrame:
-    """One pending row per term, joined with its source; `registry` has (label_key, source_id, signal)."""
-    joined = terms.join(statuses, "term_id").join(registry, "label_key")
+    """One pending row per term, with its best evidence and its source; `registry` has (label_key, source_id, signal)."""
+    joined = with_registry(terms.join(statuses, "term_id"), registry)
     flags = F.concat_ws(
         "|",
         F.lit("official_document_and_definition_required"),
         F.when(F.col("match_status") == "regulation_not_found", "dataset_regulation_unresolved"),
         F.when(F.col("match_status") == "term_not_found_in_regulation", "dataset_term_unresolved"),
+        F.when(F.coalesce("metadata_warnings", F.lit("")) != "", "dataset_metadata_warning"),
         F.when(F.col("signal") != "status_not_reviewed", "official_status_signal_requires_review"),
     )
     return joined.select(
         ids.stable_id("source_review", F.col("term_id"), F.col("source_id")).alias("review_id"),
+        "pilot_index",
         "term_id",
+        "canonical_term",
+        "bucket",
+        "primary_label",
+        "primary_title",
         "source_id",
+        "signal",
         "match_status",
+        "top_global_id",
+        F.coalesce("article", F.lit("")).alias("article"),
+        F.coalesce("metadata_warnings", F.lit("")).alias("metadata_warnings"),
         F.lit("pending_human_review").alias("review_status"),
         flags.alias("attention_flags"),
     )
@@ -99,6 +117,60 @@ def orphans(df: DataFrame, name: str, row: str, column: str, parent: DataFrame,
     return df.join(known, column, "left_anti").select(F.lit(name).alias("table_name"), F.col(row).cast("string").alias("row"), F.lit(code).alias("code"))
 
 
+def _blank(column: str) -> Column:
+    return F.trim(F.coalesce(column, F.lit(""))) == ""
+
+
+# What a review may say.
+SOURCE_STATUSES = ("pending_human_review", "needs_review", "verified", "rejected")
+GOLD_STATUSES = ("blocked_unverified_source", "pending_human_review", "approved", "rejected")
+COMPARISONS = ("exact", "equivalent")
+
+
+def source_rules(hosts: tuple[str, ...]) -> list[Rule]:
+    """What evidence a verified source must have, column by column."""
+    verified = F.col("review_status") == "verified"
+    return [
+        Rule("status_unknown", ~F.coalesce("review_status", F.lit("")).isin(*SOURCE_STATUSES)),
+        Rule("document_url_missing", verified & _blank("document_url")),
+        Rule("document_url_not_official", verified & ~_blank("document_url") & ~text.official(F.col("document_url"), hosts)),
+        Rule("document_sha256_invalid", verified & ~text.is_sha256(F.coalesce("document_sha256", F.lit("")))),
+        Rule("article_missing", verified & _blank("article")),
+        Rule("definition_missing", verified & _blank("definition")),
+        Rule("comparison_not_accepted", verified & ~F.coalesce("comparison", F.lit("")).isin(*COMPARISONS)),
+        Rule("reviewer_missing", verified & _blank("reviewer_id")),
+        Rule("reviewed_at_invalid", verified & ~text.is_iso_time(F.col("reviewed_at"))),
+    ]
+
+
+def validate_sources(sources: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
+    """(table_name, row, code) of everything wrong with the reviewed sources; the row is its `review_id`."""
+    once = repeated(sources, "sources", "review_id", "term_id", "term_repeated")
+    return violations(sources, "sources", "review_id", source_rules(hosts)).unionByName(once)
+
+
+def validate_gold(gold: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same for the queries, each against the source it names; the row is its `query_id`."""
+    statuses = sources.select(F.col("review_id").alias("__review"), F.col("review_status").alias("__status"))
+    terms = sources.select(F.col("term_id").alias("__term")).distinct()
+    rows = gold.join(statuses, gold.review_id == F.col("__review"), "left").join(terms, gold.term_id == F.col("__term"), "left")
+    rows = rows.withColumns({"__key": text.key("query_text"), "__term_key": text.key("canonical_term")})
+    approved = F.col("review_status") == "approved"
+    rules = [
+        Rule("status_unknown", ~F.coalesce("review_status", F.lit("")).isin(*GOLD_STATUSES)),
+        Rule("term_unknown", F.col("__term").isNull()),
+        Rule("expected_term_differs", ~F.col("expected_term_id").eqNullSafe(F.col("term_id"))),
+        Rule("source_unknown", approved & F.col("__review").isNull()),
+        Rule("source_not_verified", approved & F.col("__review").isNotNull() & (F.coalesce("__status", F.lit("")) != "verified")),
+        Rule("text_missing", approved & _blank("query_text")),
+        Rule("text_leaks_term", approved & leaks_term(F.col("__term_key"), F.col("__key"))),
+        Rule("author_missing", approved & _blank("author_id")),
+        Rule("reviewer_missing", approved & _blank("reviewer_id")),
+        Rule("reviewed_at_invalid", approved & ~text.is_iso_time(F.col("reviewed_at"))),
+    ]
+    return violations(rows, "gold", "query_id", rules)
+
+
 def raise_if_any(found: DataFrame, shown: int = 20) -> None:
     rows = found.orderBy("table_name", "row", "code").limit(shown + 1).collect()
     if rows:

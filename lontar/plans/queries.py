@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lontar.functions import ids, text, tokens
 from lontar.functions.keys import key
@@ -253,26 +253,88 @@ def evidence_titles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def match_status(spark: SparkSession, root: str) -> DataFrame:
-    return enrich.match_status(*_evidence(spark, root, False))
+    return enrich.match_status(*_evidence(spark, root, False)).drop("article", "metadata_warnings")
 
 
 # --- review ---
 
 
+HOSTS = ("kamus.example.invalid",)
+
+
+def _registry(spark: SparkSession, root: str) -> DataFrame:
+    """(label_key, source_id, signal) of every regulation that the glossary names; a signal stands
+    for what a portal says of a fifth of them."""
+    labels = _normalised(spark, root).select(text.key("d_undang_undang").alias("label_key")).distinct()
+    known = labels.withColumn("source_id", ids.stable_id("registry", F.col("label_key")))
+    return known.withColumn("signal", F.when(F.substring(ids.rank(SEED, "signal", F.col("label_key")), 1, 1) < "3", "amended").otherwise("status_not_reviewed"))
+
+
+def registry_signals(spark: SparkSession, root: str) -> DataFrame:
+    """Registered sources by their signal."""
+    return _registry(spark, root).groupBy("signal").agg(F.count(F.lit(1)).alias("sources"))
+
+
 def _reviews(spark: SparkSession, root: str) -> DataFrame:
     pilot, features, ranked = _evidence(spark, root, False)
     statuses = enrich.match_status(pilot, features, ranked)
     labelled = pilot.withColumn("label_key", text.key("primary_label"))
-    registry = labelled.groupBy("label_key").agg(F.lit("status_not_reviewed").alias("signal")).withColumn("source_id", ids.stable_id("registry", F.col("label_key")))
-    return review.review_rows(labelled, statuses.select("term_id", "match_status"), registry)
+    return materialize(review.review_rows(labelled, statuses.select("term_id", "match_status", "top_global_id", "article", "metadata_warnings"), _registry(spark, root)))[0]
 
 
 def review_queue(spark: SparkSession, root: str) -> DataFrame:
     return _reviews(spark, root)
 
 
+def _digit(column: str, place: int) -> Column:
+    return F.substring(F.sha2(column, 256), place, 1)
+
+
+def _reviewed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The queue and its slots as reviewers might return them, with faults by the hash of the row."""
+    rows = _reviews(spark, root)
+    h, d = F.sha2("review_id", 256), lambda n: _digit("review_id", n)
+    sources = rows.select(
+        "review_id",
+        "term_id",
+        "canonical_term",
+        F.when(d(1) == "0", "").when(d(1) == "1", "http://kamus.example.invalid/x").when(d(1) == "2", "https://lain.example/x").otherwise(F.concat(F.lit("https://kamus.example.invalid/"), h)).alias("document_url"),
+        F.when(d(2) == "0", "").when(d(2) == "1", F.upper(h)).otherwise(h).alias("document_sha256"),
+        F.when(d(3) < "2", "").otherwise("Pasal 1").alias("article"),
+        F.when(d(4) < "2", " ").otherwise(F.col("canonical_term")).alias("definition"),
+        F.when(d(5) < "2", "other").otherwise("exact").alias("comparison"),
+        F.when(d(6) < "2", "").otherwise("r1").alias("reviewer_id"),
+        F.when(d(7) == "0", "kemarin").when(d(7) == "1", "").otherwise("2024-05-06T07:08:09Z").alias("reviewed_at"),
+        F.when(d(8) == "0", "unknown").when(d(8) < "c", "verified").otherwise("pending_human_review").alias("review_status"),
+    )
+    slots = review.slots(rows, 5, review.locked(rows, 20, SEED)).join(rows.select("term_id", "canonical_term"), "term_id")
+    g = lambda n: _digit("query_id", n)
+    gold = slots.select(
+        "query_id",
+        F.when(g(1) == "0", "none").otherwise(F.col("term_id")).alias("term_id"),
+        F.when(g(2) == "0", "none").otherwise(F.col("term_id")).alias("expected_term_id"),
+        F.when(g(3) == "0", "none").otherwise(F.col("review_id")).alias("review_id"),
+        "canonical_term",
+        F.when(g(4) == "0", "").when(g(4) == "1", F.concat(F.lit("Apa arti "), F.upper("canonical_term"), F.lit("?"))).otherwise("Apa sebutan hal itu?").alias("query_text"),
+        F.when(g(5) == "0", "").otherwise("a1").alias("author_id"),
+        F.when(g(6) == "0", "").otherwise("r1").alias("reviewer_id"),
+        F.when(g(7) == "0", "besok").otherwise("2024-05-06").alias("reviewed_at"),
+        F.when(g(8) == "0", "unknown").when(g(8) < "c", "approved").otherwise("pending_human_review").alias("review_status"),
+    )
+    return sources, gold
+
+
+def validate_sources(spark: SparkSession, root: str) -> DataFrame:
+    return review.validate_sources(_reviewed(spark, root)[0], HOSTS)
+
+
+def validate_gold(spark: SparkSession, root: str) -> DataFrame:
+    sources, gold = _reviewed(spark, root)
+    return review.validate_gold(gold, sources)
+
+
 def gold_slots(spark: SparkSession, root: str) -> DataFrame:
-    rows, _ = materialize(_reviews(spark, root))
+    rows = _reviews(spark, root)
     return review.slots(rows, 5, review.locked(rows, 20, SEED))
 
 
@@ -534,7 +596,7 @@ QUERIES = {
     for f in (
         p1_found, p1_keys, p1_answers, p5_found, p5_loaded, p5_reasons, normalize_text, stable_ids, url_hosts, regulation_labels, strip_prefixes,
         dedupe_exact, duplicate_lineage, quarantine_split, quarantine_counts, multi_sense, missing_profile, coverage_profile, length_percentiles,
-        frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue,
+        frequency_tables, aggregate_terms, near_neighbors, quota_select, selection_tags, cap_monitor, pair_select, evidence_rank, evidence_titles, match_status, review_queue, registry_signals, validate_sources, validate_gold,
         gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage,
         case_prompts, context_pack,
         context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, fuzzy_pairs, answer_metrics, anchor_hits, case_scores,

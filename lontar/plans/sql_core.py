@@ -182,12 +182,51 @@ m AS (SELECT p.term_id, p.primary_label, coalesce(i.identity_rows, 0) AS identit
     b.global_id AS top_global_id
     FROM p LEFT JOIN (SELECT term_id, count(*) AS identity_rows, count(*) FILTER (term_present) AS term_rows FROM f GROUP BY 1) i USING (term_id)
     LEFT JOIN best b ON b.term_id = p.term_id AND b.candidate_rank = 1)"""
-REVIEW = f"""{EVIDENCE},
-q AS (SELECT m.*, {ident('registry', key('primary_label'))} AS source_id FROM m),
-reviews AS (SELECT {ident('source_review', 'term_id', 'source_id')} AS review_id, term_id, source_id, match_status, 'pending_human_review' AS review_status,
+_REGISTRY = f"""labels AS (SELECT DISTINCT k_undang_undang AS label_key FROM n),
+registry AS (SELECT label_key, {ident('registry', 'label_key')} AS source_id,
+    CASE WHEN substr(sha256({joined(f"'{SEED}'", "'signal'", 'label_key')}), 1, 1) < '3' THEN 'amended' ELSE 'status_not_reviewed' END AS signal FROM labels)"""
+REVIEW = f"""{EVIDENCE}, {_REGISTRY},
+indexed AS (SELECT row_number() OVER (ORDER BY list_position({list(QUOTAS)}, bucket), normalized_term, term_id) AS pilot_index, * FROM pilot),
+best_articles AS (SELECT best.term_id, k.article, best.metadata_warnings FROM best JOIN k USING (global_id) WHERE candidate_rank = 1),
+q AS (SELECT i.pilot_index, i.term_id, i.canonical_term, i.bucket, i.primary_label, i.primary_title, r.source_id, r.signal, m.match_status, m.top_global_id,
+    coalesce(b.article, '') AS article, coalesce(b.metadata_warnings, '') AS metadata_warnings
+    FROM indexed i JOIN m USING (term_id) JOIN registry r ON r.label_key = {key('i.primary_label')} LEFT JOIN best_articles b ON b.term_id = i.term_id),
+reviews AS (SELECT {ident('source_review', 'term_id', 'source_id')} AS review_id, *, 'pending_human_review' AS review_status,
     concat_ws('|', 'official_document_and_definition_required', CASE match_status WHEN 'regulation_not_found' THEN 'dataset_regulation_unresolved'
-        WHEN 'term_not_found_in_regulation' THEN 'dataset_term_unresolved' END) AS attention_flags FROM q),
+        WHEN 'term_not_found_in_regulation' THEN 'dataset_term_unresolved' END, CASE WHEN metadata_warnings <> '' THEN 'dataset_metadata_warning' END,
+        CASE WHEN signal <> 'status_not_reviewed' THEN 'official_status_signal_requires_review' END) AS attention_flags FROM q),
 held AS (SELECT term_id FROM reviews ORDER BY sha256({joined(f"'{SEED}'", 'term_id')}), term_id LIMIT 20)"""
+_SLOTS = f"""slots AS (SELECT {ident('gold_query', 'term_id', 'CAST(query_slot AS VARCHAR)')} AS query_id, term_id, review_id, query_slot, canonical_term,
+    CASE WHEN term_id IN (SELECT term_id FROM held) THEN 'locked_test' ELSE 'development' END AS query_split, '' AS query_text FROM (SELECT *, unnest(range(1, 6)) AS query_slot FROM reviews) w)"""
+
+
+def _d(n: int) -> str:
+    return f"substr(h, {n}, 1)"
+
+
+_REVIEWED = f"""{REVIEW}, {_SLOTS},
+sources AS (SELECT review_id, term_id, CASE {_d(1)} WHEN '0' THEN '' WHEN '1' THEN 'http' WHEN '2' THEN 'other' ELSE 'official' END AS url, {_d(2)} AS sha, {_d(3)} AS art, {_d(4)} AS def, {_d(5)} AS cmp, {_d(6)} AS who,
+    {_d(7)} AS time, CASE WHEN {_d(8)} = '0' THEN 'unknown' WHEN {_d(8)} < 'c' THEN 'verified' ELSE 'pending_human_review' END AS status FROM (SELECT *, sha256(review_id) AS h FROM reviews) x),
+gold AS (SELECT query_id, CASE WHEN {_d(1)} = '0' THEN 'none' ELSE term_id END AS term, CASE WHEN {_d(2)} = '0' THEN 'none' ELSE term_id END AS expected, CASE WHEN {_d(3)} = '0' THEN 'none' ELSE review_id END AS review,
+    {_d(4)} AS said, {_d(5)} AS author, {_d(6)} AS who, {_d(7)} AS time, CASE WHEN {_d(8)} = '0' THEN 'unknown' WHEN {_d(8)} < 'c' THEN 'approved' ELSE 'pending_human_review' END AS status
+    FROM (SELECT *, sha256(query_id) AS h FROM slots) x),
+checked AS (SELECT g.*, s.status AS source_status, g.term IN (SELECT term_id FROM sources) AS known FROM gold g LEFT JOIN sources s ON s.review_id = g.review)"""
+
+
+def _codes(table: str, row: str, source: str, rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, {row} AS row, '{code}' AS code FROM {source} WHERE {broken}" for code, broken in rules.items())
+
+
+_SOURCE_RULES = {
+    "status_unknown": "status = 'unknown'", "document_url_missing": "status = 'verified' AND url = ''", "document_url_not_official": "status = 'verified' AND url IN ('http', 'other')",
+    "document_sha256_invalid": "status = 'verified' AND sha IN ('0', '1')", "article_missing": "status = 'verified' AND art < '2'", "definition_missing": "status = 'verified' AND def < '2'",
+    "comparison_not_accepted": "status = 'verified' AND cmp < '2'", "reviewer_missing": "status = 'verified' AND who < '2'", "reviewed_at_invalid": "status = 'verified' AND time IN ('0', '1')",
+}
+_GOLD_RULES = {
+    "status_unknown": "status = 'unknown'", "term_unknown": "NOT known", "expected_term_differs": "expected <> term", "source_unknown": "status = 'approved' AND source_status IS NULL",
+    "source_not_verified": "status = 'approved' AND source_status <> 'verified'", "text_missing": "status = 'approved' AND said = '0'", "text_leaks_term": "status = 'approved' AND said = '1'",
+    "author_missing": "status = 'approved' AND author = '0'", "reviewer_missing": "status = 'approved' AND who = '0'", "reviewed_at_invalid": "status = 'approved' AND time = '0'",
+}
 
 _ARTICLE = r"nullif(regexp_extract({0}, 'pasal\s+(\d+[a-z]?)', 1), '')"
 _PAIRS = f"""
@@ -320,9 +359,10 @@ SQL = {
     "evidence_rank": f"WITH RECURSIVE {EVIDENCE} SELECT term_id, candidate_rank, global_id, term_present, exact_definition, coverage, title_similarity, metadata_warnings FROM best",
     "match_status": f"WITH RECURSIVE {EVIDENCE} SELECT term_id, identity_rows, term_rows, match_status, top_global_id FROM m",
     "review_queue": f"WITH RECURSIVE {REVIEW} SELECT * FROM reviews",
-    "gold_slots": f"""WITH RECURSIVE {REVIEW}, w AS (SELECT *, unnest(range(1, 6)) AS query_slot FROM reviews)
-        SELECT {ident('gold_query', 'term_id', 'CAST(query_slot AS VARCHAR)')} AS query_id, term_id, review_id, query_slot,
-        CASE WHEN term_id IN (SELECT term_id FROM held) THEN 'locked_test' ELSE 'development' END AS query_split, '' AS query_text FROM w""",
+    "gold_slots": f"WITH RECURSIVE {REVIEW}, {_SLOTS} SELECT query_id, term_id, review_id, query_slot, query_split, query_text FROM slots",
+    "registry_signals": f"WITH {N}, {_REGISTRY} SELECT signal, count(*) AS sources FROM registry GROUP BY signal",
+    "validate_sources": f"WITH RECURSIVE {_REVIEWED} {_codes('sources', 'review_id', 'sources', _SOURCE_RULES)}",
+    "validate_gold": f"WITH RECURSIVE {_REVIEWED} {_codes('gold', 'query_id', 'checked', _GOLD_RULES)}",
     "locked_split": f"WITH RECURSIVE {SELECTED} SELECT term_id FROM chosen ORDER BY sha256({joined(f"'{SEED}'", 'term_id')}), term_id LIMIT 20",
     "validate_rules": f"""
         SELECT 'corpus' AS table_name, CAST(global_id AS VARCHAR) AS row, 'content_missing' AS code FROM corpus WHERE {bare('content') + ' IS NULL'}
