@@ -6,7 +6,8 @@ import csv
 import hashlib
 import io
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -36,20 +37,35 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS)
     return numbered.select(*columns, (F.col("_raw_row_number") + 1).alias("_raw_row_number"))
 
 
-def split_files(folder: str, split: str, first_only: bool = False) -> list[str]:
-    """The sorted shards `{split}-*.parquet` under data/, else anywhere below; an error if none."""
-    root = Path(folder)
-    found = sorted((root / "data").glob(f"{split}-*.parquet")) or sorted(root.rglob(f"{split}-*.parquet"))
+def split_files(spark: SparkSession, folder: str, split: str, first_only: bool = False) -> list[str]:
+    """The sorted shards `{split}-*.parquet` under data/, else anywhere below; an error if none. Any
+    file system that Spark reads will do."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    found = sorted(str(s.getPath()) for s in files.globStatus(path(f"{folder}/data/{split}-*.parquet")) or ())
+    if not found and files.exists(path(folder)):
+        below = files.listFiles(path(folder), True)
+        while below.hasNext():
+            one = below.next().getPath()
+            if one.getName().startswith(f"{split}-") and one.getName().endswith(".parquet"):
+                found.append(str(one))
+        found.sort()
     if not found:
         raise FileNotFoundError(f"no shard of {split!r} in {folder}")
-    return [str(p) for p in (found[:1] if first_only else found)]
+    return found[:1] if first_only else found
 
 
 def read_split(spark: SparkSession, folder: str, split: str, columns: Iterable[str] | None = None, first_only: bool = False) -> DataFrame:
-    rows = spark.read.parquet(*split_files(folder, split, first_only)).withColumn("split", F.lit(split))
+    rows = spark.read.parquet(*split_files(spark, folder, split, first_only)).withColumn("split", F.lit(split))
     return rows.select(*columns, "split") if columns else rows
 
 
+def split_counts(spark: SparkSession, folder: str, splits: Iterable[str]) -> dict[str, int]:
+    """Rows of each split. No column is read: the counts come from the footers."""
+    return {s: spark.read.parquet(*split_files(spark, folder, s)).count() for s in splits}
+
+
 def require_columns(df: DataFrame, wanted: Iterable[str], label: str) -> DataFrame:
     missing = sorted(set(wanted) - set(df.columns))
     if missing:
@@ -72,7 +88,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not lines.limit(1).count():
         raise ValueError(f"{path} is empty")
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    shaped = F.when(F.col("value").rlike(r"^\s*\{"), parsed).otherwise(F.raise_error(F.lit(f"a line of {path} is no object")))
+    shaped = F.when(F.col("value").rlike(r"^\s*\{"), parsed).otherwise(F.raise_error(F.concat(F.lit(f"a line of {path} is no object: "), F.substring("value", 1, 80))))
     return lines.select(shaped.alias("x")).select("x.*")
 
 
@@ -114,6 +130,16 @@ def require_snapshot(path: str, size: int, sha256: str) -> str:
     return path
 
 
+@contextmanager
+def unchanged(*paths: str) -> Iterator[None]:
+    """Fail unless the input files are, at the end of the block, what they were at its beginning."""
+    before = {p: sha256_file(p) for p in paths}
+    yield
+    changed = [p for p, digest in before.items() if not Path(p).is_file() or sha256_file(p) != digest]
+    if changed:
+        raise ValueError(f"input was changed: {changed}")
+
+
 def read_config(path: str, required: Iterable[str]) -> dict:
     config = json.loads(Path(path).read_text(encoding="utf-8"))
     missing = sorted(set(required) - set(config))

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SMALL = "/root/testdata/sf0.001"
+WHOLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -22,8 +23,8 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for name in os.listdir(SMALL):
-        con.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{SMALL}/{name}'")
+    for name in os.listdir(WHOLE):
+        con.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{WHOLE}/{name}'")
     return con
 
 

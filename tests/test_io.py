@@ -25,13 +25,14 @@ def test_splits_and_contracts(spark, tmp_path):
     spark.range(4).write.parquet(str(tmp_path / "data" / "train-1.parquet"))
     rows = readers.read_split(spark, str(tmp_path), "train")
     assert rows.count() == 7 and readers.read_split(spark, str(tmp_path), "train", first_only=True).count() == 3
+    assert readers.split_counts(spark, str(tmp_path), ["train"]) == {"train": 7}
     readers.require_counts(rows, {"train": 7})
     with pytest.raises(ValueError):
         readers.require_counts(rows, {"train": 8})
     with pytest.raises(ValueError, match="missing"):
         readers.require_columns(rows, ["id", "x"], "rows")
     with pytest.raises(FileNotFoundError):
-        readers.split_files(str(tmp_path), "test")
+        readers.split_files(spark, str(tmp_path), "test")
 
 
 def test_jsonl_and_cases(spark, tmp_path):
@@ -60,6 +61,38 @@ def test_writers(spark, tmp_path):
     assert (tmp_path / "m.json").read_text().endswith("}\n")
 
 
+def test_pinned_and_unchanged_files(tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("x", encoding="utf-8")
+    digest = readers.sha256_file(str(path))
+    assert readers.require_snapshot(str(path), 1, digest) == str(path)
+    for size, sha in ((2, digest), (1, "0" * 64)):
+        with pytest.raises(ValueError, match="pinned"):
+            readers.require_snapshot(str(path), size, sha)
+    with readers.unchanged(str(path)):
+        pass
+    with pytest.raises(ValueError, match="was changed"), readers.unchanged(str(path)):
+        path.write_text("y", encoding="utf-8")
+
+
+def test_config_and_reports(spark, tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text('{"seed": "s", "target_count": 3, "quotas": {"a": 1, "b": 2}}', encoding="utf-8")
+    assert readers.read_config(str(path), ["seed"])["quotas"] == {"a": 1, "b": 2}
+    with pytest.raises(ValueError, match="missing fields"):
+        readers.read_config(str(path), ["seed", "cap"])
+    path.write_text('{"target_count": 4, "quotas": {"a": 1, "b": 2}}', encoding="utf-8")
+    with pytest.raises(ValueError, match="add up"):
+        readers.read_config(str(path), [])
+    assert writers.portable(str(tmp_path / "x" / "y"), str(tmp_path)) == "x/y" and writers.portable("/elsewhere/z", str(tmp_path)) == "z"
+    assert writers.counts_report("Audit", {"Status": {"ok": 1200, "": 3, "share": "4.0 %"}}) == "# Audit\n\n## Status\n\n- ok: 1,200\n- (missing): 3\n- share: 4.0 %\n"
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    writers.write_review_csv(df, str(tmp_path / "r"), ["k"], ["decision"])
+    assert spark.read.csv(str(tmp_path / "r"), header=True).columns == ["k", "decision"]
+    changed = spark.createDataFrame([("b", "3"), ("c", "4")], "k string, v string")
+    assert rows_of(writers.upsert_rows(df, changed, "k")) == [("a", "1"), ("b", "3"), ("c", "4")]
+
+
 def test_pipeline_resumes_and_refuses(spark, tmp_path):
     p = Pipeline(spark, str(tmp_path))
     raw = glossary(spark)

@@ -112,6 +112,108 @@ def test_disjoint_pairs(spark):
     assert select.disjoint_pairs(pairs, sources, 2, 4) == [("a", "b")]
 
 
+TERM = "term_id string, normalized_term string, primary_label string, sense_count int, has_alias boolean, has_digits boolean, longest_definition int"
+
+
+def chosen_by_loop(terms, plan, long_from, pairs):
+    """The selection as one loop over shared state."""
+    import hashlib
+
+    sha = lambda *parts: hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+    out, counts = {}, {}
+
+    def add(t, bucket, force=False):
+        if t[0] in out or not force and counts.get(t[2], 0) >= plan.cap:
+            return False
+        out[t[0]] = bucket
+        counts[t[2]] = counts.get(t[2], 0) + 1
+        return True
+
+    by_name, by_id = {t[1]: t for t in terms}, {t[0]: t for t in terms}
+    for a in plan.anchors:
+        add(by_name[a], "anchor", True)
+    rules = {"multi_sense": lambda t: t[3] > 1, "alias": lambda t: t[4], "numeric": lambda t: t[5], "long_definition": lambda t: t[6] >= long_from, "typical_fill": lambda t: True, "fallback": lambda t: True}
+
+    def fill(bucket, quota, name=None):
+        for t in sorted(filter(rules[bucket], terms), key=lambda t: (sha(plan.seed, bucket, t[0]), t[0])):
+            if sum(b == bucket for b in out.values()) >= quota:
+                break
+            add(t, bucket)
+
+    fill("multi_sense", plan.quotas["multi_sense"])
+    for f in plan.focus:
+        assert add(by_name[f], "domain_focus")
+    for _, _, a, b in sorted((-s, sha(plan.seed, "near_neighbor", a + b), a, b) for a, b, s in pairs):
+        if sum(x == "near_neighbor" for x in out.values()) >= plan.quotas["near_neighbor"]:
+            break
+        need = {by_id[a][2]: 1}
+        need[by_id[b][2]] = need.get(by_id[b][2], 0) + 1
+        if a in out or b in out or any(counts.get(k, 0) + n > plan.cap for k, n in need.items()):
+            continue
+        add(by_id[a], "near_neighbor")
+        add(by_id[b], "near_neighbor")
+    for bucket in select.RANKED:
+        fill(bucket, plan.quotas[bucket])
+    fill("fallback", plan.target - len(out))
+    return {t: "typical_fill" if b == "fallback" else b for t, b in out.items()}
+
+
+def test_whole_selection_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"kata{c}" for c in "abcdefghij"]
+    terms = [(f"t{i:02}", " ".join(rng.sample(words, 2)) + f" {'x' * (i + 2)}", f"L{rng.randrange(14)}", rng.randrange(1, 3), rng.random() < 0.3, rng.random() < 0.3, rng.randrange(100)) for i in range(60)]
+    df = spark.createDataFrame(terms, TERM).repartition(3)
+    plan = select.Plan({"anchor": 2, "multi_sense": 4, "domain_focus": 2, "near_neighbor": 6, "alias": 4, "numeric": 4, "long_definition": 3, "typical_fill": 5}, 3, "s", (terms[0][1], terms[1][1]), (), 0.5)
+    used = {terms[0][2], terms[1][2]}
+    free = [t for t in terms[2:] if t[2] not in used and t[3] == 1]
+    plan = select.Plan(plan.quotas, 3, "s", plan.anchors, (free[0][1], next(t[1] for t in free if t[2] != free[0][2])), 0.5)
+    chosen, pairs = select.select_terms(df, plan, 80)
+    near = [(r.left_id, r.right_id, r.score) for r in select.near_neighbours(df, 0.5, "s").collect()]
+    assert {r.term_id: r.bucket for r in chosen.collect()} == chosen_by_loop(terms, plan, 80, near)
+    assert len(pairs) == 3
+    with pytest.raises(ValueError, match="anchors not available"):
+        select.select_terms(df, select.Plan(plan.quotas, 3, "s", ("tiada",)), 80)
+    with pytest.raises(ValueError, match="focus term"):
+        select.select_terms(df, select.Plan(plan.quotas, 3, "s", plan.anchors, (plan.anchors[0],)), 80)
+    with pytest.raises(RuntimeError, match="terms, not"):
+        select.select_terms(df, select.Plan(plan.quotas | {"typical_fill": 500}, 3, "s"), 80)
+    few, _ = select.select_terms(df.limit(0), select.Plan(plan.quotas, 3, "s", strict=False), 0)
+    assert few.count() == 0
+
+
+def test_registry_and_evidence_rules(spark):
+    terms = spark.createDataFrame([("t", "uu 1")], "term_id string, label_key string")
+    with pytest.raises(ValueError, match="lacks"):
+        review.with_registry(terms, spark.createDataFrame([("uu 2", "s")], "label_key string, source_id string"))
+    names = "review_id string, term_id string, document_url string, document_sha256 string, article string, definition string, comparison string, reviewer_id string, reviewed_at string, review_status string"
+    good = ("r1", "t1", "https://a.example/x", "0" * 64, "Pasal 1", "arti", "exact", "me", "2024-01-01T00:00:00Z", "verified")
+    rows = [good, ("r2", "t2", None, None, None, None, None, None, None, "verified"), ("r3", "t3", None, None, None, None, None, None, None, "pending_human_review"), ("r4", "t2", *good[2:9], "?")]
+    sources = spark.createDataFrame(rows, names)
+    found = rows_of(review.validate_sources(sources, ("a.example",)).select("row", "code"))
+    assert [c for r, c in found if r == "r2"] == ["article_missing", "comparison_not_accepted", "definition_missing", "document_sha256_invalid", "document_url_missing", "reviewed_at_invalid", "reviewer_missing"]
+    assert [x for x in found if x[0] != "r2"] == [("r4", "status_unknown"), ("r4", "term_repeated")]
+    fields = "query_id string, term_id string, expected_term_id string, review_id string, canonical_term string, query_text string, author_id string, reviewer_id string, reviewed_at string, review_status string"
+    gold = spark.createDataFrame([("q1", "t1", "t1", "r1", "Izin", "Apa itu?", "a", "b", "2024-01-01", "approved"), ("q2", "t1", "t2", "r2", "Izin", "apa IZIN itu?", "a", "b", "2024-01-01", "approved"), ("q3", "zz", "zz", "nope", "Izin", None, None, None, None, "approved"), ("q4", "t1", "t1", "r3", "Izin", "x", "a", "b", "2024-01-01", "approved"), ("q5", "t1", "t1", None, "", None, None, None, None, "rejected")], fields)
+    found = rows_of(review.validate_gold(gold, sources).select("row", "code"))
+    assert found == [("q2", "expected_term_differs"), ("q2", "text_leaks_term"), *[("q3", c) for c in ("author_missing", "reviewed_at_invalid", "reviewer_missing", "source_unknown", "term_unknown", "text_missing")], ("q4", "source_not_verified")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lontar.runtime import shared_dir
+
+    def cluster(master, folder):
+        conf = SimpleNamespace(get=lambda k, d=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared_dir(cluster("spark://x:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster("spark://x:7077", None))
+
+
 def test_statuses(spark):
     records = curate.senses(curate.unique_rows(curate.normalised(glossary(spark))))
     terms = curate.terms(curate.curated(records))
@@ -226,6 +328,9 @@ def test_fusion_quality_and_comparison(spark):
     rows = spark.createDataFrame([("c1", "izin pajak", "izin pajak"), ("c2", "izin", "dana"), ("c3", None, "dana")], "case_id string, answer string, reference string")
     scored = compare.scored(rows, "answer", "reference").withColumn("label", F.lit("x"))
     assert [round(r.f1, 3) for r in scored.select("metrics.f1").collect()] == [1.0, 0.0, 0.0]
+    failed = scored.withColumn("metrics", compare.guarded(F.col("metrics"), F.when(F.col("case_id") == "c2", "timeout")))
+    s = compare.summary(failed, "label").first()
+    assert (s.cases, s.errors, s.mean_f1) == (3, 1, 0.5)
     s = compare.summary(scored, "label").first()
     assert (s.cases, s.errors, s.median_f1, s.mean_marker_recall) == (3, 0, 0.0, None)
     base = scored.select("case_id", F.lit(0.5).alias("f1"))
