@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lontar.functions import text, tokens
 
@@ -65,6 +65,18 @@ def paired(first: DataFrame, second: DataFrame, key: str, score: str, epsilon: f
     )
 
 
+def extremes(first: DataFrame, second: DataFrame, key: str, score: str, n: int = 5) -> DataFrame:
+    """(side, place, key, delta): the `n` best and the `n` worst cases by `second` over `first`; ties go
+    to the smaller key."""
+    joined = first.select(key, F.col(score).alias("a")).join(second.select(key, F.col(score).alias("b")), key).where("a is not null and b is not null")
+    deltas = joined.select(key, (F.col("b") - F.col("a")).alias("delta"))
+    parts = []
+    for side, order in (("best", F.desc(F.round("delta", 9))), ("worst", F.round("delta", 9))):
+        few = deltas.orderBy(order, key).limit(n)
+        parts.append(few.select(F.lit(side).alias("side"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, key)).alias("place"), key, "delta"))
+    return parts[0].unionByName(parts[1])
+
+
 def wide(cases: DataFrame, by_label: dict[str, DataFrame], key: str) -> DataFrame:
     """One row per case with each condition's columns behind its label."""
     out = cases

@@ -250,3 +250,11 @@ def ranking_quality(ranked: DataFrame, gold: DataFrame, top: int = 5) -> DataFra
     judged = gold.select("query_id").distinct().join(hits, "query_id", "left")
     found = F.coalesce(F.col("place") <= top, F.lit(False))
     return judged.agg(F.count(F.lit(1)).alias("queries"), F.avg(found.cast("double")).alias("recall"), F.avg(F.when(found, 1.0 / F.col("place")).otherwise(0.0)).alias("mrr"))
+
+
+def false_answers(ranked: DataFrame, unanswerable: DataFrame, least: float) -> DataFrame:
+    """(no_answer_queries, false_positive_rate): the share of the queries that nothing answers for
+    which the best result still scores `least`; null without such queries."""
+    best_ = ranked.where("place = 1").select("query_id", "score")
+    judged = unanswerable.select("query_id").distinct().join(best_, "query_id", "left")
+    return judged.agg(F.count(F.lit(1)).alias("no_answer_queries"), F.avg(F.coalesce(F.col("score") >= least, F.lit(False)).cast("double")).alias("false_positive_rate"))

@@ -491,8 +491,15 @@ def hybrid_topk(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ranking_quality(spark: SparkSession, root: str) -> DataFrame:
-    found = retrieve.ranking_quality(_bm25(spark, root), _gold(spark, root))
-    return found.select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+    """Recall and reciprocal rank of the lexical ranking, and how often it answers what has no answer."""
+    ranked, _ = materialize(_bm25(spark, root))
+    found = retrieve.ranking_quality(ranked, _gold(spark, root))
+    none = table(spark, root, "eval_cases").where("out_of_scope").select(F.col("case_id").alias("query_id"))
+    wrong = retrieve.false_answers(ranked, none, 20.0).first()
+    return found.select(
+        "queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"),
+        F.lit(wrong.no_answer_queries).alias("no_answer_queries"), F.round(F.lit(wrong.false_positive_rate), 6).alias("false_positive_rate"),
+    )
 
 
 def fuzzy_terms(spark: SparkSession, root: str) -> DataFrame:
@@ -579,6 +586,19 @@ def paired_delta(spark: SparkSession, root: str) -> DataFrame:
     return p.select("pairs", "wins", "losses", "ties", *[F.round(c, 6).alias(c) for c in ("win_rate", "mean_delta", "median_delta")])
 
 
+def delta_extremes(spark: SparkSession, root: str) -> DataFrame:
+    """The cases that retrieval helps and hurts most."""
+    rows = _conditions(spark, root).where("available").select("case_id", "label", "metrics.f1")
+    return compare.extremes(rows.where("label = 'without'"), rows.where("label = 'with'"), "case_id", "f1").withColumn("delta", F.round("delta", 6))
+
+
+def wide_conditions(spark: SparkSession, root: str) -> DataFrame:
+    """One row per case with both conditions beside each other."""
+    rows = _conditions(spark, root)
+    by_label = {n: rows.where(F.col("label") == n).select("case_id", F.round("metrics.f1", 6).alias("f1"), "metrics.abstains") for n in ("without", "with")}
+    return compare.wide(rows.select("case_id", "available").distinct(), by_label, "case_id")
+
+
 def uniqueness(spark: SparkSession, root: str) -> DataFrame:
     """Values that should be unique and aren't."""
     return curate.repeated_keys(table(spark, root, "corpus"), "content_hash").select("content_hash", "rows")
@@ -600,6 +620,6 @@ QUERIES = {
         gold_slots, locked_split, validate_rules, set_ops, union_queue, covered_missing, scan_counters, priority_sample, unique_sample, retrieve_topk, retrieval_coverage,
         case_prompts, context_pack,
         context_render, title_collisions, bm25_topk, vector_topk, hybrid_topk, ranking_quality, fuzzy_terms, fuzzy_pairs, answer_metrics, anchor_hits, case_scores,
-        asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, split_counts, uniqueness,
+        asked_identities, clean_answers, chat_messages, condition_summary, paired_delta, delta_extremes, wide_conditions, split_counts, uniqueness,
     )
 }

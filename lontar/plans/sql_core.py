@@ -392,7 +392,14 @@ SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM top WHERE place <= 5",
     "ranking_quality": f"""WITH {_BM25}, {_GOLD}, h AS (SELECT query_id, min(place) AS place FROM top JOIN gold USING (query_id, doc_id) WHERE place <= 5 GROUP BY 1),
         j AS (SELECT g.query_id, place FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN h USING (query_id))
-        SELECT count(*) AS queries, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN place <= 5 THEN 1.0 / place ELSE 0.0 END), 6) AS mrr FROM j""",
+        SELECT count(*) AS queries, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN place <= 5 THEN 1.0 / place ELSE 0.0 END), 6) AS mrr,
+        (SELECT count(*) FROM eval_cases WHERE out_of_scope) AS no_answer_queries, (SELECT round(avg(CASE WHEN score >= 20 THEN 1.0 ELSE 0.0 END), 6) FROM eval_cases e
+            LEFT JOIN top ON e.case_id = query_id AND place = 1 WHERE out_of_scope) AS false_positive_rate FROM j""",
+    "delta_extremes": f"""WITH {_CONDITIONS}, d AS (SELECT a.case_id, b.f1 - a.f1 AS delta FROM judged a JOIN judged b USING (case_id) WHERE a.label = 'without' AND b.label = 'with' AND a.available),
+        r AS (SELECT *, row_number() OVER (ORDER BY round(delta, 9) DESC, case_id) AS up, row_number() OVER (ORDER BY round(delta, 9), case_id) AS down FROM d)
+        SELECT 'best' AS side, up AS place, case_id, round(delta, 6) AS delta FROM r WHERE up <= 5 UNION ALL SELECT 'worst', down, case_id, round(delta, 6) FROM r WHERE down <= 5""",
+    "wide_conditions": f"""WITH {_CONDITIONS} SELECT a.case_id, a.available, round(a.f1, 6) AS without_f1, a.abstains AS without_abstains, round(b.f1, 6) AS with_f1, b.abstains AS with_abstains
+        FROM judged a JOIN judged b USING (case_id) WHERE a.label = 'without' AND b.label = 'with'""",
     "vector_topk": """WITH p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score
         FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM p) SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE place <= 5""",
