@@ -74,6 +74,7 @@ CUT_MARK = "[CONTEXT_TRUNCATED]"
 
 def pack(hits: DataFrame, budget: int = 14_000, most: int = 5_000) -> DataFrame:
     """(case_id, context, truncated): blocks in order until the characters run out."""
+    # How a block names its source.
     prefix = F.concat(
         F.lit("[C"), F.col("place").cast("string"), F.lit("]\nCandidate corpus record: "), text.plain("regulation_type"), F.lit(" Nomor "),
         text.plain("regulation_number"), F.lit(" Tahun "), text.plain("year"), F.lit("\nJudul: "), text.plain("title"), F.lit("\nKetentuan: "),
