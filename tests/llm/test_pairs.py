@@ -287,3 +287,44 @@ def test_counts_equal_the_pairs(spark):
         e = b if splits[a] == "train" else a
         wanted[e] = wanted.get(e, 0) + 1
     assert {r.id: r.links for r in overlaps.overlap_counts(qa).collect()} == wanted
+
+
+def test_long_rows_are_learned_from(spark):
+    """A table of which every row has more than 20 000 characters."""
+    rows = [(f"r{i:03}", f"Bagaimana aturan gudang nomor {i}?", " ".join(f"Pemilik gudang wajib mencatat kartu anggota nomor {i + k} kepada Badan Taruna selama {k % 9 + 2} bulan." for k in range(230))) for i in range(24)]
+    rows.append(("zz", "Bagaimana aturan gudang?", " ".join(["Maaf, saya tidak bisa membantu soal gudang."] * 500)))
+    assert min(len(c) for *_, c in rows) > 20_000
+    df = spark.createDataFrame(rows, "id string, prompt string, completion string")
+    assert rows_of(broken_pairs.defects(df)) == [("zz", "refusal")]
+
+
+def test_all_rows_are_counted(spark):
+    """Ends and words are those of all rows, of which there are more than go into a block."""
+    qa = table(spark, "/root/testdata/sf0.01", "qa_sft").select("id", "prompt", "completion")
+    rows = [tuple(r) for r in qa.collect()]
+    assert len(rows) > broken_pairs.BLOCK_ROWS
+    ends, used = broken_pairs.Ends(), {}
+    for *_, c in rows:
+        if not is_empty(c):
+            ends.learn(c)
+            for w in set(broken_pairs._WORD.findall(c.lower())):
+                used[w] = used.get(w, 0) + 1
+    got = broken_pairs.fitted(qa.repartition(5)).extract.ends
+    for tail in ends.ending.keys() | ends.going.keys():
+        if (n := ends.ending[tail] + ends.going[tail]) >= (3 if len(tail) > 1 else 1):
+            assert (got.ending[tail], got.going[tail]) == (ends.ending[tail], ends.going[tail]), (tail, n)
+    assert got.known == {w for w, n in used.items() if n >= 2}
+    assert got.usual == {w for w, n in used.items() if n >= broken_pairs.USUAL * len(rows)}
+
+
+def test_fit_of_blocks(spark):
+    """Neither order, partitions nor repeated rows matter; one block is fitted like a list of rows."""
+    import numpy as np
+
+    qa = table(spark, SMALL, "qa_sft").select("id", "prompt", "completion").where("id is not null").distinct()
+    one, other = broken_pairs.fitted(qa.coalesce(1), 150), broken_pairs.fitted(qa.union(qa).orderBy(qa.prompt.desc()).repartition(7), 150)
+    assert one.words == other.words and (one.crf.weights == other.crf.weights).all() and (one.crf.moves == other.crf.moves).all()
+    whole, listed = broken_pairs.fitted(qa), broken_pairs.PairTagger.fit(sorted((tuple(r) for r in qa.collect()), key=lambda r: r[0]))
+    assert whole.words == listed.words and np.allclose(whole.crf.weights, listed.crf.weights, atol=1e-3)
+    # a word that stands once in every block is learned too
+    assert len(one.words) > 0.9 * len(whole.words)
