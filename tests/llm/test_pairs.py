@@ -1,4 +1,5 @@
 import functools
+import math
 import random
 
 import pandas as pd
@@ -328,3 +329,45 @@ def test_fit_of_blocks(spark):
     assert whole.words == listed.words and np.allclose(whole.crf.weights, listed.crf.weights, atol=1e-3)
     # a word that stands once in every block is learned too
     assert len(one.words) > 0.9 * len(whole.words)
+
+
+def test_clauses_are_read_once(monkeypatch):
+    """The responses made of a row share clauses, which are read once and give what a fresh reader gives."""
+    rows = [tuple(r) for r in pd.read_parquet(f"{SMALL}/qa_sft.parquet", columns=["id", "prompt", "completion"]).dropna().sort_values("id").itertuples(index=False)]
+    ends, times = broken_pairs.Ends(), []
+    made = [(p, c) for p, c, *_ in broken_pairs.training_pairs(rows, ends)]
+    fresh = [broken_pairs.Extractor(ends).pair(p, c) for p, c in made]
+    foreign = broken_pairs.Extractor._foreign
+    monkeypatch.setattr(broken_pairs.Extractor, "_foreign", lambda *a: times.append(a[1]) or foreign(*a))
+    one = broken_pairs.Extractor(ends)
+    for (shapes, texts, *sizes), (p, c) in zip(fresh, made):
+        got_shapes, got_texts, *got_sizes = one.pair(p, c)
+        assert (got_shapes, list(map(sorted, got_texts)), got_sizes) == (shapes, list(map(sorted, texts)), sizes)
+    whole = [(p, part) for p, c in made for part in broken_pairs.clauses(c)]
+    assert len(times) <= len({(p, part.rstrip(" .!?;:,")) for p, part in whole}) < 0.8 * len(whole)
+    # one prompt for all rows keeps no more
+    assert len(one.pair(ASKED, " ".join(f"Kartu nomor {i} berlaku." for i in range(5000)))[0]) == 5000
+    assert len(one.read) <= broken_pairs.KEPT
+
+
+def test_counts_and_refusals_of_blocks():
+    """Several blocks are counted like each by itself; no refusal is passed over before its words are weighed."""
+    rows = [tuple(r) for r in pd.read_parquet(f"{SMALL}/qa_sft.parquet", columns=["id", "prompt", "completion"]).dropna().sort_values("id").itertuples(index=False)]
+    rows += [(f"zz{i}", ASKED, c) for i, c in enumerate((*REFUSED, *SOUND, "MAAF, SAYA TIDAK BISA MEMBANTU.", ASKED, '"'))]
+    blocks, summed = [rows[::2], rows[1::2]], {}
+    for block in blocks:
+        for kind, key, numbers in broken_pairs.counts([block]):
+            summed[kind, key] = [a + b for a, b in zip(summed.get((kind, key), (0, 0)), numbers)]
+    facts = list(broken_pairs.counts(blocks))
+    assert len(facts) == len(summed) and {(k, w): n for k, w, n in facts} == summed
+    learned = broken_pairs.Learned.of(facts, len(rows))
+    for _ in range(2):
+        found, extract = 0, broken_pairs.Extractor(learned.ends)
+        for row in rows:
+            words = set() if is_empty(row[2]) else extract.single(row[1], broken_pairs.clauses(row[2]))
+            prior = math.log(broken_pairs.DECLINED / (1 - broken_pairs.DECLINED))
+            sounds = any(prior + sum(known.get(w, unseen) for w in sorted(words)) > 0 for known, unseen in learned.rounds)
+            assert broken_pairs.declined(extract, row, learned) == (words if sounds else set())
+            found += sounds
+        assert 0 < found < len(rows)
+        learned.weigh(list(broken_pairs.found_words(blocks, learned)))
